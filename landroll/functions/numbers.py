@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from landroll.functions.text import as_column, trim_ws
 
-# Cells that stand for "no number", compared in upper case.
-NO_NUMBER = ("NA", "NA/NR", "NR", "N/A", "-")
-
 # Fixed value: shown for a missing number or text.
 DASH = "—"
 
@@ -17,10 +14,11 @@ PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def parse_number(c: Column | str) -> Column:
-    """Read a dirty cell: keep digits, dots and minus signs, null when that is not a number."""
-    text = trim_ws(c)
-    digits = F.regexp_replace(text, r"[^0-9.\-]", "")
-    return F.when(~F.upper(text).isin(*NO_NUMBER), digits.try_cast("double"))
+    """Read a dirty cell: keep digits, dots and minus signs, null when that is not a number.
+
+    Markers such as `NA`, `NA/NR` or `-` hold no digit, so they read as null without a list of them.
+    """
+    return F.regexp_replace(as_column(c), r"[^0-9.\-]", "").try_cast("double")
 
 
 def parse_plain_number(c: Column | str) -> Column:
@@ -57,4 +55,5 @@ def indian_number(c: Column | str) -> Column:
 
 def percent_text(c: Column | str) -> Column:
     """One decimal and a percent sign, a dash for null."""
-    return F.coalesce(F.format_string("%.1f%%", as_column(c)), F.lit(DASH))
+    value = as_column(c)
+    return F.when(value.isNull(), DASH).otherwise(F.format_string("%.1f%%", value))

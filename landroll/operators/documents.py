@@ -141,10 +141,6 @@ def form_json(df: DataFrame, *, text: str = "raw_text") -> DataFrame:
     return nested.select(*others, F.to_json(F.struct(*form), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def _area_matches(text: str) -> Column:
-    return F.regexp_extract_all(F.col(text), F.lit(AREA_PATTERN), F.lit(0))
-
-
 def land_areas(df: DataFrame, *, text: str = "raw_text") -> DataFrame:
     """Add `land_area` (number, its fraction and unit joined by spaces) and `areas` (value, unit).
 
@@ -153,7 +149,7 @@ def land_areas(df: DataFrame, *, text: str = "raw_text") -> DataFrame:
     def group(match: Column, n: int) -> Column:
         return F.regexp_extract(match, AREA_PATTERN, n)
 
-    matches = _area_matches(text)
+    matches = F.col("_matches")
     joined = F.transform(matches, lambda m: F.concat_ws(" ", group(m, 1), group(m, 2), group(m, 3)))
     clean = F.transform(
         matches,
@@ -161,7 +157,8 @@ def land_areas(df: DataFrame, *, text: str = "raw_text") -> DataFrame:
             group(m, 1).try_cast("double").alias("value"), F.lower(group(m, 3)).alias("unit")
         ),
     )
-    return df.withColumns({"land_area": joined, "areas": clean})
+    found = df.withColumn("_matches", F.regexp_extract_all(F.col(text), F.lit(AREA_PATTERN), F.lit(0)))
+    return found.withColumns({"land_area": joined, "areas": clean}).drop("_matches")
 
 
 def entity_buckets(

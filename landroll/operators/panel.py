@@ -52,11 +52,13 @@ def available_measures(df: DataFrame, *, period: str = "sheet_id") -> DataFrame:
     )
 
 
-def load_summary(df: DataFrame, *, period: str = "sheet_id") -> DataFrame:
-    """State rows over all periods, and how many periods there are."""
-    per_period = df.groupBy(period).agg(F.count("*").alias("n"))
-    return per_period.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("state_rows"), F.count("*").alias("periods")
+def load_summary(df: DataFrame, periods: DataFrame) -> DataFrame:
+    """State rows over all periods, and how many periods there are (also those without rows)."""
+    marks = df.select(F.lit(1).alias("row"), F.lit(0).alias("period"))
+    marks = marks.unionByName(periods.select(F.lit(0).alias("row"), F.lit(1).alias("period")))
+    return marks.agg(
+        F.coalesce(F.sum("row"), F.lit(0)).alias("state_rows"),
+        F.coalesce(F.sum("period"), F.lit(0)).alias("periods"),
     )
 
 
@@ -97,20 +99,18 @@ def with_focus_flag(df: DataFrame, states: tuple[str, ...] = FOCUS_STATES) -> Da
     return df.withColumn("is_focus", F.coalesce(F.col("state").isin(*states), F.lit(False)))
 
 
-def pick_period(df: DataFrame, period_id: str, *, period: str = "sheet_id") -> DataFrame:
-    """Rows of the wanted period, or of the first one when it does not exist.
+def pick_periods(
+    df: DataFrame, periods: DataFrame, wanted: tuple[str, ...], *, period: str = "sheet_id"
+) -> DataFrame:
+    """Rows of each wanted period, or of the first period where there is no such one.
 
-    The choice is a single row, so its broadcast has a fixed size.
+    `periods` is the period list `(period, period_order)`. The choice has one row per wanted id, so
+    its broadcast has a known size.
     """
-    wanted = F.when(F.col(period) == period_id, 1).otherwise(0)
-    choice = (
-        df.groupBy(period)
-        .agg(F.min("period_order").alias("place"))
-        .orderBy(wanted.desc(), "place", period)
-        .limit(1)
-        .select(period)
-    )
-    return df.join(F.broadcast(choice), period, "left_semi")
+    ids = F.explode(F.array(*[F.lit(w) for w in wanted])).alias("wanted")
+    place = F.struct(F.col(period) != F.col("wanted"), "period_order", period)
+    choice = periods.select(period, "period_order", ids).groupBy("wanted").agg(F.min_by(period, place).alias(period))
+    return df.join(F.broadcast(choice), period)
 
 
 def table_rows(df: DataFrame, *, period: str = "sheet_id") -> DataFrame:

@@ -1,7 +1,8 @@
 """Statistics workbook jobs: headers, dirty cells, totals, periods, nested form.
 
-Input is one table of sheet rows `(sheet_id, row_pos, cells ARRAY<STRING>)`; row 0 of a sheet is its
-header. Everything but the lookup of a sheet's header is local to a row.
+Input is a table of sheet rows `(sheet_id, row_pos, cells ARRAY<STRING>)`; row 0 of a sheet is its
+header. `header_rows` and `value_rows` take it apart, and the jobs work on these two tables.
+Everything but the lookup of a sheet's header is local to a row.
 """
 
 from __future__ import annotations
@@ -76,33 +77,33 @@ def value_rows(sheets: DataFrame) -> DataFrame:
     return sheets.where(F.col("row_pos") > 0)
 
 
-def header_map(sheets: DataFrame) -> DataFrame:
+def header_map(headers: DataFrame) -> DataFrame:
     """(sheet_id, idx, header, normalized, key) of every header cell."""
     normalized = normalize_header("header")
-    return header_rows(sheets).select("sheet_id", F.posexplode("cells").alias("idx", "header")).select(
+    return headers.select("sheet_id", F.posexplode("cells").alias("idx", "header")).select(
         "sheet_id", "idx", "header", normalized.alias("normalized"), header_key(normalized).alias("key")
     )
 
 
-def nonblank_rows(sheets: DataFrame) -> DataFrame:
-    """Value rows with at least one cell that is more than whitespace."""
-    return value_rows(sheets).where(trim_ws(F.concat_ws("", "cells")) != "")
+def nonblank_rows(values: DataFrame) -> DataFrame:
+    """Rows with at least one cell that is more than whitespace."""
+    return values.where(trim_ws(F.concat_ws("", "cells")) != "")
 
 
-def keyed_rows(sheets: DataFrame) -> DataFrame:
-    """Value rows with one column per key: (sheet_id, row_pos, slNo, state, measures).
+def keyed_rows(values: DataFrame, headers: DataFrame) -> DataFrame:
+    """Non-blank rows with one column per key: (sheet_id, row_pos, slNo, state, measures).
 
     A sheet's header becomes an array of keys; a cell is found by looking for its key from the right
     end of that array, so of two columns with one key the last one counts, also when its cell is
     empty. Cells that a short row does not have are no columns of that row. No row is exploded or
     regrouped: the only join attaches one key array to the rows of its sheet.
     """
-    keys = header_rows(sheets).select(
+    keys = headers.select(
         "sheet_id",
         F.transform("cells", lambda cell: F.coalesce(header_key(normalize_header(cell)), F.lit(""))).alias("keys"),
     )
     present = F.reverse(F.slice("keys", 1, F.greatest(F.size("cells"), F.lit(0))))
-    rows = nonblank_rows(sheets).join(keys, "sheet_id").withColumn("_present", present)
+    rows = nonblank_rows(values).join(keys, "sheet_id").withColumn("_present", present)
 
     def cell(key: str) -> Column:
         from_right = F.array_position("_present", F.lit(key))
@@ -178,7 +179,8 @@ def union_sheets(frames: list[DataFrame]) -> DataFrame:
 
 
 def clean_statistics(
-    sheets: DataFrame,
+    values: DataFrame,
+    headers: DataFrame,
     known: dict[str, tuple[str, str]] | None = None,
     preferred: tuple[str, ...] | None = None,
     *,
@@ -187,7 +189,7 @@ def clean_statistics(
     """Raw sheets to the long table, one row per period and state."""
     known = KNOWN_PERIODS if known is None else known
     preferred = tuple(known) if preferred is None else preferred
-    rows = with_period_meta(fill_totals(state_rows(keyed_rows(sheets))), known)
+    rows = with_period_meta(fill_totals(state_rows(keyed_rows(values, headers))), known)
     position = F.lit(0) if workbook_position is None else workbook_position
     return with_period_order(rows, position, preferred)
 

@@ -44,24 +44,28 @@ SELECT CASE WHEN event_id % 47 = 0 THEN concat('gone-', CAST(user_id AS STRING))
    WHEN 'click' THEN 'In Review' ELSE '' END AS status, ts, event_id FROM {events}
 """
 
-# Raw workbook: per sheet a header row, one row per state, one blank row.
-VIEWS["stats_values_v"] = """
-SELECT l.l_returnflag AS sheet_id, n.n_nationkey AS k, n.n_name AS state,
-  SUM(CASE WHEN l.l_linestatus = 'O' THEN 1 ELSE 0 END) AS ind,
-  SUM(CASE WHEN l.l_linestatus = 'F' THEN 1 ELSE 0 END) AS com,
-  SUM(CASE WHEN l.l_linestatus = 'O' AND l.l_quantity < 25 THEN 1 ELSE 0 END) AS tind,
-  SUM(CASE WHEN l.l_quantity > 40 THEN 1 ELSE 0 END) AS pend,
-  SUM(CASE WHEN l.l_discount > 0.07 THEN 1 ELSE 0 END) AS rej,
-  SUM(CAST(l.l_quantity AS BIGINT)) AS land
-FROM {lineitem} l JOIN {supplier} s ON l.l_suppkey = s.s_suppkey JOIN {nation} n ON s.s_nationkey = n.n_nationkey
-GROUP BY l.l_returnflag, n.n_nationkey, n.n_name
+# Raw workbook: per sheet a header row, one row per state, one blank row. Sheet N has all columns, R
+# ends in a header that leads to a key for the second time, A in a remark and empty headers.
+VIEWS["stats_counts_v"] = """
+SELECT t.sheet_id, n.n_nationkey AS k, n.n_name AS state, SUM(t.ind) AS ind, SUM(t.com) AS com, SUM(t.tind) AS tind,
+  SUM(t.pend) AS pend, SUM(t.rej) AS rej, SUM(t.land) AS land
+FROM (SELECT l_returnflag AS sheet_id, l_suppkey,
+  SUM(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS ind,
+  SUM(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS com,
+  SUM(CASE WHEN l_linestatus = 'O' AND l_quantity < 25 THEN 1 ELSE 0 END) AS tind,
+  SUM(CASE WHEN l_quantity > 40 THEN 1 ELSE 0 END) AS pend,
+  SUM(CASE WHEN l_discount > 0.07 THEN 1 ELSE 0 END) AS rej,
+  SUM(CAST(l_quantity AS BIGINT)) AS land
+  FROM {lineitem} GROUP BY l_returnflag, l_suppkey) t
+JOIN {supplier} s ON t.l_suppkey = s.s_suppkey JOIN {nation} n ON s.s_nationkey = n.n_nationkey
+GROUP BY t.sheet_id, n.n_nationkey, n.n_name
 """
 
 VIEWS["stats_names_v"] = """
 SELECT l_returnflag AS sheet_id FROM {lineitem} GROUP BY l_returnflag
 """
 
-VIEWS["stats_sheet_v"] = """
+VIEWS["stats_header_v"] = """
 SELECT sheet_id, CAST(0 AS INT) AS row_pos, 'Sl. No.' AS c0, 'States/UT' AS c1,
  concat('No. of  Claims Received', chr(10), ' Individual') AS c2,
  'Number of claims received - Community' AS c3, 'Claims Received (Total)' AS c4,
@@ -71,7 +75,9 @@ SELECT sheet_id, CAST(0 AS INT) AS row_pos, 'Sl. No.' AS c0, 'States/UT' AS c1,
  CASE WHEN sheet_id = 'N' THEN 'Forest Land (in acres) - Total'
    WHEN sheet_id = 'R' THEN 'Extent of forest land for which titles distributed (Individual)' END AS c8
 FROM stats_names_v
-UNION ALL
+"""
+
+VIEWS["stats_rows_v"] = """
 SELECT sheet_id, CAST(1000 AS INT) AS row_pos, NULL AS c0, '' AS c1, '  ' AS c2, NULL AS c3, chr(9) AS c4,
  NULL AS c5, '' AS c6, NULL AS c7, NULL AS c8
 FROM stats_names_v
@@ -86,7 +92,11 @@ SELECT sheet_id, CAST(k + 1 AS INT) AS row_pos, CAST(k AS STRING) AS c0,
  CAST(tind AS STRING) AS c5, concat(CAST(pend AS STRING), ' #') AS c6,
  CASE WHEN k % 5 = 0 THEN ' na ' ELSE CAST(rej AS STRING) END AS c7,
  CASE WHEN k % 7 = 3 THEN NULL ELSE concat(CAST(land AS STRING), '.1250') END AS c8
-FROM stats_values_v
+FROM stats_counts_v
+"""
+
+VIEWS["stats_sheet_v"] = """
+SELECT * FROM stats_header_v UNION ALL SELECT * FROM stats_rows_v
 """
 
 # Every turn is one entity span, the whole text of the turn being the entity.

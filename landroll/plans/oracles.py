@@ -187,9 +187,7 @@ ORACLES["claims_serialized"] = (
     f"SELECT id, name, status, {iso('created_at')} AS created_at FROM claims_v WHERE created_at IS NOT NULL"
 )
 ORACLES["claims_default_status"] = f"WITH {SHOWN} SELECT id, status FROM shown"
-ORACLES["claims_search"] = f"""WITH {SHOWN} SELECT id, name, village, district, 'ION_1' AS term FROM shown WHERE {FOUND}
- UNION ALL SELECT id, name, village, district, '%' AS term FROM shown
- WHERE contains(coalesce(name, '') || coalesce(village, '') || coalesce(district, ''), '%')"""
+ORACLES["claims_search"] = f"WITH {SHOWN} SELECT id, name, village, district FROM shown WHERE {FOUND}"
 ORACLES["claims_facet_filter"] = (
     f"WITH {SHOWN} SELECT id, state, status FROM shown WHERE state = 'ASIA' AND status = 'Approved'"
 )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from landroll.functions.numbers import indian_number, parse_number
 from landroll.operators import analytics, documents, ingest, ledger, maplayer, panel, statistics
 from landroll.plans.fixtures import STAT_COLUMNS, load_view
+from landroll.session import ensure_checkpoint_dir
 from landroll.sources.tables import read_table
 from landroll.sources.workbook import cells_array
 
@@ -18,7 +19,6 @@ QUERIES: dict[str, Query] = {}
 
 # Parameters of the registered queries.
 TERM = "ION_1"
-LITERAL_TERM = "%"
 FACETS = {"state": "ASIA", "status": "Approved"}
 PAGE = 2
 CLAIM_ID = "150"
@@ -56,11 +56,33 @@ def wanted(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.search_and_facets(shown(spark, folder), TERM, **FACETS)
 
 
-def sheets(spark: SparkSession, folder: str) -> DataFrame:
-    rows = load_view(spark, folder, "stats_sheet_v")
+def sheet_rows(spark: SparkSession, folder: str, view: str) -> DataFrame:
+    rows = load_view(spark, folder, view)
     return rows.select("sheet_id", "row_pos", cells_array(STAT_COLUMNS).alias("cells"))
 
 
+def headers(spark: SparkSession, folder: str) -> DataFrame:
+    return sheet_rows(spark, folder, "stats_header_v")
+
+
+def values(spark: SparkSession, folder: str) -> DataFrame:
+    return sheet_rows(spark, folder, "stats_rows_v")
+
+
+def keyed(spark: SparkSession, folder: str) -> DataFrame:
+    return statistics.keyed_rows(values(spark, folder), headers(spark, folder))
+
+
+def periods(spark: SparkSession, folder: str) -> DataFrame:
+    return statistics.with_period_order(headers(spark, folder), workbook_position(), PREFERRED)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows as a written table, for queries that use them more than once."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def workbook_position() -> Column:
     names = F.array(*[F.lit(s) for s in WORKBOOK_ORDER])
     return F.array_position(names, F.col("sheet_id")) - 1
@@ -68,7 +90,11 @@ def workbook_position() -> Column:
 
 def stats(spark: SparkSession, folder: str) -> DataFrame:
     return statistics.clean_statistics(
-        sheets(spark, folder), PERIODS, PREFERRED, workbook_position=workbook_position()
+        values(spark, folder),
+        headers(spark, folder),
+        PERIODS,
+        PREFERRED,
+        workbook_position=workbook_position(),
     )
 
 
@@ -107,9 +133,7 @@ def claims_default_status(spark, folder):
 
 @query
 def claims_search(spark, folder):
-    found = ledger.search(shown(spark, folder), TERM).select("id", "name", "village", "district")
-    literal = ledger.search(shown(spark, folder), LITERAL_TERM).select("id", "name", "village", "district")
-    return found.withColumn("term", F.lit(TERM)).unionByName(literal.withColumn("term", F.lit(LITERAL_TERM)))
+    return ledger.search(shown(spark, folder), TERM).select("id", "name", "village", "district")
 
 
 @query
@@ -297,46 +321,44 @@ def status_update_rejects(spark, folder):
 
 @query
 def stats_sheet_scan(spark, folder):
-    rows = sheets(spark, folder)
+    rows = sheet_rows(spark, folder, "stats_sheet_v")
     return rows.select("sheet_id", "row_pos", *[F.col("cells")[i].alias(c) for i, c in enumerate(STAT_COLUMNS)])
 
 
 @query
 def stats_header_norm(spark, folder):
-    return statistics.header_map(sheets(spark, folder)).select("sheet_id", "idx", "header", "normalized")
+    return statistics.header_map(headers(spark, folder)).select("sheet_id", "idx", "header", "normalized")
 
 
 @query
 def stats_header_map(spark, folder):
-    return statistics.header_map(sheets(spark, folder)).select("sheet_id", "idx", "key")
+    return statistics.header_map(headers(spark, folder)).select("sheet_id", "idx", "key")
 
 
 @query
 def stats_parse_number(spark, folder):
-    values = statistics.value_rows(sheets(spark, folder))
-    cells = values.select("sheet_id", "row_pos", F.posexplode("cells").alias("idx", "cell"))
+    cells = values(spark, folder).select("sheet_id", "row_pos", F.posexplode("cells").alias("idx", "cell"))
     return cells.withColumn("number", parse_number("cell"))
 
 
 @query
 def stats_nonblank(spark, folder):
-    return statistics.nonblank_rows(sheets(spark, folder)).select("sheet_id", "row_pos")
+    return statistics.nonblank_rows(values(spark, folder)).select("sheet_id", "row_pos")
 
 
 @query
 def stats_keyed_rows(spark, folder):
-    return statistics.keyed_rows(sheets(spark, folder))
+    return keyed(spark, folder)
 
 
 @query
 def stats_clean_rows(spark, folder):
-    keyed = statistics.keyed_rows(sheets(spark, folder))
-    return statistics.state_rows(keyed).select("sheet_id", "row_pos", "state")
+    return statistics.state_rows(keyed(spark, folder)).select("sheet_id", "row_pos", "state")
 
 
 @query
 def stats_totals(spark, folder):
-    rows = statistics.fill_totals(statistics.state_rows(statistics.keyed_rows(sheets(spark, folder))))
+    rows = statistics.fill_totals(statistics.state_rows(keyed(spark, folder)))
     return rows.select(
         "sheet_id", "row_pos", *[c for c in MEASURES if c.startswith(statistics.SUMMED)]
     )
@@ -344,19 +366,19 @@ def stats_totals(spark, folder):
 
 @query
 def stats_period_meta(spark, folder):
-    rows = statistics.with_period_meta(statistics.value_rows(sheets(spark, folder)), PERIODS)
+    rows = statistics.with_period_meta(values(spark, folder), PERIODS)
     return rows.groupBy("sheet_id", "label", "as_of").agg(F.count("*").alias("n_rows"))
 
 
 @query
 def stats_period_order(spark, folder):
-    rows = statistics.with_period_order(statistics.value_rows(sheets(spark, folder)), workbook_position(), PREFERRED)
+    rows = statistics.with_period_order(values(spark, folder), workbook_position(), PREFERRED)
     return rows.groupBy("sheet_id", "period_order").agg(F.count("*").alias("n_rows"))
 
 
 @query
 def stats_union_sheets(spark, folder):
-    rows = statistics.state_rows(statistics.keyed_rows(sheets(spark, folder)))
+    rows = saved(statistics.state_rows(keyed(spark, folder)))
     columns = {
         "A": ("claimsReceivedIndividual", "claimsReceivedCommunity"),
         "N": ("claimsReceivedTotal", "forestLandTotal"),
@@ -414,7 +436,7 @@ def stats_available_measures(spark, folder):
 
 @query
 def stats_load_summary(spark, folder):
-    return panel.load_summary(stats(spark, folder))
+    return panel.load_summary(stats(spark, folder), periods(spark, folder))
 
 
 @query
@@ -440,7 +462,7 @@ def stats_sorted(spark, folder):
 
 @query
 def stats_top10(spark, folder):
-    period = panel.pick_period(stats(spark, folder), PERIOD_ID)
+    period = panel.pick_periods(stats(spark, folder), periods(spark, folder), (PERIOD_ID,))
     return panel.top_states(period).select("state", "claims", "titles")
 
 
@@ -451,17 +473,13 @@ def stats_focus_flag(spark, folder):
 
 @query
 def stats_period_pick(spark, folder):
-    rows = stats(spark, folder)
-    picked = [
-        panel.pick_period(rows, wanted_id).select(F.lit(wanted_id).alias("wanted"), "sheet_id", "label", "state")
-        for wanted_id in (PERIOD_ID, NO_PERIOD)
-    ]
-    return picked[0].unionByName(picked[1])
+    picked = panel.pick_periods(stats(spark, folder), periods(spark, folder), (PERIOD_ID, NO_PERIOD))
+    return picked.select("wanted", "sheet_id", "label", "state")
 
 
 @query
 def stats_table_rows(spark, folder):
-    return panel.table_rows(stats(spark, folder))
+    return panel.table_rows(saved(stats(spark, folder)))
 
 
 @query
