@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from landroll.functions.text import as_column, trim_ws
+from landroll.functions.text import WHITESPACE, as_column
 
 # Fixed value: shown for a missing number or text.
 DASH = "—"
 
-PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# A whole text that is one number, blanks round it allowed.
+PLAIN_NUMBER = rf"^[{WHITESPACE}]*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)[{WHITESPACE}]*$"
 
 
 def parse_number(c: Column | str) -> Column:
@@ -23,33 +24,28 @@ def parse_number(c: Column | str) -> Column:
 
 def parse_plain_number(c: Column | str) -> Column:
     """Read text that is a number as a whole; null for anything else (`5d`, `abc`, empty)."""
-    text = trim_ws(c)
-    return F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
+    return F.regexp_extract(as_column(c), PLAIN_NUMBER, 1).try_cast("double")
 
 
-def _fixed_point(c: Column, places: int) -> Column:
-    """Positional decimal text without trailing zeros."""
-    text = c.try_cast(f"decimal(38,{places})").cast("string")
-    return F.regexp_replace(text, r"\.?0+$", "")
+def _without_trailing_zeros(fixed: Column) -> Column:
+    return F.rtrim(F.rtrim(fixed, F.lit("0")), F.lit("."))
 
 
 def number_text(c: Column | str) -> Column:
     """Shortest positional text of a number: `8.5`, `8`."""
-    return _fixed_point(as_column(c), 15)
+    return _without_trailing_zeros(as_column(c).try_cast("decimal(38,15)").cast("string"))
 
 
 def indian_number(c: Column | str) -> Column:
     """Text with Indian digit groups and at most three decimals: `67,56,280`."""
     value = as_column(c).cast("double")
-    text = _fixed_point(value, 3)
-    whole = F.substring_index(text, ".", 1)
-    decimals = F.when(F.contains(text, F.lit(".")), F.concat(F.lit("."), F.substring_index(text, ".", -1)))
-    grouped = F.regexp_replace(whole, r"(?<=\d)(?=(\d\d)+\d$)", ",")
+    fixed = value.try_cast("decimal(38,3)").cast("string")
+    grouped = F.regexp_replace(fixed, r"(?<=\d)(?=(\d\d)+\d\.)", ",")
     return (
         F.when(value.isNull() | F.isnan(value), DASH)
         .when(value == float("inf"), "∞")
         .when(value == float("-inf"), "-∞")
-        .otherwise(F.concat(grouped, F.coalesce(decimals, F.lit(""))))
+        .otherwise(_without_trailing_zeros(grouped))
     )
 
 

@@ -16,7 +16,8 @@ NOT_AVAILABLE = "N/A"
 
 
 def _usable(c: Column) -> Column:
-    return c.isNotNull() & (c != 0) & ~F.isnan(c)
+    """Neither null, zero nor NaN; the value is computed once per test."""
+    return F.nanvl(c, F.lit(0.0)) != 0
 
 
 def valid_points(df: DataFrame, *, latitude: str = "latitude", longitude: str = "longitude") -> DataFrame:

@@ -106,9 +106,8 @@ def keyed_rows(values: DataFrame, headers: DataFrame) -> DataFrame:
     rows = nonblank_rows(values).join(keys, "sheet_id").withColumn("_present", present)
 
     def cell(key: str) -> Column:
-        from_right = F.array_position("_present", F.lit(key))
-        index = F.size("_present") - from_right
-        return F.when(from_right > 0, F.get("cells", index.cast("int")))
+        from_right = F.nullif(F.array_position("_present", F.lit(key)), F.lit(0))
+        return F.get("cells", (F.size("_present") - from_right).cast("int"))
 
     return rows.select(
         "sheet_id",

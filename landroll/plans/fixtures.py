@@ -13,6 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from landroll.sources.tables import read_table
 
+# Columns of the base tables that the registered queries use.
+TABLES = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_nationkey INT",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE,"
+    " o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_suppkey BIGINT, l_quantity DOUBLE, l_discount DOUBLE, l_returnflag STRING, l_linestatus STRING",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING",
+    "pages": "page_id BIGINT, url STRING",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+}
+
 STAT_COLUMNS = [f"c{i}" for i in range(9)]
 
 VIEWS: dict[str, str] = {}
@@ -164,9 +179,13 @@ def with_views(sql: str) -> str:
     return f"WITH {views}, {own}" if own != sql else f"WITH {views} {sql}"
 
 
+def base_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return read_table(spark, folder, name, schema=TABLES[name])
+
+
 def load_view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     sql = with_views(f"SELECT * FROM {name}")
-    tables = {t: read_table(spark, folder, t) for t in sorted(set(BASE_TABLE.findall(sql)))}
+    tables = {t: base_table(spark, folder, t) for t in sorted(set(BASE_TABLE.findall(sql)))}
     return spark.sql(sql, **tables)
 
 

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from landroll.functions.numbers import indian_number, parse_number
 from landroll.operators import analytics, documents, ingest, ledger, maplayer, panel, statistics
-from landroll.plans.fixtures import STAT_COLUMNS, load_view
+from landroll.plans.fixtures import STAT_COLUMNS, base_table, load_view
 from landroll.session import ensure_checkpoint_dir
-from landroll.sources.tables import read_table
 from landroll.sources.workbook import cells_array
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -486,7 +485,7 @@ def stats_table_rows(spark, folder):
 def fmt_indian_number(spark, folder):
     """Every order total, scaled to different lengths and signs."""
     value = F.col("o_totalprice")
-    orders = read_table(spark, folder, "orders")
+    orders = base_table(spark, folder, "orders")
     return orders.select(
         "o_orderkey",
         indian_number(F.round(value * 1000) / 8).alias("large"),
@@ -500,13 +499,13 @@ def fmt_indian_number(spark, folder):
 
 @query
 def doc_ext_filter(spark, folder):
-    pages = read_table(spark, folder, "pages").select("page_id", "url")
+    pages = base_table(spark, folder, "pages").select("page_id", "url")
     return documents.screen_files(pages, path="url", allowed=(".html",))
 
 
 @query
 def doc_text_assembly(spark, folder):
-    turns = read_table(spark, folder, "conversations")
+    turns = base_table(spark, folder, "conversations")
     return documents.assemble_text(turns, doc="conv_id", page="turn", text="text")
 
 

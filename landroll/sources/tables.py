@@ -9,8 +9,10 @@ from landroll.functions.text import has_text
 from landroll.operators.ingest import stored_rows, text_key
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def read_table(spark: SparkSession, folder: str, name: str, *, schema: str | None = None) -> DataFrame:
+    """A Parquet table; with a schema given, no file is opened before the query runs."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(f"{folder}/{name}.parquet")
 
 
 def append_claims(
