@@ -82,7 +82,7 @@ def assemble_text(
     more than `pages_per_part` pages: then it is several rows whose texts, in `part_no` order, are
     the document, so that no group grows without bound.
     """
-    placed = F.array_sort(F.collect_list(F.struct(F.col(page).alias("page"), F.col(text).alias("text"))))
+    placed = F.sort_array(F.collect_list(F.struct(F.col(page).alias("page"), F.col(text).alias("text"))))
     ended = F.transform(placed, lambda p: F.concat(F.coalesce(p["text"], F.lit("")), F.lit(page_end)))
     return pages.groupBy(doc, _part(page, pages_per_part)).agg(F.array_join(ended, "").alias("raw_text"))
 
@@ -174,13 +174,17 @@ def entity_buckets(
 
     As with pages, a document of more than `positions_per_part` positions takes several rows.
     """
+    span = F.struct(F.col(position).alias("pos"), F.col(text).alias("text"), F.col(label).alias("label"))
+    placed = F.sort_array(F.collect_list(span)).alias("_spans")
+
     def bucket(labels: tuple[str, ...]) -> Column:
-        span = F.struct(F.col(position).alias("pos"), F.col(text).alias("text"))
-        placed = F.array_sort(F.collect_list(F.when(F.col(label).isin(*labels), span)))
-        return F.transform(placed, lambda s: s["text"])
+        chosen = F.filter("_spans", lambda s: s["label"].isin(*labels))
+        return F.transform(chosen, lambda s: s["text"])
 
-    return spans.groupBy(doc, _part(position, positions_per_part)).agg(
-        *[bucket(labels).alias(name) for name, labels in ENTITY_BUCKETS.items()]
+    return (
+        spans.groupBy(doc, _part(position, positions_per_part))
+        .agg(placed)
+        .select(doc, "part_no", *[bucket(labels).alias(name) for name, labels in ENTITY_BUCKETS.items()])
     )
 
 

@@ -3,6 +3,9 @@
 Copies of one text may be a large share of a batch or of the ledger. Texts are therefore reduced to
 one small row per distinct text on the map side, before anything is shuffled; full rows are only
 ever joined on their unique arrival number.
+
+A batch is mostly small beside the ledger. Its size is measured, and a small one is sent to the
+ledger scan so that the ledger is filtered where it is read instead of being shuffled.
 """
 
 from __future__ import annotations
@@ -11,6 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landroll.functions.text import has_text
+from landroll.operators.sizes import ROW_OVERHEAD, is_small, keep_wanted, text_bytes
+
+TEXT_KEY_BYTES = 32
 
 # Reject reasons.
 NAME_REQUIRED = "Claimant name is required."
@@ -72,10 +78,10 @@ def screen_claims(
     else:
         known = ledger.where(has_text(ledger_text)).select(text_key(ledger_text).alias("text_key"))
     named = has_text(name)
-    fresh = (
-        _first_arrivals(batch.where(named), arrival, raw_text)
-        .join(known.distinct(), "text_key", "left_anti")
-        .select(F.col("first_arrival").alias("_fresh"))
+    firsts = _first_arrivals(batch.where(named), arrival, raw_text)
+    known = keep_wanted(known, firsts, "text_key", batch.count() * (TEXT_KEY_BYTES + ROW_OVERHEAD))
+    fresh = firsts.join(known.distinct(), "text_key", "left_anti").select(
+        F.col("first_arrival").alias("_fresh")
     )
     reason = F.when(~named, NAME_REQUIRED).when(
         has_text(raw_text) & F.col("_fresh").isNull(), ALREADY_SAVED
@@ -131,6 +137,8 @@ def apply_status(
     """Claims with the last status change applied; both join sides have one row per claim."""
     latest = latest_status(updates, claim_id=claim_id, status=status, order=order)
     latest = latest.select(F.col(claim_id).alias(id_col), F.col(status).alias("_new"))
+    if is_small(text_bytes(updates, [claim_id, status])):
+        latest = F.broadcast(latest)
     columns = [F.coalesce("_new", status).alias(c) if c == status else F.col(c) for c in claims.columns]
     return claims.join(latest, id_col, "left").select(*columns)
 
@@ -150,10 +158,8 @@ def status_rejects(
     the other side has one row per claim.
     """
     empty = updates.where(~has_text(status)).withColumn("reject_reason", F.lit(STATUS_REQUIRED))
+    filled = updates.where(has_text(status))
     ids = claims.select(F.col(id_col).alias(claim_id))
-    unknown = (
-        updates.where(has_text(status))
-        .join(ids, claim_id, "left_anti")
-        .withColumn("reject_reason", F.lit(CLAIM_NOT_FOUND))
-    )
+    ids = keep_wanted(ids, filled.select(claim_id).distinct(), claim_id, text_bytes(updates, [claim_id]))
+    unknown = filled.join(ids, claim_id, "left_anti").withColumn("reject_reason", F.lit(CLAIM_NOT_FOUND))
     return empty.unionByName(unknown)

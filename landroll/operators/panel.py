@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from landroll.functions.numbers import indian_number, percent_text
+from landroll.operators.ordering import with_positions
 
 # The highlighted states, and how many states the chart shows.
 FOCUS_STATES = ("Madhya Pradesh", "Tripura", "Odisha", "Telangana")
@@ -87,6 +88,25 @@ def sort_rows(
     return df.orderBy(period, *sort_order(df, key, direction))
 
 
+def with_rank(
+    df: DataFrame,
+    key: str = CLAIMS,
+    direction: str | None = None,
+    *,
+    rank: str = "rank_pos",
+    period: str = "sheet_id",
+) -> DataFrame:
+    """Add the 1-based place of each row in the display order of its period.
+
+    The place is the position in the overall sort minus where the period starts, so that no period
+    has to fit into one task.
+    """
+    placed = with_positions(df, [F.asc(period), *sort_order(df, key, direction)], "_position")
+    starts = placed.groupBy(period).agg(F.min("_position").alias("_start"))
+    place = F.col("_position") - F.col("_start") + 1
+    return placed.join(starts, period).withColumn(rank, place).drop("_position", "_start")
+
+
 def top_states(df: DataFrame, n: int = TOP_STATES) -> DataFrame:
     """The states with most claims received, a missing number counting as 0."""
     claims = F.coalesce(CLAIMS, F.lit(0.0)).alias("claims")

@@ -203,7 +203,7 @@ def nest_periods(df: DataFrame, source: str, *, rows_per_record: int = ROWS_PER_
     part = F.floor(F.col("row_pos") / rows_per_record)
     row = F.struct("row_pos", F.struct("slNo", "state", *MEASURES).alias("row"))
     grouped = df.groupBy("sheet_id", "label", "as_of", "period_order", part.alias("part")).agg(
-        F.array_sort(F.collect_list(row)).alias("placed")
+        F.sort_array(F.collect_list(row)).alias("placed")
     )
     period = F.struct(
         F.col("sheet_id").alias("id"),

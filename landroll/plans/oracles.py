@@ -314,8 +314,8 @@ ORACLES["stats_available_measures"] = f"""WITH {STATS} SELECT sheet_id, bool_or(
  bool_or(forestLandTotal IS NOT NULL) AS has_forest_land FROM stats GROUP BY sheet_id"""
 ORACLES["stats_load_summary"] = f"""WITH {STATS} SELECT count(*) AS state_rows, count(DISTINCT sheet_id) AS periods FROM stats"""
 ORACLES["stats_sorted"] = f"""WITH {STATS} SELECT sheet_id, state, claimsReceivedTotal,
- CAST(row_number() OVER (PARTITION BY sheet_id ORDER BY claimsReceivedTotal DESC NULLS LAST, row_pos) AS INTEGER) AS rank_pos,
- CAST(row_number() OVER (PARTITION BY sheet_id ORDER BY lower(state), row_pos) AS INTEGER) AS state_rank_pos FROM stats"""
+ row_number() OVER (PARTITION BY sheet_id ORDER BY claimsReceivedTotal DESC NULLS LAST, row_pos) AS rank_pos,
+ row_number() OVER (PARTITION BY sheet_id ORDER BY lower(state), row_pos) AS state_rank_pos FROM stats"""
 ORACLES["stats_top10"] = f"""WITH {STATS} SELECT state, coalesce(claimsReceivedTotal, 0) AS claims,
  coalesce(titlesDistributedTotal, 0) AS titles FROM stats WHERE sheet_id = 'N'
  ORDER BY coalesce(claimsReceivedTotal, 0) DESC, row_pos LIMIT 10"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landroll.functions.numbers import indian_number, parse_number
@@ -440,23 +440,10 @@ def stats_load_summary(spark, folder):
 
 @query
 def stats_sorted(spark, folder):
-    """Rank of each state in its period, in the default order and by state name.
-
-    A period has one row per state here (the input is aggregated by nation), so the windows are small.
-    """
-    rows = stats(spark, folder)
-
-    def rank(key: str) -> Column:
-        return F.row_number().over(Window.partitionBy("sheet_id").orderBy(*panel.sort_order(rows, key)))
-
-    ranked = rows.select(
-        "sheet_id",
-        "state",
-        panel.CLAIMS,
-        rank(panel.CLAIMS).alias("rank_pos"),
-        rank("state").alias("state_rank_pos"),
-    )
-    return ranked.orderBy("sheet_id", "rank_pos")
+    """Place of each state in its period, in the default order and by state name."""
+    by_claims = panel.with_rank(stats(spark, folder))
+    by_state = panel.with_rank(by_claims, "state", rank="state_rank_pos")
+    return by_state.select("sheet_id", "state", panel.CLAIMS, "rank_pos", "state_rank_pos")
 
 
 @query

@@ -3,7 +3,7 @@ import datetime as dt
 from conftest import rows
 from pyspark.sql import functions as F
 
-from landroll.operators import ingest
+from landroll.operators import ingest, sizes
 from landroll.sources import tables
 
 BATCH = "arrival BIGINT, name STRING, raw_text STRING"
@@ -107,3 +107,53 @@ def test_status_changes(spark):
     assert rows(rejects, "event_id") == [
         (3, ingest.STATUS_REQUIRED), (6, ingest.CLAIM_NOT_FOUND), (7, ingest.STATUS_REQUIRED),
     ]
+
+
+def test_changes_with_a_hot_claim_are_split_at_run_time(spark, monkeypatch):
+    """A third of the changes is for one unknown claim, and neither side may be broadcast."""
+    monkeypatch.setattr(sizes, "BROADCAST_BYTES", -1)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "32",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        updates = spark.range(600_000).select(
+            F.col("id").alias("event_id"),
+            F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 5000).cast("string")).alias("claim_id"),
+            F.when(F.col("id") % 10 != 0, "Approved").otherwise("").alias("status"),
+        )
+        claims = spark.range(4000).select(F.col("id").cast("string").alias("id"))
+        rejects = ingest.status_rejects(claims, updates)
+        counts = rows(rejects.groupBy("reject_reason").count(), "reject_reason")
+        rejects._jdf.queryExecution().toRdd().count()
+        assert "SortMergeJoin(skew=true)" in plan_of(rejects)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    expected = {ingest.CLAIM_NOT_FOUND: 0, ingest.STATUS_REQUIRED: 0}
+    for i in range(600_000):
+        if i % 10 == 0:
+            expected[ingest.STATUS_REQUIRED] += 1
+        elif i % 3 == 0 or i % 5000 >= 4000:
+            expected[ingest.CLAIM_NOT_FOUND] += 1
+    assert counts == sorted(expected.items())
+
+
+def test_small_and_large_batches_give_the_same_result(spark, folder, monkeypatch):
+    from landroll.plans.queries import QUERIES
+
+    names = ["ingest_dedup", "ingest_duplicates", "status_apply", "status_update_rejects"]
+    small = {n: sorted(map(str, QUERIES[n](spark, folder).collect())) for n in names}
+    monkeypatch.setattr(sizes, "BROADCAST_BYTES", -1)
+    assert {n: sorted(map(str, QUERIES[n](spark, folder).collect())) for n in names} == small
+
+
+def test_measured_bytes(spark):
+    df = spark.createDataFrame([("ab", None), ("é", "x")], "a STRING, b STRING")
+    assert sizes.text_bytes(df, ["a", "b"]) == 2 * sizes.ROW_OVERHEAD + 5
+    assert sizes.text_bytes(df.limit(0), ["a"]) == 0

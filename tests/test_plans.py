@@ -5,7 +5,7 @@ import re
 import pytest
 
 from __spark_entry__ import queries
-from landroll.operators import ingest
+from landroll.operators import ingest, sizes
 
 
 def physical(df):
@@ -42,7 +42,8 @@ def test_daily_total_aggregates_before_its_window(spark, folder):
     assert plan.index("Window") < plan.index("HashAggregate")
 
 
-def test_texts_are_shuffled_as_keys(spark, folder, no_broadcast):
+def test_texts_are_shuffled_as_keys(spark, folder, no_broadcast, monkeypatch):
+    monkeypatch.setattr(sizes, "BROADCAST_BYTES", -1)
     new, held = "arrival BIGINT, name STRING, raw_text STRING", "raw_text STRING"
     plan = physical(ingest.screen_claims(spark.createDataFrame([], new), spark.createDataFrame([], held)))
     assert len(re.findall(r"hashpartitioning\(text_key", plan)) == 2
@@ -50,6 +51,11 @@ def test_texts_are_shuffled_as_keys(spark, folder, no_broadcast):
     assert "partial_min(arrival" in plan
 
 
+def test_a_small_batch_filters_the_ledger_where_it_is_read(spark, folder):
+    plan = physical(queries()["ingest_dedup"](spark, folder))
+    assert re.search(r"BroadcastHashJoin \[text_key#\d+\], \[text_key#\d+\], LeftSemi", plan)
+
+
 def test_first_two_places_are_cut_before_the_shuffle(spark, folder):
     plan = physical(queries()["entity_places"](spark, folder))
     partial = [i for i, line in enumerate(plan.splitlines()) if "WindowGroupLimit" in line]
