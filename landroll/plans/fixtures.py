@@ -18,10 +18,9 @@ TABLES = {
     "region": "r_regionkey INT, r_name STRING",
     "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
     "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_mktsegment STRING",
-    "supplier": "s_suppkey BIGINT, s_nationkey INT",
     "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE,"
     " o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
-    "lineitem": "l_suppkey BIGINT, l_quantity DOUBLE, l_discount DOUBLE, l_returnflag STRING, l_linestatus STRING",
+    "lineitem": "l_partkey BIGINT, l_suppkey BIGINT, l_quantity DOUBLE, l_discount DOUBLE, l_linestatus STRING",
     "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING",
     "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING",
     "pages": "page_id BIGINT, url STRING",
@@ -59,36 +58,38 @@ SELECT CASE WHEN event_id % 47 = 0 THEN concat('gone-', CAST(user_id AS STRING))
    WHEN 'click' THEN 'In Review' ELSE '' END AS status, ts, event_id FROM {events}
 """
 
-# Raw workbook: per sheet a header row, one row per state, one blank row. Sheet N has all columns, R
-# ends in a header that leads to a key for the second time, A in a remark and empty headers.
+# Raw workbook: one sheet per supplier, so that the workbook grows with the tables. Per sheet a header
+# row, one row per state, one blank row. There are three layouts, told by the first letter of the id:
+# N has all columns, R ends in a header that leads to a key for the second time, A in a remark and
+# empty headers.
 VIEWS["stats_counts_v"] = """
-SELECT t.sheet_id, n.n_nationkey AS k, n.n_name AS state, SUM(t.ind) AS ind, SUM(t.com) AS com, SUM(t.tind) AS tind,
-  SUM(t.pend) AS pend, SUM(t.rej) AS rej, SUM(t.land) AS land
-FROM (SELECT l_returnflag AS sheet_id, l_suppkey,
+SELECT t.sheet_no, n.n_nationkey AS k, n.n_name AS state, t.ind, t.com, t.tind, t.pend, t.rej, t.land
+FROM (SELECT l_suppkey AS sheet_no, CAST(l_partkey % 25 AS INT) AS k,
   SUM(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS ind,
   SUM(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS com,
   SUM(CASE WHEN l_linestatus = 'O' AND l_quantity < 25 THEN 1 ELSE 0 END) AS tind,
   SUM(CASE WHEN l_quantity > 40 THEN 1 ELSE 0 END) AS pend,
   SUM(CASE WHEN l_discount > 0.07 THEN 1 ELSE 0 END) AS rej,
   SUM(CAST(l_quantity AS BIGINT)) AS land
-  FROM {lineitem} GROUP BY l_returnflag, l_suppkey) t
-JOIN {supplier} s ON t.l_suppkey = s.s_suppkey JOIN {nation} n ON s.s_nationkey = n.n_nationkey
-GROUP BY t.sheet_id, n.n_nationkey, n.n_name
+  FROM {lineitem} GROUP BY l_suppkey, l_partkey % 25) t
+JOIN {nation} n ON t.k = n.n_nationkey
 """
 
 VIEWS["stats_names_v"] = """
-SELECT l_returnflag AS sheet_id FROM {lineitem} GROUP BY l_returnflag
+SELECT CASE l_suppkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS layout,
+ concat(CASE l_suppkey % 3 WHEN 0 THEN 'A-' WHEN 1 THEN 'N-' ELSE 'R-' END, CAST(l_suppkey AS STRING)) AS sheet_id
+FROM {lineitem} GROUP BY l_suppkey
 """
 
 VIEWS["stats_header_v"] = """
 SELECT sheet_id, CAST(0 AS INT) AS row_pos, 'Sl. No.' AS c0, 'States/UT' AS c1,
  concat('No. of  Claims Received', chr(10), ' Individual') AS c2,
  'Number of claims received - Community' AS c3, 'Claims Received (Total)' AS c4,
- CASE WHEN sheet_id = 'A' THEN 'Remarks' ELSE 'Titles Distributed Individual' END AS c5,
- CASE WHEN sheet_id = 'A' THEN NULL ELSE 'Pending Claims (Community)' END AS c6,
- CASE WHEN sheet_id = 'A' THEN '  ' ELSE ' Total Claims Rejected ' END AS c7,
- CASE WHEN sheet_id = 'N' THEN 'Forest Land (in acres) - Total'
-   WHEN sheet_id = 'R' THEN 'Extent of forest land for which titles distributed (Individual)' END AS c8
+ CASE WHEN layout = 'A' THEN 'Remarks' ELSE 'Titles Distributed Individual' END AS c5,
+ CASE WHEN layout = 'A' THEN NULL ELSE 'Pending Claims (Community)' END AS c6,
+ CASE WHEN layout = 'A' THEN '  ' ELSE ' Total Claims Rejected ' END AS c7,
+ CASE WHEN layout = 'N' THEN 'Forest Land (in acres) - Total'
+   WHEN layout = 'R' THEN 'Extent of forest land for which titles distributed (Individual)' END AS c8
 FROM stats_names_v
 """
 
@@ -97,7 +98,8 @@ SELECT sheet_id, CAST(1000 AS INT) AS row_pos, NULL AS c0, '' AS c1, '  ' AS c2,
  NULL AS c5, '' AS c6, NULL AS c7, NULL AS c8
 FROM stats_names_v
 UNION ALL
-SELECT sheet_id, CAST(k + 1 AS INT) AS row_pos, CAST(k AS STRING) AS c0,
+SELECT concat(CASE sheet_no % 3 WHEN 0 THEN 'A-' WHEN 1 THEN 'N-' ELSE 'R-' END, CAST(sheet_no AS STRING)) AS sheet_id,
+ CAST(k + 1 AS INT) AS row_pos, CAST(k AS STRING) AS c0,
  CASE WHEN k % 9 = 8 THEN 'TOTAL' WHEN k % 9 = 7 THEN '  ' WHEN k % 9 = 5 THEN 'Grand Total'
    ELSE concat(' ', state, chr(10)) END AS c1,
  CASE WHEN k % 6 = 1 THEN 'NA/NR' WHEN k % 6 = 2 THEN concat('-', CAST(ind AS STRING), '*')

@@ -82,7 +82,7 @@ def measure(name: str) -> str:
     cells = " ".join(
         f"WHEN '{sheet}' THEN {dirty_number(cells[name])}" for sheet, cells in SHEET_CELLS.items() if name in cells
     )
-    return f"CASE sheet_id {cells} END AS {name}" if cells else f"CAST(NULL AS DOUBLE) AS {name}"
+    return f"CASE left(sheet_id, 1) {cells} END AS {name}" if cells else f"CAST(NULL AS DOUBLE) AS {name}"
 
 
 BLANK_TEST = " AND ".join(f"{trimmed(f'coalesce(c{i}, {chr(39)*2})')} = ''" for i in range(9))
@@ -99,12 +99,14 @@ def total(stem: str) -> str:
     )
 
 
+PERIOD_ORDER = """CAST(CASE sheet_id WHEN 'R-2' THEN 0 WHEN 'N-1' THEN 1
+ ELSE CAST(split_part(sheet_id, '-', 2) AS INTEGER) + 2 END AS INTEGER)"""
 STATES = KEYED + ",\nstates AS (SELECT * FROM keyed WHERE state <> '' AND lower(state) <> 'total')"
 STATS = STATES + f""",
 stats AS (SELECT * REPLACE ({total('claimsReceived')}, {total('titlesDistributed')}),
- CASE sheet_id WHEN 'N' THEN 'Period N' WHEN 'R' THEN 'Period R' ELSE sheet_id END AS label,
- CASE sheet_id WHEN 'N' THEN DATE '2024-06-30' WHEN 'R' THEN DATE '2023-10-31' END AS as_of,
- CAST(CASE sheet_id WHEN 'R' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS INTEGER) AS period_order FROM states)"""
+ CASE sheet_id WHEN 'N-1' THEN 'Period N' WHEN 'R-2' THEN 'Period R' ELSE sheet_id END AS label,
+ CASE sheet_id WHEN 'N-1' THEN DATE '2024-06-30' WHEN 'R-2' THEN DATE '2023-10-31' END AS as_of,
+ {PERIOD_ORDER} AS period_order FROM states)"""
 
 SCREENED = """named AS (SELECT * FROM new_claims_v WHERE coalesce(name, '') <> ''),
 firsts AS (SELECT raw_text, min(arrival) AS first_arrival FROM named WHERE coalesce(raw_text, '') <> '' GROUP BY raw_text),
@@ -272,12 +274,12 @@ ORACLES["stats_sheet_scan"] = "SELECT * FROM stats_sheet_v"
 ORACLES["stats_header_norm"] = f"""SELECT sheet_id, idx, cell AS header, {NORMALIZED} AS normalized FROM ({CELLS})
  WHERE row_pos = 0"""
 KEYS = " ".join(
-    f"WHEN sheet_id = '{sheet}' AND idx = {int(cell[1:])} THEN '{name}'"
+    f"WHEN left(sheet_id, 1) = '{sheet}' AND idx = {int(cell[1:])} THEN '{name}'"
     for sheet, cells in SHEET_CELLS.items()
     for name, cell in cells.items()
 )
 ORACLES["stats_header_map"] = f"""SELECT sheet_id, idx, CASE WHEN idx = 0 THEN 'slNo' WHEN idx = 1 THEN 'state' {KEYS}
- WHEN sheet_id = 'R' AND idx = 5 THEN 'titlesDistributedIndividual' END AS key FROM ({CELLS}) WHERE row_pos = 0"""
+ WHEN left(sheet_id, 1) = 'R' AND idx = 5 THEN 'titlesDistributedIndividual' END AS key FROM ({CELLS}) WHERE row_pos = 0"""
 ORACLES["stats_parse_number"] = f"""SELECT sheet_id, row_pos, idx, cell, {dirty_number('cell')} AS number FROM ({CELLS})
  WHERE row_pos > 0"""
 ORACLES["stats_nonblank"] = f"SELECT sheet_id, row_pos FROM stats_sheet_v WHERE row_pos > 0 AND NOT ({BLANK_TEST})"
@@ -285,17 +287,17 @@ ORACLES["stats_keyed_rows"] = f"WITH {KEYED} SELECT * FROM keyed"
 ORACLES["stats_clean_rows"] = f"WITH {STATES} SELECT sheet_id, row_pos, state FROM states"
 ORACLES["stats_totals"] = f"""WITH {STATS} SELECT sheet_id, row_pos, claimsReceivedIndividual, claimsReceivedCommunity,
  claimsReceivedTotal, titlesDistributedIndividual, titlesDistributedCommunity, titlesDistributedTotal FROM stats"""
-ORACLES["stats_period_meta"] = """SELECT sheet_id, CASE sheet_id WHEN 'N' THEN 'Period N' WHEN 'R' THEN 'Period R'
- ELSE sheet_id END AS label, CASE sheet_id WHEN 'N' THEN DATE '2024-06-30' WHEN 'R' THEN DATE '2023-10-31' END AS as_of,
+ORACLES["stats_period_meta"] = """SELECT sheet_id, CASE sheet_id WHEN 'N-1' THEN 'Period N' WHEN 'R-2' THEN 'Period R'
+ ELSE sheet_id END AS label, CASE sheet_id WHEN 'N-1' THEN DATE '2024-06-30' WHEN 'R-2' THEN DATE '2023-10-31' END AS as_of,
  count(*) AS n_rows FROM stats_sheet_v WHERE row_pos > 0 GROUP BY 1, 2, 3"""
-ORACLES["stats_period_order"] = """SELECT sheet_id, CAST(CASE sheet_id WHEN 'R' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS INTEGER)
+ORACLES["stats_period_order"] = f"""SELECT sheet_id, {PERIOD_ORDER}
  AS period_order, count(*) AS n_rows FROM stats_sheet_v WHERE row_pos > 0 GROUP BY 1, 2"""
 ORACLES["stats_union_sheets"] = f"""WITH {STATES} SELECT sheet_id, row_pos, state,
- CASE WHEN sheet_id = 'A' THEN claimsReceivedIndividual END AS claimsReceivedIndividual,
- CASE WHEN sheet_id = 'A' THEN claimsReceivedCommunity END AS claimsReceivedCommunity,
- CASE WHEN sheet_id <> 'A' THEN claimsReceivedTotal END AS claimsReceivedTotal,
- CASE WHEN sheet_id = 'N' THEN forestLandTotal END AS forestLandTotal,
- CASE WHEN sheet_id = 'R' THEN rejectedTotal END AS rejectedTotal FROM states"""
+ CASE WHEN left(sheet_id, 1) = 'A' THEN claimsReceivedIndividual END AS claimsReceivedIndividual,
+ CASE WHEN left(sheet_id, 1) = 'A' THEN claimsReceivedCommunity END AS claimsReceivedCommunity,
+ CASE WHEN left(sheet_id, 1) <> 'A' THEN claimsReceivedTotal END AS claimsReceivedTotal,
+ CASE WHEN left(sheet_id, 1) = 'N' THEN forestLandTotal END AS forestLandTotal,
+ CASE WHEN left(sheet_id, 1) = 'R' THEN rejectedTotal END AS rejectedTotal FROM states"""
 ORACLES["stats_json_nest"] = f"""WITH {STATS} SELECT 'workbook' AS source, sheet_id AS id, label, CAST(as_of AS VARCHAR) AS "asOf",
  period_order AS position, CAST(count(*) AS INTEGER) AS n_rows, arg_min(state, row_pos) AS first_state,
  arg_max(state, row_pos) AS last_state FROM stats GROUP BY sheet_id, label, as_of, period_order"""
@@ -317,11 +319,11 @@ ORACLES["stats_sorted"] = f"""WITH {STATS} SELECT sheet_id, state, claimsReceive
  row_number() OVER (PARTITION BY sheet_id ORDER BY claimsReceivedTotal DESC NULLS LAST, row_pos) AS rank_pos,
  row_number() OVER (PARTITION BY sheet_id ORDER BY lower(state), row_pos) AS state_rank_pos FROM stats"""
 ORACLES["stats_top10"] = f"""WITH {STATS} SELECT state, coalesce(claimsReceivedTotal, 0) AS claims,
- coalesce(titlesDistributedTotal, 0) AS titles FROM stats WHERE sheet_id = 'N'
+ coalesce(titlesDistributedTotal, 0) AS titles FROM stats WHERE sheet_id = 'N-1'
  ORDER BY coalesce(claimsReceivedTotal, 0) DESC, row_pos LIMIT 10"""
 ORACLES["stats_focus_flag"] = f"""WITH {STATS} SELECT sheet_id, row_pos, state,
  state IN ('NATION_1', 'NATION_9', 'NATION_14', 'NATION_16') AS is_focus FROM stats"""
-ORACLES["stats_period_pick"] = f"""WITH {STATS} SELECT 'N' AS wanted, sheet_id, label, state FROM stats WHERE sheet_id = 'N'
+ORACLES["stats_period_pick"] = f"""WITH {STATS} SELECT 'N-1' AS wanted, sheet_id, label, state FROM stats WHERE sheet_id = 'N-1'
  UNION ALL SELECT 'ZZ' AS wanted, sheet_id, label, state FROM stats
  WHERE period_order = (SELECT min(period_order) FROM stats)"""
 

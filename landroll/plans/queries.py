@@ -22,10 +22,9 @@ FACETS = {"state": "ASIA", "status": "Approved"}
 PAGE = 2
 CLAIM_ID = "150"
 FOCUS = ("NATION_1", "NATION_9", "NATION_14", "NATION_16")
-PERIODS = {"N": ("Period N", "2024-06-30"), "R": ("Period R", "2023-10-31")}
-PREFERRED = ("R", "N")
-WORKBOOK_ORDER = ("A", "N", "R")
-PERIOD_ID = "N"
+PERIODS = {"N-1": ("Period N", "2024-06-30"), "R-2": ("Period R", "2023-10-31")}
+PREFERRED = ("R-2", "N-1")
+PERIOD_ID = "N-1"
 NO_PERIOD = "ZZ"
 SOURCE = "workbook"
 MEASURES = statistics.MEASURES
@@ -83,8 +82,8 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def workbook_position() -> Column:
-    names = F.array(*[F.lit(s) for s in WORKBOOK_ORDER])
-    return F.array_position(names, F.col("sheet_id")) - 1
+    """Sheets are numbered in workbook order."""
+    return F.substring_index("sheet_id", "-", -1).cast("int")
 
 
 def stats(spark: SparkSession, folder: str) -> DataFrame:
@@ -384,8 +383,8 @@ def stats_union_sheets(spark, folder):
         "R": ("claimsReceivedTotal", "rejectedTotal"),
     }
     frames = [
-        rows.where(F.col("sheet_id") == sheet).select("sheet_id", "row_pos", "state", *measures)
-        for sheet, measures in columns.items()
+        rows.where(F.startswith("sheet_id", F.lit(layout))).select("sheet_id", "row_pos", "state", *measures)
+        for layout, measures in columns.items()
     ]
     return statistics.union_sheets(frames)
 
