@@ -117,8 +117,7 @@ def ledger_rows(df: DataFrame) -> DataFrame:
 
 def coordinate_text(value: str, raw: str) -> Column:
     """A number prints as number; zero and text that is no number keep their input form."""
-    typed = F.when(F.col(value) != 0, number_text(value))
-    return F.coalesce(typed, empty_to_null(raw))
+    return F.coalesce(number_text(F.nullif(F.col(value), F.lit(0.0))), empty_to_null(raw))
 
 
 def detail_rows(
@@ -127,7 +126,7 @@ def detail_rows(
     """Display columns of a claim page, for all rows given."""
     lat = coordinate_text("latitude", latitude_in)
     lon = coordinate_text("longitude", longitude_in)
-    coordinates = F.when(lat.isNotNull() & lon.isNotNull(), F.concat(lat, F.lit(", "), lon))
+    coordinates = F.concat(lat, F.lit(", "), lon)  # null when either is
     return df.select(
         "id",
         or_default("name", DETAIL_TITLE).alias("title"),

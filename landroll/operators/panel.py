@@ -135,22 +135,30 @@ def pick_periods(
 
 def table_rows(df: DataFrame, *, period: str = "sheet_id") -> DataFrame:
     """Display text of the panel table; a column the period does not have is null."""
+    shown = [
+        CLAIMS, "claimsReceivedIndividual", "claimsReceivedCommunity",
+        TITLES, "titlesDistributedIndividual", "titlesDistributedCommunity",
+        "pendingIndividual", "pendingCommunity", "rejectedTotal", "forestLandTotal",
+    ]
+    texts = F.transform(F.array(*shown), indian_number).alias("_texts")
+    rows = df.select(period, "row_pos", "state", texts).join(available_measures(df, period=period), period)
+
+    def text(measure: str) -> Column:
+        return F.get("_texts", F.lit(shown.index(measure)))
+
     def parts(stem: str) -> Column:
-        return F.concat(
-            F.lit("I "), indian_number(stem + "Individual"), F.lit(" · C "), indian_number(stem + "Community")
-        )
+        return F.concat(F.lit("I "), text(stem + "Individual"), F.lit(" · C "), text(stem + "Community"))
 
-    pending = F.concat(indian_number("pendingIndividual"), F.lit(" / "), indian_number("pendingCommunity"))
-    shown = df.join(available_measures(df, period=period), period)
-    return shown.select(
+    pending = F.concat(text("pendingIndividual"), F.lit(" / "), text("pendingCommunity"))
+    return rows.select(
         period,
         "row_pos",
         "state",
-        indian_number(CLAIMS).alias("claims_text"),
+        text(CLAIMS).alias("claims_text"),
         parts("claimsReceived").alias("claims_parts"),
-        indian_number(TITLES).alias("titles_text"),
+        text(TITLES).alias("titles_text"),
         parts("titlesDistributed").alias("titles_parts"),
         F.when(F.col("has_pending"), pending).alias("pending_text"),
-        F.when(F.col("has_rejected"), indian_number("rejectedTotal")).alias("rejected_text"),
-        F.when(F.col("has_forest_land"), indian_number("forestLandTotal")).alias("forest_land_text"),
+        F.when(F.col("has_rejected"), text("rejectedTotal")).alias("rejected_text"),
+        F.when(F.col("has_forest_land"), text("forestLandTotal")).alias("forest_land_text"),
     )

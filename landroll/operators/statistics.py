@@ -97,24 +97,37 @@ def keyed_rows(values: DataFrame, headers: DataFrame) -> DataFrame:
     end of that array, so of two columns with one key the last one counts, also when its cell is
     empty. Cells that a short row does not have are no columns of that row. No row is exploded or
     regrouped: the only join attaches one key array to the rows of its sheet.
+
+    The cells are parsed and looked up inside array expressions, which keeps the generated code of a
+    wide row small enough for the JVM to compile.
     """
     keys = headers.select(
         "sheet_id",
         F.transform("cells", lambda cell: F.coalesce(header_key(normalize_header(cell)), F.lit(""))).alias("keys"),
     )
-    present = F.reverse(F.slice("keys", 1, F.greatest(F.size("cells"), F.lit(0))))
-    rows = nonblank_rows(values).join(keys, "sheet_id").withColumn("_present", present)
+    rows = nonblank_rows(values).join(keys, "sheet_id").select(
+        "sheet_id",
+        "row_pos",
+        F.slice("cells", F.lit(1), F.size("keys")).alias("_cells"),
+        F.reverse(F.slice("keys", F.lit(1), F.size("cells"))).alias("_from_right"),
+    )
 
-    def cell(key: str) -> Column:
-        from_right = F.nullif(F.array_position("_present", F.lit(key)), F.lit(0))
-        return F.get("cells", (F.size("_present") - from_right).cast("int"))
+    def place(key: Column) -> Column:
+        """Index of the key's cell; one past the end when the row has no such cell."""
+        return (F.size("_from_right") - F.array_position("_from_right", key)).cast("int")
 
-    return rows.select(
+    numeric = ["slNo", *MEASURES]
+    numbers = F.transform(
+        F.array(*[F.lit(key) for key in numeric]), lambda key: parse_number(F.get("_cells", place(key)))
+    )
+    found = rows.select(
         "sheet_id",
         "row_pos",
-        parse_number(cell("slNo")).alias("slNo"),
-        F.coalesce(trim_ws(cell("state")), F.lit("")).alias("state"),
-        *[parse_number(cell(m)).alias(m) for m in MEASURES],
+        F.coalesce(trim_ws(F.get("_cells", place(F.lit("state")))), F.lit("")).alias("state"),
+        numbers.alias("_numbers"),
+    )
+    return found.select(
+        "sheet_id", "row_pos", "state", *[F.get("_numbers", F.lit(i)).alias(key) for i, key in enumerate(numeric)]
     )
 
 

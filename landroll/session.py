@@ -18,6 +18,7 @@ def build_session(app_name: str = "landroll", **overrides: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.ui.enabled": "false",
     }
     settings.update({key.replace("__", "."): value for key, value in overrides.items()})
