@@ -76,9 +76,22 @@ def search(df: DataFrame, term: str, *, columns: tuple[str, ...] = SEARCH_COLUMN
     return df.where(reduce(or_, [contains_ignoring_case(c, term) for c in columns]))
 
 
-def facet_filter(df: DataFrame, **choices: str | None) -> DataFrame:
-    """Exact matches on the chosen facets; an empty choice filters nothing."""
-    tests = [F.col(column) == value for column, value in choices.items() if value]
+def facet_filter(
+    df: DataFrame, *, missing: dict[str, str] | None = None, **choices: str | None
+) -> DataFrame:
+    """Exact matches on the chosen facets; an empty choice filters nothing.
+
+    `missing` names the value under which a facet shows null and empty (by default the ledger's
+    default status), so the filter may come before `default_status`. On stored columns it then
+    reaches the file scan, which it could not through the defaulted column.
+    """
+    missing = {"status": DEFAULT_STATUS} if missing is None else missing
+
+    def test(column: str, value: str) -> Column:
+        c = F.col(column)
+        return c.isNull() | c.isin("", value) if missing.get(column) == value else c == value
+
+    tests = [test(column, value) for column, value in choices.items() if value]
     return df.where(reduce(and_, tests)) if tests else df
 
 

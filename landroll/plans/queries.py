@@ -51,7 +51,7 @@ def shown(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def wanted(spark: SparkSession, folder: str) -> DataFrame:
-    return ledger.search_and_facets(shown(spark, folder), TERM, **FACETS)
+    return ledger.default_status(ledger.search_and_facets(listed(spark, folder), TERM, **FACETS))
 
 
 def sheet_rows(spark: SparkSession, folder: str, view: str) -> DataFrame:
@@ -136,7 +136,8 @@ def claims_search(spark, folder):
 
 @query
 def claims_facet_filter(spark, folder):
-    return ledger.facet_filter(shown(spark, folder), district="", **FACETS).select("id", "state", "status")
+    found = ledger.facet_filter(listed(spark, folder), district="", **FACETS)
+    return ledger.default_status(found).select("id", "state", "status")
 
 
 @query

@@ -51,6 +51,15 @@ def test_ledger_after_default_status(spark):
     assert ids(ledger.facet_filter(df, status="Pending")) == ["1", "2"]
 
 
+def test_facets_before_and_after_the_default_agree(spark):
+    df = table(spark, claim("1", status=""), claim("2"), claim("3", status="Pending"), claim("4", status="Approved"))
+    for status in ("Pending", "Approved", "Rejected", ""):
+        before = ledger.default_status(ledger.facet_filter(df, status=status))
+        after = ledger.facet_filter(ledger.default_status(df), status=status, missing={})
+        assert rows(before.select("id", "status"), "id") == rows(after.select("id", "status"), "id")
+    assert ids(ledger.facet_filter(df, status="Pending", missing={})) == ["3"]
+
+
 def test_rows_and_details(spark):
     df = ledger.coerce_coordinates(
         table(

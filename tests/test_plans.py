@@ -77,3 +77,5 @@ def test_facet_and_id_filters_reach_the_files(spark, tmp_path):
     table = spark.read.parquet(path)
     assert "EqualTo(state,S)" in physical(ledger.facet_filter(table, state="S"))
     assert "EqualTo(id,1)" in physical(ledger.claim_by_id(table, "1"))
+    pending = physical(ledger.default_status(ledger.facet_filter(table, status="Pending")))
+    assert re.search(r"PushedFilters: \[Or\(IsNull\(status\),\s*In\(status", pending)
