@@ -13,32 +13,35 @@ TOP_K_DEPTH = 10_000
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row count of a partition in the low bits
 
 
-def with_positions(df: DataFrame, order: list[Column], position: str = "position") -> DataFrame:
-    """Add the 1-based position in a total order without bringing all rows into one task.
-
-    The rows are range-partitioned by `order`, each partition counts its own rows, and the running
-    count of the partitions before gives the offset. The partition layout must not change between
-    the two uses, so the sorted rows are checkpointed. The broadcast side has one row per sort
-    partition.
+def with_positions(
+    df: DataFrame, order: list[Column], position: str = "position", *, within: tuple[str, ...] = ()
+) -> DataFrame:
+    """Add the 1-based position in a total order, over all rows or within groups.
+
+    No group has to fit into one task: the rows are range-partitioned by group and `order`, each
+    partition counts its rows per group, and the counts of the partitions before give the offset.
+    The partition layout must not change between the two uses, so the sorted rows are checkpointed.
+    The rows are joined to the offsets on partition and group, and no partition is larger than the
+    sort made it. Over all rows there is one offset per partition, which is broadcast.
     """
     ensure_checkpoint_dir(df.sparkSession)
     placed = (
-        df.orderBy(*order)
+        df.orderBy(*[F.asc(g) for g in within], *order)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
         .checkpoint()
     )
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy("_part")
-        .agg(F.count("*").alias("_n"))
-        .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    )
-    return (
-        placed.join(F.broadcast(offsets), "_part")
-        .withColumn(position, F.col("_offset") + F.col("_row") + 1)
-        .drop("_part", "_row", "_offset")
+    runs = placed.groupBy("_part", *within).agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1
+    offsets = runs.select(
+        F.col("_part").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(within)], offset.alias("_offset")
     )
+    same = F.col("_part") == F.col("_p")
+    for i, g in enumerate(within):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    joined = placed.join(offsets if within else F.broadcast(offsets), same)
+    return joined.select(*df.columns, (F.col("_offset") + F.col("_row")).alias(position))
 
 
 def page_of(df: DataFrame, order: list[Column], page: int, rows_per_page: int) -> DataFrame:

@@ -96,15 +96,8 @@ def with_rank(
     rank: str = "rank_pos",
     period: str = "sheet_id",
 ) -> DataFrame:
-    """Add the 1-based place of each row in the display order of its period.
-
-    The place is the position in the overall sort minus where the period starts, so that no period
-    has to fit into one task.
-    """
-    placed = with_positions(df, [F.asc(period), *sort_order(df, key, direction)], "_position")
-    starts = placed.groupBy(period).agg(F.min("_position").alias("_start"))
-    place = F.col("_position") - F.col("_start") + 1
-    return placed.join(starts, period).withColumn(rank, place).drop("_position", "_start")
+    """Add the 1-based place of each row in the display order of its period."""
+    return with_positions(df, sort_order(df, key, direction), rank, within=(period,))
 
 
 def top_states(df: DataFrame, n: int = TOP_STATES) -> DataFrame:

@@ -79,10 +79,9 @@ def value_rows(sheets: DataFrame) -> DataFrame:
 
 def header_map(headers: DataFrame) -> DataFrame:
     """(sheet_id, idx, header, normalized, key) of every header cell."""
-    normalized = normalize_header("header")
-    return headers.select("sheet_id", F.posexplode("cells").alias("idx", "header")).select(
-        "sheet_id", "idx", "header", normalized.alias("normalized"), header_key(normalized).alias("key")
-    )
+    cells = headers.select("sheet_id", F.posexplode("cells").alias("idx", "header"))
+    normalized = cells.withColumn("normalized", normalize_header("header"))
+    return normalized.withColumn("key", header_key(F.col("normalized")))
 
 
 def nonblank_rows(values: DataFrame) -> DataFrame:
@@ -90,45 +89,48 @@ def nonblank_rows(values: DataFrame) -> DataFrame:
     return values.where(trim_ws(F.concat_ws("", "cells")) != "")
 
 
-def keyed_rows(values: DataFrame, headers: DataFrame) -> DataFrame:
-    """Non-blank rows with one column per key: (sheet_id, row_pos, slNo, state, measures).
-
-    A sheet's header becomes an array of keys; a cell is found by looking for its key from the right
-    end of that array, so of two columns with one key the last one counts, also when its cell is
-    empty. Cells that a short row does not have are no columns of that row. No row is exploded or
-    regrouped: the only join attaches one key array to the rows of its sheet.
+def sheet_keys(headers: DataFrame) -> DataFrame:
+    """(sheet_id, keys): the key of each header cell in column order, empty where there is none."""
+    normalized = F.transform("cells", normalize_header)
+    keys = F.transform(normalized, lambda header: F.coalesce(header_key(header), F.lit("")))
+    return headers.select("sheet_id", keys.alias("keys"))
 
-    The cells are parsed and looked up inside array expressions, which keeps the generated code of a
-    wide row small enough for the JVM to compile.
-    """
-    keys = headers.select(
-        "sheet_id",
-        F.transform("cells", lambda cell: F.coalesce(header_key(normalize_header(cell)), F.lit(""))).alias("keys"),
-    )
-    rows = nonblank_rows(values).join(keys, "sheet_id").select(
-        "sheet_id",
-        "row_pos",
-        F.slice("cells", F.lit(1), F.size("keys")).alias("_cells"),
-        F.reverse(F.slice("keys", F.lit(1), F.size("cells"))).alias("_from_right"),
-    )
 
+def _places(keys: Column, wanted: list[str]) -> Column:
+    """Index of the right-most column of each wanted key, null where there is none."""
     def place(key: Column) -> Column:
-        """Index of the key's cell; one past the end when the row has no such cell."""
-        return (F.size("_from_right") - F.array_position("_from_right", key)).cast("int")
+        from_right = F.array_position(F.reverse(keys), key)
+        return F.when(from_right > 0, F.size(keys) - from_right).cast("int")
+
+    return F.transform(F.array(*[F.lit(key) for key in wanted]), place)
+
+
+def keyed_rows(values: DataFrame, headers: DataFrame) -> DataFrame:
+    """Non-blank rows with one column per key: (sheet_id, row_pos, state, slNo, measures).
+
+    Where a key's cell is, is worked out once per sheet. Of two columns with one key the right-hand
+    one counts, also when its cell is empty. Cells that a short row does not have are no columns of
+    that row, so its places are looked up again among the columns it has. No row is exploded or
+    regrouped: the only join attaches the places to the rows of their sheet.
 
-    numeric = ["slNo", *MEASURES]
-    numbers = F.transform(
-        F.array(*[F.lit(key) for key in numeric]), lambda key: parse_number(F.get("_cells", place(key)))
+    The cells are parsed inside array expressions, which keeps the generated code of a wide row
+    small enough for the JVM to compile.
+    """
+    wanted = ["state", "slNo", *MEASURES]
+    sheet = sheet_keys(headers).withColumn("_of_sheet", _places(F.col("keys"), wanted))
+    short = F.size("cells") < F.size("keys")
+    of_row = _places(F.slice("keys", F.lit(1), F.size("cells")), wanted)
+    rows = nonblank_rows(values).join(sheet, "sheet_id").select(
+        "sheet_id", "row_pos", "cells", F.when(short, of_row).otherwise(F.col("_of_sheet")).alias("_places")
     )
     found = rows.select(
         "sheet_id",
         "row_pos",
-        F.coalesce(trim_ws(F.get("_cells", place(F.lit("state")))), F.lit("")).alias("state"),
-        numbers.alias("_numbers"),
-    )
-    return found.select(
-        "sheet_id", "row_pos", "state", *[F.get("_numbers", F.lit(i)).alias(key) for i, key in enumerate(numeric)]
+        F.coalesce(trim_ws(F.get("cells", F.get("_places", F.lit(0)))), F.lit("")).alias("state"),
+        F.transform("_places", lambda i: parse_number(F.get("cells", i))).alias("_numbers"),
     )
+    numbers = [F.get("_numbers", F.lit(i)).alias(key) for i, key in enumerate(wanted) if key != "state"]
+    return found.select("sheet_id", "row_pos", "state", *numbers)
 
 
 def state_rows(keyed: DataFrame) -> DataFrame:

@@ -441,7 +441,7 @@ def stats_load_summary(spark, folder):
 @query
 def stats_sorted(spark, folder):
     """Place of each state in its period, in the default order and by state name."""
-    by_claims = panel.with_rank(stats(spark, folder))
+    by_claims = panel.with_rank(saved(stats(spark, folder)))
     by_state = panel.with_rank(by_claims, "state", rank="state_rank_pos")
     return by_state.select("sheet_id", "state", panel.CLAIMS, "rank_pos", "state_rank_pos")
 

@@ -20,3 +20,15 @@ def test_deep_pages_equal_shallow_ones(spark, monkeypatch):
     shallow = [rows(ordering.page_of(df, order, p, 7)) for p in (1, 5, 43, 44)]
     monkeypatch.setattr(ordering, "TOP_K_DEPTH", 0)
     assert [rows(ordering.page_of(df, order, p, 7)) for p in (1, 5, 43, 44)] == shallow
+
+
+def test_positions_within_groups_with_a_hot_and_a_null_group(spark):
+    group = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 101 != 0, (F.col("id") % 40).cast("string"))
+    df = spark.range(6000).select("id", group.alias("g"), (F.col("id") * 7919 % 11).alias("k"))
+    placed = ordering.with_positions(df.repartition(5), [F.desc("k"), F.asc("id")], within=("g",))
+    assert placed.columns == ["id", "g", "k", "position"]
+    members = {}
+    for row in df.collect():
+        members.setdefault(row["g"], []).append((-row["k"], row["id"]))
+    expected = {i: place for group in members.values() for place, (_, i) in enumerate(sorted(group), 1)}
+    assert {r["id"]: r["position"] for r in placed.collect()} == expected
