@@ -8,7 +8,7 @@ OP1 = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
   WHERE label IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 pair AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
   WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
@@ -22,7 +22,7 @@ OP2 = rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
     WHEN len(w) > 0 THEN [array_to_string(w, ' ') || ' '] ELSE [] END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 pair AS (
@@ -73,8 +73,8 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS x FROM p),
 t AS (SELECT x, payload_bytes, max(page_id) AS top FROM d GROUP BY 1, 2)
 SELECT page_id, payload_bytes,
-  list_aggregate(list_transform(range(0, 8), g -> list_aggregate(list_transform([15, 10, 5, 0],
-    k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, g * 5 + 1, 5))::BIGINT >> k) & 31) + 1)::BIGINT, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+  list_aggregate(list_transform(range(0, 8), lambda g: list_aggregate(list_transform([15, 10, 5, 0],
+    lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, g * 5 + 1, 5))::BIGINT >> k) & 31) + 1)::BIGINT, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
   CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
 FROM d JOIN t USING (x, payload_bytes)
 """
@@ -91,7 +91,7 @@ def _op7() -> str:
     for k, (_, pattern, group, least) in enumerate(kinds):
         pattern = f"'{pattern}'"
         parts.append(
-            f"SELECT doc_id, source, lang, {k} AS kind, list_sum(list_transform(gap[1:i], y -> length(y))) + coalesce(list_sum(list_transform(whole[1:i - 1], y -> length(y))), 0) AS start, whole[i] AS whole, val[i] AS val "
+            f"SELECT doc_id, source, lang, {k} AS kind, list_sum(list_transform(gap[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda y: length(y))), 0) AS start, whole[i] AS whole, val[i] AS val "
             f"FROM (SELECT doc_id, source, lang, whole, val, gap, unnest(range(1, len(whole) + 1)) AS i FROM (SELECT doc_id, source, lang, regexp_extract_all(t, {pattern}) AS whole, regexp_extract_all(t, {pattern}, {group}) AS val, string_split_regex(t, {pattern}) AS gap FROM d)) WHERE length(val[i]) >= {least}"
         )
     names = "['assign', 'access', 'hex', 'mixed'][kind + 1] || ':' || start || ':' || stop"
