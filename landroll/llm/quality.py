@@ -28,6 +28,7 @@ BUCKETS = 1 << 15
 FACTORS = 8
 SAMPLE = 2_000  # labelled documents per class that the model is fitted on
 EPOCHS = 8
+LEAST_STEPS = 400  # small samples are passed more often
 BATCH = 128
 THRESHOLD = 0.7
 STATISTICS = 15
@@ -114,7 +115,7 @@ def _fit(starts: np.ndarray, index: np.ndarray, value: np.ndarray, y: np.ndarray
     w, v, bias = np.zeros(size), rng.normal(0, 0.05, (size, FACTORS)), 0.0
     gw, gv, gb = np.full(size, 1e-2), np.full((size, FACTORS), 1e-2), 1e-2
     n, rate, decay = len(y), 0.08, 1e-5
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // n))):
         order = rng.permutation(n)
         for k in range(0, n, BATCH):
             chosen = order[k : k + BATCH]
