@@ -45,8 +45,8 @@ REVIEW_STATUS = "Pending"
 NOT_FOUND = "Not found"
 NO_TEXT_SHOWN = "No text extracted."
 
-# Pages or entity positions of a document that go into one row; longer documents take several rows.
-POSITIONS_PER_PART = 10_000
+# Pages or entity positions of a document that are sorted together before the sorted parts are merged.
+POSITIONS_PER_PART = 1_000
 
 
 def file_extension(path: Column | str) -> Column:
@@ -76,15 +76,17 @@ def assemble_text(
     page_end: str = "\n",
     pages_per_part: int = POSITIONS_PER_PART,
 ) -> DataFrame:
-    """Page texts of a document in page order, each followed by `page_end`.
+    """Page texts of a document in page order, each followed by `page_end`: one row per document.
 
-    `page_end` is empty for single images. A document is one row with `part_no` 0 unless it has
-    more than `pages_per_part` pages: then it is several rows whose texts, in `part_no` order, are
-    the document, so that no group grows without bound.
+    `page_end` is empty for single images. Runs of `pages_per_part` pages are sorted and joined
+    first, in tasks of their own, then the runs of a document are put together; the size of a run
+    does not show in the result.
     """
     placed = F.sort_array(F.collect_list(F.struct(F.col(page).alias("page"), F.col(text).alias("text"))))
     ended = F.transform(placed, lambda p: F.concat(F.coalesce(p["text"], F.lit("")), F.lit(page_end)))
-    return pages.groupBy(doc, _part(page, pages_per_part)).agg(F.array_join(ended, "").alias("raw_text"))
+    parts = pages.groupBy(doc, _part(page, pages_per_part)).agg(F.array_join(ended, "").alias("_text"))
+    ordered = F.sort_array(F.collect_list(F.struct("part_no", "_text")))
+    return parts.groupBy(doc).agg(F.array_join(F.transform(ordered, lambda p: p["_text"]), "").alias("raw_text"))
 
 
 def choose_text(
@@ -170,9 +172,9 @@ def entity_buckets(
     text: str = "text",
     positions_per_part: int = POSITIONS_PER_PART,
 ) -> DataFrame:
-    """Entity texts per document and bucket, in text order.
+    """Entity texts per document and bucket, in text order: one row per document.
 
-    As with pages, a document of more than `positions_per_part` positions takes several rows.
+    As with pages, runs of `positions_per_part` positions are sorted first and then put together.
     """
     span = F.struct(F.col(position).alias("pos"), F.col(text).alias("text"), F.col(label).alias("label"))
     placed = F.sort_array(F.collect_list(span)).alias("_spans")
@@ -181,11 +183,10 @@ def entity_buckets(
         chosen = F.filter("_spans", lambda s: s["label"].isin(*labels))
         return F.transform(chosen, lambda s: s["text"])
 
-    return (
-        spans.groupBy(doc, _part(position, positions_per_part))
-        .agg(placed)
-        .select(doc, "part_no", *[bucket(labels).alias(name) for name, labels in ENTITY_BUCKETS.items()])
-    )
+    parts = spans.groupBy(doc, _part(position, positions_per_part)).agg(placed)
+    ordered = F.sort_array(F.collect_list(F.struct("part_no", "_spans")))
+    merged = parts.groupBy(doc).agg(F.flatten(F.transform(ordered, lambda p: p["_spans"])).alias("_spans"))
+    return merged.select(doc, *[bucket(labels).alias(name) for name, labels in ENTITY_BUCKETS.items()])
 
 
 def _is_particular(text: Column) -> Column:

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landroll.functions.numbers import parse_plain_number
 from landroll.functions.text import has_text
 from landroll.operators.sizes import ROW_OVERHEAD, is_small, keep_wanted, text_bytes
 
@@ -103,12 +104,24 @@ def name_rejects(df: DataFrame, *, name: str = "name") -> DataFrame:
     return df.where(~has_text(name)).withColumn("reject_reason", F.lit(NAME_REQUIRED))
 
 
+def _as_stored(c: str, kind: str, found: str | None) -> Column:
+    if found is None:
+        return F.lit(None).cast(kind)
+    if kind == "double" and found == "string":
+        return parse_plain_number(c)
+    if kind == "string" and found.startswith(("struct", "array", "map")):
+        return F.to_json(c)
+    return F.col(c).cast(kind)
+
+
 def stored_rows(df: DataFrame, created_at: Column | None = None, *, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Project to the stored fields plus `created_at`; fields a submission lacks become null."""
-    fields = [
-        F.col(c) if c in df.columns else F.lit(None).cast(kind).alias(c)
-        for c, kind in STORED_FIELDS.items()
-    ]
+    """Project to the stored fields plus `created_at`; fields a submission lacks become null.
+
+    Every field gets its stored type, so batches of other types can be appended to one ledger: text
+    that is no plain number is no coordinate, and nested entities are stored as JSON.
+    """
+    kinds = dict(df.dtypes)
+    fields = [_as_stored(c, kind, kinds.get(c)).alias(c) for c, kind in STORED_FIELDS.items()]
     stamp = F.current_timestamp() if created_at is None else created_at
     return df.select(*keep, *fields, stamp.alias("created_at"))
 

@@ -16,7 +16,7 @@ from landroll.functions.text import (
     or_default,
 )
 from landroll.functions.times import utc_iso_text
-from landroll.operators.ordering import page_of
+from landroll.operators.ordering import page_of, rows_after
 
 # Result sizes, labels and defaults that users of the ledger see.
 ROWS_PER_PAGE = 10
@@ -176,6 +176,11 @@ def ledger_page(df: DataFrame, page: int, *, rows_per_page: int = ROWS_PER_PAGE)
     return page_of(df, newest_first(), page, rows_per_page)
 
 
+def ledger_after(df: DataFrame, after: tuple, *, rows_per_page: int = ROWS_PER_PAGE) -> DataFrame:
+    """The page behind a row given by its `(created_at, id)`, newest first: for reading deep pages one by one."""
+    return rows_after(df, [("created_at", "desc"), ("id", "desc")], after, rows_per_page)
+
+
 def page_count(df: DataFrame, *, rows_per_page: int = ROWS_PER_PAGE) -> DataFrame:
     """Number of rows and of pages."""
     n = F.count("*")

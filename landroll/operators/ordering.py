@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from landroll.session import ensure_checkpoint_dir
 
-# Rows up to this depth are kept by a bounded top-k; deeper pages take the distributed way.
-TOP_K_DEPTH = 10_000
-
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row count of a partition in the low bits
 
 
@@ -45,10 +42,23 @@ def with_positions(
 
 
 def page_of(df: DataFrame, order: list[Column], page: int, rows_per_page: int) -> DataFrame:
-    """Page `page` (from 1) in a total order."""
-    first = (page - 1) * rows_per_page
-    if first + rows_per_page <= TOP_K_DEPTH:
-        return df.orderBy(*order).offset(first).limit(rows_per_page)
-    placed = with_positions(df, order, "_position")
-    wanted = F.col("_position").between(first + 1, first + rows_per_page)
-    return placed.where(wanted).orderBy("_position").drop("_position")
+    """Page `page` (from 1) in a total order. For reading on and on, `rows_after` is cheaper."""
+    return df.orderBy(*order).offset((page - 1) * rows_per_page).limit(rows_per_page)
+
+
+def rows_after(df: DataFrame, keys: list[tuple[str, str]], after: tuple, rows_per_page: int) -> DataFrame:
+    """The rows that follow a given one in the order of `keys`, (column, "asc" or "desc") each.
+
+    `after` holds the key values of the last row seen, none of them null. The first key's bound is a plain
+    filter, which the scan can use to skip files; rows with a null key are not part of the order.
+    """
+    follows = F.lit(False)
+    tied = F.lit(True)
+    for (column, direction), value in zip(keys, after, strict=True):
+        beyond = F.col(column) < F.lit(value) if direction == "desc" else F.col(column) > F.lit(value)
+        follows = follows | (tied & beyond)
+        tied = tied & (F.col(column) == F.lit(value))
+    first, direction = keys[0]
+    bound = F.col(first) <= F.lit(after[0]) if direction == "desc" else F.col(first) >= F.lit(after[0])
+    order = [F.desc(c) if d == "desc" else F.asc(c) for c, d in keys]
+    return df.where(bound & follows).orderBy(*order).limit(rows_per_page)

@@ -21,17 +21,31 @@ def measure_sum(measure: str) -> Column:
     return F.coalesce(F.sum(measure), F.lit(0.0))
 
 
-def sum_field(df: DataFrame, measure: str, *, period: str = "sheet_id") -> DataFrame:
-    return df.groupBy(period).agg(measure_sum(measure).alias("total"))
+def _of_all(found: DataFrame, periods: DataFrame | None, period: str, absent: dict[str, float | int | bool]) -> DataFrame:
+    """The figures of every listed period; those without rows get the given ones."""
+    if periods is None:
+        return found
+    every = periods.select(period).distinct().join(found, period, "left")
+    return every.fillna({c: v for c, v in absent.items()})
 
 
-def period_kpis(df: DataFrame, *, period: str = "sheet_id") -> DataFrame:
-    """Claims, titles, states and title rate per period, as numbers and as display text."""
-    sums = df.groupBy(period).agg(
+def sum_field(df: DataFrame, measure: str, periods: DataFrame | None = None, *, period: str = "sheet_id") -> DataFrame:
+    """Sum of a measure per period; `periods` lists those to show, also without rows."""
+    found = df.groupBy(period).agg(measure_sum(measure).alias("total"))
+    return _of_all(found, periods, period, {"total": 0.0})
+
+
+def period_kpis(df: DataFrame, periods: DataFrame | None = None, *, period: str = "sheet_id") -> DataFrame:
+    """Claims, titles, states and title rate per period, as numbers and as display text.
+
+    `periods` lists the periods to show; one without rows has 0, 0, 0 and no rate.
+    """
+    found = df.groupBy(period).agg(
         measure_sum(CLAIMS).alias("claims"),
         measure_sum(TITLES).alias("titles"),
         F.count("*").alias("states"),
     )
+    sums = _of_all(found, periods, period, {"claims": 0.0, "titles": 0.0, "states": 0})
     rate = F.when(F.col("claims") > 0, F.col("titles") / F.col("claims") * 100)
     return sums.withColumn("rate", rate).withColumns(
         {
@@ -43,14 +57,15 @@ def period_kpis(df: DataFrame, *, period: str = "sheet_id") -> DataFrame:
     )
 
 
-def available_measures(df: DataFrame, *, period: str = "sheet_id") -> DataFrame:
-    """Which optional measures a period has at all."""
+def available_measures(df: DataFrame, periods: DataFrame | None = None, *, period: str = "sheet_id") -> DataFrame:
+    """Which optional measures a period has at all; a listed period without rows has none."""
     pending = F.col("pendingIndividual").isNotNull() | F.col("pendingCommunity").isNotNull()
-    return df.groupBy(period).agg(
+    found = df.groupBy(period).agg(
         F.bool_or(F.col("rejectedTotal").isNotNull()).alias("has_rejected"),
         F.bool_or(pending).alias("has_pending"),
         F.bool_or(F.col("forestLandTotal").isNotNull()).alias("has_forest_land"),
     )
+    return _of_all(found, periods, period, {"has_rejected": False, "has_pending": False, "has_forest_land": False})
 
 
 def load_summary(df: DataFrame, periods: DataFrame) -> DataFrame:

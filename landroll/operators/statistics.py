@@ -44,12 +44,12 @@ TOTAL_ROW = "total"
 # Measures whose missing total is the sum of its parts.
 SUMMED = ("claimsReceived", "titlesDistributed")
 
-# A nested record holds at most this many rows of a period; longer periods take several records.
-ROWS_PER_RECORD = 50_000
+# Rows of a period that are sorted together before the sorted parts are merged.
+ROWS_PER_PART = 5_000
 
 ROW_TYPE = "STRUCT<slNo: DOUBLE, state: STRING, " + ", ".join(f"{m}: DOUBLE" for m in MEASURES) + ">"
 PERIODS_TYPE = (
-    "ARRAY<STRUCT<id: STRING, label: STRING, asOf: STRING, position: INT, firstRow: BIGINT, "
+    "ARRAY<STRUCT<id: STRING, label: STRING, asOf: STRING, position: INT, "
     f"rows: ARRAY<{ROW_TYPE}>>>"
 )
 
@@ -111,7 +111,8 @@ def keyed_rows(values: DataFrame, headers: DataFrame) -> DataFrame:
     Where a key's cell is, is worked out once per sheet. Of two columns with one key the right-hand
     one counts, also when its cell is empty. Cells that a short row does not have are no columns of
     that row, so its places are looked up again among the columns it has. No row is exploded or
-    regrouped: the only join attaches the places to the rows of their sheet.
+    regrouped: the only join attaches the places to the rows of their sheet. A sheet without headers
+    is an error.
 
     The cells are parsed inside array expressions, which keeps the generated code of a wide row
     small enough for the JVM to compile.
@@ -120,8 +121,10 @@ def keyed_rows(values: DataFrame, headers: DataFrame) -> DataFrame:
     sheet = sheet_keys(headers).withColumn("_of_sheet", _places(F.col("keys"), wanted))
     short = F.size("cells") < F.size("keys")
     of_row = _places(F.slice("keys", F.lit(1), F.size("cells")), wanted)
-    rows = nonblank_rows(values).join(sheet, "sheet_id").select(
-        "sheet_id", "row_pos", "cells", F.when(short, of_row).otherwise(F.col("_of_sheet")).alias("_places")
+    known = nonblank_rows(values).join(sheet, "sheet_id", "left")
+    unknown = F.raise_error(F.concat(F.lit("no header row in sheet "), F.col("sheet_id"))).cast("array<int>")
+    rows = known.select(
+        "sheet_id", "row_pos", "cells", F.when(F.col("_of_sheet").isNull(), unknown).when(short, of_row).otherwise(F.col("_of_sheet")).alias("_places")
     )
     found = rows.select(
         "sheet_id",
@@ -198,35 +201,39 @@ def clean_statistics(
     known: dict[str, tuple[str, str]] | None = None,
     preferred: tuple[str, ...] | None = None,
     *,
-    workbook_position: Column | str | None = None,
+    workbook_position: Column | str,
 ) -> DataFrame:
     """Raw sheets to the long table, one row per period and state."""
     known = KNOWN_PERIODS if known is None else known
     preferred = tuple(known) if preferred is None else preferred
     rows = with_period_meta(fill_totals(state_rows(keyed_rows(values, headers))), known)
-    position = F.lit(0) if workbook_position is None else workbook_position
-    return with_period_order(rows, position, preferred)
+    return with_period_order(rows, workbook_position, preferred)
 
 
-def nest_periods(df: DataFrame, source: str, *, rows_per_record: int = ROWS_PER_RECORD) -> DataFrame:
-    """The long table as payload records `(source, periods[{id, label, asOf, rows[…]}])`.
+def nest_periods(
+    df: DataFrame, source: str, periods: DataFrame | None = None, *, rows_per_part: int = ROWS_PER_PART
+) -> DataFrame:
+    """The long table as payload records `(source, periods[{id, label, asOf, rows[…]}])`, one per period.
 
-    One record per period. Rows are in `row_pos` order. A period longer than `rows_per_record`
-    positions is split over several records by position, so that no group grows without bound;
-    `flatten_periods` puts them together again.
+    Rows are in `row_pos` order. Runs of `rows_per_part` rows are sorted first and then put together.
+    `periods` (sheet_id, label, as_of, period_order) lists the periods to write, those without rows with an
+    empty list; without it, there are those that have rows.
     """
-    part = F.floor(F.col("row_pos") / rows_per_record)
+    meta = ("label", "as_of", "period_order")
     row = F.struct("row_pos", F.struct("slNo", "state", *MEASURES).alias("row"))
-    grouped = df.groupBy("sheet_id", "label", "as_of", "period_order", part.alias("part")).agg(
-        F.sort_array(F.collect_list(row)).alias("placed")
-    )
+    part = F.floor(F.col("row_pos") / rows_per_part).alias("part")
+    keys = ("sheet_id",) if periods is not None else ("sheet_id", *meta)
+    parts = df.groupBy(*keys, part).agg(F.sort_array(F.collect_list(row)).alias("placed"))
+    ordered = F.sort_array(F.collect_list(F.struct("part", "placed")))
+    grouped = parts.groupBy(*keys).agg(F.flatten(F.transform(ordered, lambda p: p["placed"])).alias("placed"))
+    if periods is not None:
+        grouped = periods.select("sheet_id", *meta).join(grouped, "sheet_id", "left")
     period = F.struct(
         F.col("sheet_id").alias("id"),
         "label",
         F.col("as_of").cast("string").alias("asOf"),
         F.col("period_order").alias("position"),
-        F.when(F.col("part") > 0, F.col("part") * rows_per_record).alias("firstRow"),
-        F.transform("placed", lambda p: p["row"]).alias("rows"),
+        F.coalesce(F.transform("placed", lambda p: p["row"]), F.expr(f"cast(array() as ARRAY<{ROW_TYPE}>)")).alias("rows"),
     )
     return grouped.select(F.lit(source).alias("source"), F.array(period).alias("periods"))
 
@@ -243,8 +250,7 @@ def flatten_periods(nested: DataFrame) -> DataFrame:
         F.col("p.id").alias("sheet_id"),
         F.col("p.label").alias("label"),
         F.col("p.asOf").cast("date").alias("as_of"),
-        F.coalesce("p.firstRow", F.lit(0).cast("bigint")).alias("_first"),
-        F.posexplode("p.rows").alias("_pos", "row"),
+        F.posexplode("p.rows").alias("row_pos", "row"),
     )
     return rows.select(
         "source",
@@ -252,6 +258,6 @@ def flatten_periods(nested: DataFrame) -> DataFrame:
         "sheet_id",
         "label",
         "as_of",
-        (F.col("_first") + F.col("_pos")).alias("row_pos"),
+        F.col("row_pos").cast("bigint").alias("row_pos"),
         "row.*",
     )

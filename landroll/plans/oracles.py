@@ -300,7 +300,7 @@ ORACLES["stats_union_sheets"] = f"""WITH {STATES} SELECT sheet_id, row_pos, stat
  CASE WHEN left(sheet_id, 1) = 'R' THEN rejectedTotal END AS rejectedTotal FROM states"""
 ORACLES["stats_json_nest"] = f"""WITH {STATS} SELECT 'workbook' AS source, sheet_id AS id, label, CAST(as_of AS VARCHAR) AS "asOf",
  period_order AS position, CAST(count(*) AS INTEGER) AS n_rows, arg_min(state, row_pos) AS first_state,
- arg_max(state, row_pos) AS last_state FROM stats GROUP BY sheet_id, label, as_of, period_order"""
+ arg_max(state, row_pos) AS last_state, string_agg(state, '|' ORDER BY row_pos) AS states FROM stats GROUP BY sheet_id, label, as_of, period_order"""
 ORACLES["stats_json_flatten"] = f"""WITH {STATS} SELECT 'workbook' AS source, * REPLACE (
  row_number() OVER (PARTITION BY sheet_id ORDER BY row_pos) - 1 AS row_pos) FROM stats"""
 
@@ -348,8 +348,8 @@ ORACLES["doc_ext_filter"] = r"""WITH x AS (SELECT page_id, url,
  lower(regexp_extract(url, '(?:^|/)\.*[^/.][^/]*(\.[^./]*)$', 1)) AS extension FROM {pages})
  SELECT page_id, url, extension, CASE WHEN coalesce(url, '') = '' THEN 'No selected file'
  WHEN extension <> '.html' THEN 'Invalid file type.' END AS reject_reason FROM x"""
-ORACLES["doc_text_assembly"] = """SELECT conv_id, CAST(turn // 10000 AS BIGINT) AS part_no,
- string_agg(coalesce(text, '') || chr(10), '' ORDER BY turn, text) AS raw_text FROM {conversations} GROUP BY 1, 2"""
+ORACLES["doc_text_assembly"] = """SELECT conv_id,
+ string_agg(coalesce(text, '') || chr(10), '' ORDER BY turn, text) AS raw_text FROM {conversations} GROUP BY 1"""
 ORACLES["doc_text_fallback"] = f"""WITH t AS (SELECT doc_id, CASE WHEN primary_error IS NULL THEN primary_text ELSE fallback_text END AS x
  FROM engine_outputs_v), b AS (SELECT *, coalesce({trimmed('x')}, '') = '' AS blank FROM t)
  SELECT doc_id, CASE WHEN NOT blank THEN x END AS raw_text,
@@ -375,8 +375,8 @@ def spans(labels: str) -> str:
 
 PLACES = """places AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY pos, text) AS rn FROM spans_v
  WHERE label IN ('GPE', 'LOC') AND lower(text) NOT IN ('india', 'state', 'district', 'village'))"""
-ORACLES["entity_buckets"] = f"""SELECT doc_id, CAST(pos // 10000 AS BIGINT) AS part_no, {spans("'PERSON'")} AS persons,
- {spans("'GPE', 'LOC'")} AS locations, {spans("'DATE'")} AS dates, {spans("'ORG'")} AS organizations FROM spans_v GROUP BY 1, 2"""
+ORACLES["entity_buckets"] = f"""SELECT doc_id, {spans("'PERSON'")} AS persons,
+ {spans("'GPE', 'LOC'")} AS locations, {spans("'DATE'")} AS dates, {spans("'ORG'")} AS organizations FROM spans_v GROUP BY 1"""
 ORACLES["entity_places"] = f"""WITH {PLACES} SELECT d.doc_id,
  (SELECT arg_min(text, pos) FROM spans_v s WHERE s.doc_id = d.doc_id AND label = 'PERSON') AS name,
  v.text AS village, w.text AS district FROM (SELECT DISTINCT doc_id FROM spans_v) d

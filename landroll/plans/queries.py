@@ -392,7 +392,8 @@ def stats_union_sheets(spark, folder):
 
 @query
 def stats_json_nest(spark, folder):
-    records = statistics.nest_periods(stats(spark, folder), SOURCE).select("source", F.inline("periods"))
+    listed = statistics.with_period_meta(periods(spark, folder), PERIODS)
+    records = statistics.nest_periods(stats(spark, folder), SOURCE, listed).select("source", F.inline("periods"))
     return records.select(
         "source",
         "id",
@@ -402,6 +403,7 @@ def stats_json_nest(spark, folder):
         F.size("rows").alias("n_rows"),
         F.col("rows")[0]["state"].alias("first_state"),
         F.element_at("rows", -1)["state"].alias("last_state"),
+        F.array_join(F.transform("rows", lambda r: r["state"]), "|").alias("states"),
     )
 
 
@@ -420,17 +422,17 @@ def stats_json_flatten(spark, folder):
 
 @query
 def stats_sum_field(spark, folder):
-    return panel.sum_field(stats(spark, folder), "claimsReceivedIndividual")
+    return panel.sum_field(stats(spark, folder), "claimsReceivedIndividual", periods(spark, folder))
 
 
 @query
 def stats_kpis(spark, folder):
-    return panel.period_kpis(stats(spark, folder)).withColumn("rate", F.round("rate", 6))
+    return panel.period_kpis(stats(spark, folder), periods(spark, folder)).withColumn("rate", F.round("rate", 6))
 
 
 @query
 def stats_available_measures(spark, folder):
-    return panel.available_measures(stats(spark, folder))
+    return panel.available_measures(stats(spark, folder), periods(spark, folder))
 
 
 @query
@@ -532,9 +534,7 @@ def land_areas(spark, folder):
 @query
 def entity_buckets(spark, folder):
     buckets = documents.entity_buckets(load_view(spark, folder, "spans_v"))
-    return buckets.select(
-        "doc_id", "part_no", *[F.array_join(c, "|").alias(c) for c in documents.ENTITY_BUCKETS]
-    )
+    return buckets.select("doc_id", *[F.array_join(c, "|").alias(c) for c in documents.ENTITY_BUCKETS])
 
 
 @query

@@ -91,16 +91,20 @@ PAGES = "doc_id INT, page_no INT, text STRING"
 
 def test_page_assembly(spark):
     pages = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (1, 10, "c"), (2, 1, None)], PAGES)
-    assert rows(documents.assemble_text(pages), "doc_id") == [(1, 0, "a\nb\nc\n"), (2, 0, "\n")]
-    assert rows(documents.assemble_text(pages, page_end=""), "doc_id") == [(1, 0, "abc"), (2, 0, "")]
-
-
-def test_long_documents_take_several_rows_and_lose_nothing(spark):
-    pages = spark.range(1000).select(F.lit(1).alias("doc_id"), F.col("id").alias("page_no"), F.col("id").cast("string").alias("text"))
-    parts = documents.assemble_text(pages, pages_per_part=128)
-    assert parts.count() == 8
-    whole = "".join(r["raw_text"] for r in parts.orderBy("part_no").collect())
-    assert whole == "".join(f"{i}\n" for i in range(1000))
+    assert rows(documents.assemble_text(pages), "doc_id") == [(1, "a\nb\nc\n"), (2, "\n")]
+    assert rows(documents.assemble_text(pages, page_end=""), "doc_id") == [(1, "abc"), (2, "")]
+
+
+def test_the_size_of_parts_does_not_show(spark):
+    words = ["Village:", "Bhima", "District:", "Kandhamal"]
+    pages = spark.range(1000).select(F.lit(1).alias("doc_id"), F.col("id").alias("page_no"), F.get(F.array(*[F.lit(w) for w in words]), (F.col("id") % 4).cast("int")).alias("text"))
+    whole = rows(documents.form_fields(documents.assemble_text(pages, pages_per_part=1000)))
+    assert len(whole) == 1 and whole[0][1].startswith("Village:\nBhima\n")
+    spans = pages.select("doc_id", F.col("page_no").alias("pos"), F.lit("GPE").alias("label"), F.col("page_no").cast("string").alias("text"))
+    buckets = rows(documents.entity_buckets(spans, positions_per_part=1000))
+    for size in (1, 7, 999, 1001):
+        assert rows(documents.form_fields(documents.assemble_text(pages, pages_per_part=size))) == whole
+        assert rows(documents.entity_buckets(spans, positions_per_part=size)) == buckets
 
 
 def test_choice_of_text(spark):

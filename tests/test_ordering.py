@@ -14,12 +14,13 @@ def test_positions_equal_a_plain_sort(spark):
     assert [i for _, i in found] == expected
 
 
-def test_deep_pages_equal_shallow_ones(spark, monkeypatch):
+def test_seeking_equals_paging(spark):
     df = spark.range(300).select("id", (F.col("id") % 10).alias("k"))
     order = [F.desc("k"), F.asc("id")]
-    shallow = [rows(ordering.page_of(df, order, p, 7)) for p in (1, 5, 43, 44)]
-    monkeypatch.setattr(ordering, "TOP_K_DEPTH", 0)
-    assert [rows(ordering.page_of(df, order, p, 7)) for p in (1, 5, 43, 44)] == shallow
+    for page in (1, 5, 42, 43):
+        last = rows(ordering.page_of(df, order, page, 7))[-1]
+        seen = ordering.rows_after(df, [("k", "desc"), ("id", "asc")], (last[1], last[0]), 7)
+        assert rows(seen) == rows(ordering.page_of(df, order, page + 1, 7))
 
 
 def test_positions_within_groups_with_a_hot_and_a_null_group(spark):

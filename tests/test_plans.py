@@ -4,8 +4,8 @@ import re
 
 import pytest
 
-from __spark_entry__ import queries
 from landroll.operators import ingest, sizes
+from landroll.plans.queries import QUERIES
 
 
 def physical(df):
@@ -20,10 +20,10 @@ def no_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_every_plan_is_spread_out(spark, folder, name, no_broadcast):
     """No Python, no cross join; a single-partition exchange only carries aggregates."""
-    plan = physical(queries()[name](spark, folder))
+    plan = physical(QUERIES[name](spark, folder))
     for bad in ("EvalPython", "InPandas", "InArrow", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert bad not in plan
     lines = plan.splitlines()
@@ -34,11 +34,11 @@ def test_every_plan_is_spread_out(spark, folder, name, no_broadcast):
 
 @pytest.mark.parametrize("name", ["ledger_page", "stats_top10"])
 def test_top_k_is_bounded(spark, folder, name):
-    assert "TakeOrderedAndProject" in physical(queries()[name](spark, folder))
+    assert "TakeOrderedAndProject" in physical(QUERIES[name](spark, folder))
 
 
 def test_daily_total_aggregates_before_its_window(spark, folder):
-    plan = physical(queries()["claims_cumulative"](spark, folder))
+    plan = physical(QUERIES["claims_cumulative"](spark, folder))
     assert plan.index("Window") < plan.index("HashAggregate")
 
 
@@ -52,19 +52,19 @@ def test_texts_are_shuffled_as_keys(spark, folder, no_broadcast, monkeypatch):
 
 
 def test_a_small_batch_filters_the_ledger_where_it_is_read(spark, folder):
-    plan = physical(queries()["ingest_dedup"](spark, folder))
+    plan = physical(QUERIES["ingest_dedup"](spark, folder))
     assert re.search(r"BroadcastHashJoin \[text_key#\d+\], \[text_key#\d+\], LeftSemi", plan)
 
 
 def test_first_two_places_are_cut_before_the_shuffle(spark, folder):
-    plan = physical(queries()["entity_places"](spark, folder))
+    plan = physical(QUERIES["entity_places"](spark, folder))
     partial = [i for i, line in enumerate(plan.splitlines()) if "WindowGroupLimit" in line]
     shuffle = [i for i, line in enumerate(plan.splitlines()) if "hashpartitioning(doc_id" in line and "kind" in line]
     assert len(partial) == 2 and partial[0] < shuffle[0] < partial[1]
 
 
 def test_counts_read_only_their_columns(spark, folder):
-    plan = physical(queries()["claims_by_status"](spark, folder))
+    plan = physical(QUERIES["claims_by_status"](spark, folder))
     orders = next(line for line in plan.splitlines() if "FileScan" in line and "o_orderkey" in line)
     assert "o_totalprice" not in orders and "o_orderpriority" not in orders
 

@@ -93,7 +93,7 @@ def clean(spark):
     ]
     values = statistics.union_sheets([v for v, _ in frames])
     heads = statistics.union_sheets([h for _, h in frames])
-    return statistics.clean_statistics(values, heads)
+    return statistics.clean_statistics(values, heads, workbook_position=F.lit(0))
 
 
 def test_json_round_trip(spark, tmp_path):
@@ -107,18 +107,31 @@ def test_json_round_trip(spark, tmp_path):
     assert "pendingIndividual" not in text and "firstRow" not in text
 
 
-def test_long_periods_are_split_and_come_back_whole(spark):
+def test_the_size_of_parts_does_not_show(spark):
     wide = spark.range(1, 1001).select(
         F.lit("p").alias("sheet_id"), F.lit("p").alias("label"), F.lit(None).cast("date").alias("as_of"),
         F.lit(0).alias("period_order"), F.col("id").cast("int").alias("row_pos"), F.lit(None).cast("double").alias("slNo"),
         F.concat(F.lit("s"), "id").alias("state"),
         *[F.col("id").cast("double").alias(m) for m in statistics.MEASURES],
     )
-    nested = statistics.nest_periods(wide, "book", rows_per_record=64)
-    assert nested.count() == 16
-    assert nested.select(F.max(F.size(F.col("periods")[0]["rows"]))).first()[0] == 64
-    back = statistics.flatten_periods(nested)
-    assert [r[0] for r in rows(back.select("state"), "row_pos")] == [f"s{i}" for i in range(1, 1001)]
+    for size in (1, 64, 999, 1000, 5000):
+        nested = statistics.nest_periods(wide, "book", rows_per_part=size)
+        assert nested.count() == 1
+        back = statistics.flatten_periods(nested)
+        assert rows(back.select("row_pos", "state"), "row_pos") == [(i - 1, f"s{i}") for i in range(1, 1001)]
+
+
+def test_periods_without_rows_stay(spark):
+    table = clean(spark)
+    listed = table.select("sheet_id", "label", "as_of", "period_order").distinct()
+    listed = listed.union(spark.sql("SELECT 'gone', 'gone', CAST(NULL AS DATE), 9"))
+    assert ("gone", 0.0) in rows(panel.sum_field(table, "pendingIndividual", listed))
+    shown = {r["sheet_id"]: r for r in panel.period_kpis(table, listed).collect()}["gone"]
+    assert (shown["claims"], shown["titles"], shown["states"], shown["rate_text"]) == (0.0, 0.0, 0, "—")
+    flags = {r["sheet_id"]: tuple(r)[1:] for r in panel.available_measures(table, listed).collect()}
+    assert flags["gone"] == (False, False, False)
+    nested = statistics.nest_periods(table, "book", listed).select(F.inline("periods"))
+    assert rows(nested.where("id = 'gone'").select(F.size("rows"))) == [(0,)]
 
 
 def test_reading_one_document_with_all_periods(spark, tmp_path):
@@ -147,7 +160,7 @@ def test_workbook_files(spark, tmp_path):
         (tmp_path / f"sheet_id={name}").mkdir()
         (tmp_path / f"sheet_id={name}" / "sheet.csv").write_text(lines)
     sheets = workbook.check_sheets(workbook.read_sheets(spark, str(tmp_path), columns=3))
-    table = statistics.clean_statistics(statistics.value_rows(sheets), statistics.header_rows(sheets))
+    table = statistics.clean_statistics(statistics.value_rows(sheets), statistics.header_rows(sheets), workbook_position=F.lit(0))
     assert rows(table.select("sheet_id", "state", "claimsReceivedTotal", "titlesDistributedTotal"), "sheet_id") == [
         ("June_2024", "Odisha", 1234.0, None), ("misc", "Assam", None, 7.0),
     ]
