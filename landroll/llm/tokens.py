@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 import numpy as np
 
-CACHE_WORDS = 400_000  # distinct words a worker remembers before it starts afresh
+CACHE_WORDS = 800_000  # distinct words a worker remembers before it starts afresh
 LONG_WORD = 64  # longer pieces are not remembered
 
 #: The word pattern of the tokenizer, for texts of the characters below.
@@ -28,6 +28,15 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
+        # words are normal and split already, so their byte letters go straight to the merges
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.letters = {b: self._letter(b) for b in range(256)}
+
+    @staticmethod
+    def _letter(byte: int) -> str:
+        """Printable Latin-1 bytes stand for themselves, the others follow from 256 on, in order."""
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        return chr(byte) if byte in shown else chr(256 + sum(b not in shown for b in range(byte)))
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         if len(self.words) > CACHE_WORDS:
@@ -41,7 +50,8 @@ class WordTokens:
                 unknown.update(pieces[-1])
         new = [w for w in unknown if w not in self.words]
         extra: dict[str, bytes] = {}
-        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+        spelt = [w.encode().decode("latin-1").translate(self.letters) for w in new]
+        for word, found in zip(new, self.merges.encode_batch_fast(spelt, add_special_tokens=False), strict=True):
             (self.words if len(word) <= LONG_WORD else extra)[word] = np.array(found.ids, dtype="<u4").tobytes()
         known = self.words if not extra else self.words | extra
         out = []
