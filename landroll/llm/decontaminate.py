@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,8 @@ WALKS = 4
 SAMPLED = 5  # words compared by one table
 DIFFERING = 0.25  # share of differing steps that the number of tables is made for
 TURNS = 4096  # classes of words that turn a walk alike
-WORDS_AT_ONCE = 200_000
+WORDS_AT_ONCE = 1_000_000  # a pass has a fixed cost for each item size
+WINDOWS_AT_ONCE = 32_768
 SLICE_BYTES = 8_000_000  # benchmark text that one pass over the documents holds
 
 _PLAIN = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -42,8 +44,11 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(_PLAIN).split()
 
 
-def edit_distance_within(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
-    """Least word edits between the item and any stretch of the region: (edits, first word, end of the stretch)."""
+def edit_distance_within(item: np.ndarray, region: np.ndarray, most: int | None = None) -> tuple[int, int, int]:
+    """Least word edits between the item and any stretch of the region: (edits, first word, end of the stretch).
+
+    With `most`, the comparison ends once more edits are certain; the edits returned are then only known to be more.
+    """
     width = len(region) + 1
     cost, begin = np.zeros(width, np.int64), np.arange(width)
     steps = np.arange(width)
@@ -57,6 +62,8 @@ def edit_distance_within(item: np.ndarray, region: np.ndarray) -> tuple[int, int
         order = np.minimum.accumulate(row - steps)
         at = np.maximum.accumulate(np.where(row - steps == order, steps, 0))
         cost, begin = order + steps, own[at]
+        if most is not None and cost.min() > most:  # the least of a row never falls from row to row
+            break
     end = int(np.argmin(cost))
     return int(cost[end]), int(begin[end]), end
 
@@ -74,12 +81,13 @@ class LeakIndex:
             if ids:
                 self.items.append((item_id, np.array(ids, dtype=np.int64)))
         self.pad = len(self.vocabulary) + 1
+        self.mixed = mix64(np.arange(self.pad + 1, dtype=np.uint64) + np.uint64(1))  # hash of each word
         self.triples = np.unique(np.concatenate([self._triples(words) for _, words in self.items] or [np.zeros(0, np.uint64)]))
         rng = np.random.default_rng(seed)
         self.sizes = sorted({len(words) for _, words in self.items})
-        self.salt = rng.integers(1, 2**63, (self.tables, SAMPLED), dtype=np.uint64)
+        self.salt = rng.integers(1, 2**63, (self.tables, SAMPLED), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         longest = max(self.sizes, default=1)
-        self.turns = rng.integers(0, 2, (WALKS, 2 * longest + 1, TURNS), dtype=np.int64)
+        self.turns = rng.integers(0, 2, (WALKS, 2 * longest + 1, TURNS), dtype=np.int64).astype(np.int32)
         places = rng.random((self.tables, SAMPLED))
         self.steps = {n: np.sort((places * 2 * n).astype(int), axis=1) for n in self.sizes}  # a walk leaves n words after 2n steps or so
         self.keys: dict[int, list[dict[int, list[int]]]] = {n: [defaultdict(list) for _ in range(self.tables)] for n in self.sizes}
@@ -99,21 +107,26 @@ class LeakIndex:
 
     def _keys(self, words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
         """Keys (table, window) of the n-word windows at the starts."""
-        padded = np.concatenate([words, np.full(n, self.pad)])
+        padded = np.concatenate([words, np.full(n + 1, self.pad)]).astype(np.int32)
         keys = np.zeros((self.tables, len(starts)), dtype=np.uint64)
         steps = self.steps[n]
         for walk in range(WALKS):
-            own = range(walk, self.tables, WALKS)
             wanted = defaultdict(list)
-            for table in own:
+            for table in range(walk, self.tables, WALKS):
                 for k, step in enumerate(steps[table].tolist()):
                     wanted[step].append((table, k))
-            at = np.zeros(len(starts), dtype=np.int64)
+            at = starts.astype(np.int64)
+            ends = at + n
             for step in range(max(wanted, default=-1) + 1):
-                seen = np.where(at < n, padded[starts + np.minimum(at, n - 1)], self.pad)
-                for table, k in wanted.get(step, ()):
-                    keys[table] += mix64(seen.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ self.salt[table, k])
-                at += self.turns[walk, step][seen % TURNS]
+                seen = padded[at]
+                if step >= n:  # a walk cannot be through earlier
+                    seen[at >= ends] = self.pad
+                if step in wanted:
+                    mixed = self.mixed[seen]
+                    for table, k in wanted[step]:
+                        keys[table] += mixed * self.salt[table, k]
+                at += self.turns[walk, step][seen & (TURNS - 1)]
+                np.minimum(at, ends, out=at)
         return keys
 
     def leaks(self, texts: Sequence[str | None]) -> list[tuple[int, int, int, int, int]]:
@@ -126,7 +139,7 @@ class LeakIndex:
             words = words_of(text)
             if words:
                 rows.append(row)
-                held.append(np.array([self.vocabulary.get(w, 0) for w in words], dtype=np.int64))
+                held.append(np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words)))
                 size += len(words)
             if size >= WORDS_AT_ONCE:
                 found += self._scan(rows, held)
@@ -150,8 +163,8 @@ class LeakIndex:
             if least > 0:
                 last = np.minimum(starts + n + edits - 2, len(shared) - 1)
                 starts = starts[shared[np.maximum(last, starts)] - shared[starts] >= least]
-            for part in range(0, len(starts), WORDS_AT_ONCE):
-                some = starts[part : part + WORDS_AT_ONCE]
+            for part in range(0, len(starts), WINDOWS_AT_ONCE):
+                some = starts[part : part + WINDOWS_AT_ONCE]
                 for table, keys in enumerate(self._keys(ids, some, n)):
                     own = self.sorted[n][table]
                     hit = own[np.minimum(np.searchsorted(own, keys), len(own) - 1)] == keys
@@ -167,7 +180,10 @@ class LeakIndex:
                 low, high = max(0, start - 2 * edits - 1), min(len(words), start + len(item) + 2 * edits + 1)
                 if high <= done:
                     continue
-                cost, first, end = edit_distance_within(item, words[low:high])
+                region = words[low:high]
+                if np.isin(item, region).sum() < len(item) - edits:  # each word left whole is in the region
+                    continue
+                cost, first, end = edit_distance_within(item, region, edits)
                 if cost <= edits:
                     done = high
                     if best is None or cost < best[0]:
