@@ -120,6 +120,7 @@ LATEST = """latest AS (SELECT claim_id, status FROM (SELECT *, row_number() OVER
  ORDER BY ts DESC, event_id DESC) AS rn FROM status_updates_v WHERE coalesce(status, '') <> '') WHERE rn = 1)"""
 
 
+# The patterns of form labels, coordinates and land areas below.
 def field(label: str) -> str:
     found = rf"regexp_extract(raw_text, '(?i){label}[:\-]?\s*(.+)', 1)"
     return f"nullif({trimmed(found)}, '')"
@@ -180,21 +181,20 @@ def counts(column: str, missing: str) -> str:
 
 ORACLES: dict[str, str] = {}
 
-ORACLES["claims_scan"] = "SELECT id, name, status, created_at FROM claims_v WHERE created_at IS NOT NULL"
+CLAIM = "id, name, village, district, state, claim_type, status, latitude_in, longitude_in, raw_text"
+ORACLES["claims_scan"] = f"SELECT {CLAIM}, created_at FROM claims_v WHERE created_at IS NOT NULL"
 ORACLES["claims_sparse_json"] = f"""SELECT id, CAST(json_merge_patch('{{}}', to_json(struct_pack(id := id, name := name,
  village := village, district := district, state := state, claim_type := claim_type, status := status,
  latitude_in := latitude_in, longitude_in := longitude_in, raw_text := raw_text, created_at := {iso('created_at')}))) AS VARCHAR)
  AS json FROM claims_v"""
-ORACLES["claims_serialized"] = (
-    f"SELECT id, name, status, {iso('created_at')} AS created_at FROM claims_v WHERE created_at IS NOT NULL"
-)
+ORACLES["claims_serialized"] = f"WITH {LISTED} SELECT {CLAIM}, latitude, longitude, {iso('created_at')} AS created_at FROM listed"
 ORACLES["claims_default_status"] = f"WITH {SHOWN} SELECT id, status FROM shown"
-ORACLES["claims_search"] = f"WITH {SHOWN} SELECT id, name, village, district FROM shown WHERE {FOUND}"
+ORACLES["claims_search"] = f"WITH {SHOWN} SELECT {CLAIM}, created_at, latitude, longitude FROM shown WHERE {FOUND}"
 ORACLES["claims_facet_filter"] = (
-    f"WITH {SHOWN} SELECT id, state, status FROM shown WHERE state = 'ASIA' AND status = 'Approved'"
+    f"WITH {SHOWN} SELECT {CLAIM}, created_at, latitude, longitude FROM shown WHERE state = 'ASIA' AND status = 'Approved'"
 )
-ORACLES["claims_search_facets"] = f"WITH {WANTED} SELECT id, name, village, district, state, status FROM wanted"
-ORACLES["claim_by_id"] = "SELECT id, name, district, status FROM claims_v WHERE id = '150'"
+ORACLES["claims_search_facets"] = f"WITH {WANTED} SELECT {CLAIM}, created_at, latitude, longitude FROM wanted"
+ORACLES["claim_by_id"] = f"SELECT {CLAIM}, created_at FROM claims_v WHERE id = '150'"
 ORACLES["claims_coord_coerce"] = f"WITH {LISTED} SELECT id, latitude_in, longitude_in, latitude, longitude FROM listed"
 ORACLES["ledger_rows"] = f"""WITH {SHOWN} SELECT id, {or_text('name', 'Unnamed claimant')} AS claimant,
  '#' || left(id, 8) AS short_id, {or_text('village', 'Village N/A')} AS village,
@@ -210,7 +210,7 @@ ORACLES["claim_detail_rows"] = f"""WITH c AS (SELECT *, {coordinate_text('latitu
 ORACLES["facet_states"] = first_seen("state")
 ORACLES["facet_districts"] = first_seen("district")
 ORACLES["facet_statuses"] = first_seen("status")
-ORACLES["ledger_page"] = f"""WITH {WANTED} SELECT id, name, created_at FROM wanted
+ORACLES["ledger_page"] = f"""WITH {WANTED} SELECT {CLAIM}, created_at, latitude, longitude FROM wanted
  ORDER BY created_at DESC, id DESC LIMIT 10 OFFSET 10"""
 ORACLES["ledger_page_count"] = f"""WITH {WANTED} SELECT count(*) AS n_claims, CAST((count(*) + 9) // 10 AS BIGINT) AS n_pages
  FROM wanted"""

@@ -108,10 +108,15 @@ def screened(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---- ledger -------------------------------------------------------------------------------------
 
+CLAIM_FIELDS = (
+    "id", "name", "village", "district", "state", "claim_type", "status", "latitude_in", "longitude_in", "raw_text", "created_at",
+)
+LISTED_FIELDS = (*CLAIM_FIELDS, "latitude", "longitude")
+
 
 @query
 def claims_scan(spark, folder):
-    return ledger.list_claims(claims(spark, folder)).select("id", "name", "status", "created_at")
+    return ledger.list_claims(claims(spark, folder)).select(*CLAIM_FIELDS)
 
 
 @query
@@ -121,7 +126,7 @@ def claims_sparse_json(spark, folder):
 
 @query
 def claims_serialized(spark, folder):
-    return ledger.serialized(listed(spark, folder)).select("id", "name", "status", "created_at")
+    return ledger.serialized(listed(spark, folder)).select(*LISTED_FIELDS)
 
 
 @query
@@ -131,23 +136,23 @@ def claims_default_status(spark, folder):
 
 @query
 def claims_search(spark, folder):
-    return ledger.search(shown(spark, folder), TERM).select("id", "name", "village", "district")
+    return ledger.search(shown(spark, folder), TERM).select(*LISTED_FIELDS)
 
 
 @query
 def claims_facet_filter(spark, folder):
     found = ledger.facet_filter(listed(spark, folder), district="", **FACETS)
-    return ledger.default_status(found).select("id", "state", "status")
+    return ledger.default_status(found).select(*LISTED_FIELDS)
 
 
 @query
 def claims_search_facets(spark, folder):
-    return wanted(spark, folder).select("id", "name", "village", "district", "state", "status")
+    return wanted(spark, folder).select(*LISTED_FIELDS)
 
 
 @query
 def claim_by_id(spark, folder):
-    return ledger.claim_by_id(claims(spark, folder), CLAIM_ID).select("id", "name", "district", "status")
+    return ledger.claim_by_id(claims(spark, folder), CLAIM_ID).select(*CLAIM_FIELDS)
 
 
 @query
@@ -182,7 +187,7 @@ def facet_statuses(spark, folder):
 
 @query
 def ledger_page(spark, folder):
-    return ledger.ledger_page(wanted(spark, folder), PAGE).select("id", "name", "created_at")
+    return ledger.ledger_page(wanted(spark, folder), PAGE).select(*LISTED_FIELDS)
 
 
 @query
