@@ -3,10 +3,12 @@
 Items and documents are word sequences (letters, digits and non-ASCII characters, lower case). A window has
 the size of an item. The CGK embedding walks a window with random single steps that depend on the word under
 the walker, so that few edits become few differences. Each LSH table compares the words met at a few sampled
-steps; enough tables are used to reach the target recall at the largest allowed distance. Items that share a
-key with a window are verified by exact word edit distance in the region around it. Two counting bounds that follow from the
-allowed edits say which windows can match at all: at most that many words from outside the benchmark's vocabulary,
-and enough whole three-word runs of it. Windows beyond these bounds are not embedded.
+steps. How many walks an item size gets is measured: passages with exactly the largest allowed number of edits are
+simulated until at most half of the misses that the target recall allows are left; a size for which no number of walks does
+is compared with all its windows. Items that share a key with a window are verified by exact word edit distance in the region
+around it. Two counting bounds that follow from the allowed edits say which windows can match at all: at most that many words
+from outside the benchmark's vocabulary, and enough whole three-word runs of items of the size. Windows beyond these bounds
+are not embedded.
 
 Defined results: items without words and null items or ids match nothing; null and empty texts hold no
 leak; equal items report each; a row with a null id is scanned like others; repeated rows report alike; no
@@ -18,6 +20,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -29,12 +32,15 @@ from landroll.llm.shingles import mix64
 
 EDIT_SHARE = 0.15  # edits allowed per word of an item
 TARGET_RECALL = 0.99
-WALKS = 4
-SAMPLED = 5  # words compared by one table
-DIFFERING = 0.25  # share of differing steps that the number of tables is made for
+WALKS = 64  # most walks of a size
+WALKS_MORE = 4  # walks added at once
+TABLES = 4  # tables on one walk
+SAMPLED = 3  # words compared by one table
+SIMULATED = 600  # edited passages that the number of walks is measured on
+SIMULATED_WORDS = 400  # longer items are compared with all windows that the bounds allow
 TURNS = 4096  # classes of words that turn a walk alike
 WORDS_AT_ONCE = 1_000_000  # a pass has a fixed cost for each item size
-WINDOWS_AT_ONCE = 32_768
+STEPS_AT_ONCE = 1 << 21  # of all walks in all windows
 SLICE_BYTES = 8_000_000  # benchmark text that one pass over the documents holds
 
 _PLAIN = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -68,13 +74,83 @@ def edit_distance_within(item: np.ndarray, region: np.ndarray, most: int | None
     return int(cost[end]), int(begin[end]), end
 
 
+def _turns(seed: int, steps: int) -> np.ndarray:
+    """At each step, a bit per walk for each class of words; fewer steps are the first ones of more."""
+    return np.random.default_rng(seed).integers(0, 2**64, (steps, TURNS), dtype=np.uint64)
+
+
+def _sampled(seed: int, n: int, walks: int) -> np.ndarray:
+    """Steps (walk, table, sample) that the tables of n-word windows compare; a walk leaves n words after 2n steps or so."""
+    places = np.random.default_rng([seed, 1]).random((WALKS, TABLES, SAMPLED))[:walks]
+    return (places * 2 * n).astype(int)
+
+
+def _walked(words: np.ndarray, starts: np.ndarray, n: int, turns: np.ndarray, walks: np.ndarray, pad: int) -> np.ndarray:
+    """Words (step, walk, window) that the walks meet in the n-word windows at the starts, then the pad."""
+    padded = np.append(words, pad).astype(np.int32)
+    ends = np.minimum(starts + n, len(words)).astype(np.int64)
+    at = np.repeat(starts[None].astype(np.int64), len(walks), axis=0)
+    bit = walks.astype(np.uint64)[:, None]
+    met = np.empty((2 * n, len(walks), len(starts)), dtype=np.int32)
+    for step in range(2 * n):
+        seen = padded[at]
+        if step >= n:  # a walk cannot be through earlier
+            seen[at >= ends] = pad
+        met[step] = seen
+        at += ((turns[step][seen & (TURNS - 1)] >> bit) & np.uint64(1)).astype(np.int64)
+        np.minimum(at, ends, out=at)
+    return met
+
+
+def _edited(n: int, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """The words 1 to n after edits at so many places, new words being 0."""
+    words = [[w] for w in range(1, n + 1)]
+    for place in rng.choice(n, edits, replace=False):
+        words[place] = ([0], [0, place + 1], [])[rng.integers(0, 3)]
+    return np.array([w for own in words for w in own], dtype=np.int64)
+
+
+@lru_cache(maxsize=4096)
+def walks_for(n: int, edits: int, recall: float, seed: int) -> int:
+    """Walks after which at most half of the misses allowed are left among passages with so many edits; 0: none suffice."""
+    if recall >= 1 or n > SIMULATED_WORDS or edits >= n:
+        return 0
+    rng = np.random.default_rng([seed, 2, n, edits])
+    width = 3 * n + 2 * edits + 8
+    text = np.zeros((SIMULATED, width), dtype=np.int64)
+    for row in text:
+        own = _edited(n, edits, rng)
+        row[n : n + len(own)] = own
+    flat = text.ravel()
+    unknown = np.concatenate([[0], np.cumsum(flat == 0)])
+    whole = (flat[:-2] > 0) & (flat[1:-1] == flat[:-2] + 1) & (flat[2:] == flat[:-2] + 2)
+    shared = np.concatenate([[0], np.cumsum(whole), [whole.sum()] * 2])
+    places = (np.arange(SIMULATED)[:, None] * width + n + np.arange(-3, 4)).ravel()  # starts further away would only add hits
+    allowed = (unknown[places + n - edits] - unknown[places] <= edits) & (shared[places + n + edits - 2] - shared[places] >= n - 2 - 3 * edits)
+    places = places[allowed]
+    item, turns = np.arange(1, n + 1), _turns(seed, 2 * n)
+    steps = _sampled(seed, n, WALKS)
+    hit = np.zeros(SIMULATED, dtype=bool)
+    for walk in range(0, WALKS, WALKS_MORE):
+        some = np.arange(walk, walk + WALKS_MORE)
+        own = _walked(item, np.zeros(1, np.int64), n, turns, some, n + 1)
+        open_ = places[~hit[places // width]]
+        for part in np.array_split(open_, 1 + 2 * n * WALKS_MORE * len(open_) // STEPS_AT_ONCE):
+            same = _walked(flat, part, n, turns, some, n + 1) == own
+            for k in range(WALKS_MORE):
+                for table in steps[walk + k]:
+                    hit[part[same[table, k].all(axis=0)] // width] = True
+        if (~hit).sum() <= (1 - recall) * SIMULATED / 2:
+            return walk + WALKS_MORE
+    return 0
+
+
 class LeakIndex:
     """LSH tables of a bounded slice of benchmark items."""
 
     def __init__(self, items: list[tuple[int, str]], share: float = EDIT_SHARE, recall: float = TARGET_RECALL, seed: int = 5) -> None:
         self.vocabulary: dict[bytes, int] = {}
         self.share = share
-        self.tables = max(WALKS, math.ceil(math.log(1 - recall) / math.log(1 - (1 - DIFFERING) ** SAMPLED)))
         self.items: list[tuple[int, np.ndarray]] = []
         for item_id, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
@@ -83,18 +159,24 @@ class LeakIndex:
         self.pad = len(self.vocabulary) + 1
         self.mixed = mix64(np.arange(self.pad + 1, dtype=np.uint64) + np.uint64(1))  # hash of each word
         self.triples = np.unique(np.concatenate([self._triples(words) for _, words in self.items] or [np.zeros(0, np.uint64)]))
-        rng = np.random.default_rng(seed)
         self.sizes = sorted({len(words) for _, words in self.items})
-        self.salt = rng.integers(1, 2**63, (self.tables, SAMPLED), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        longest = max(self.sizes, default=1)
-        self.turns = rng.integers(0, 2, (WALKS, 2 * longest + 1, TURNS), dtype=np.int64).astype(np.int32)
-        places = rng.random((self.tables, SAMPLED))
-        self.steps = {n: np.sort((places * 2 * n).astype(int), axis=1) for n in self.sizes}  # a walk leaves n words after 2n steps or so
-        self.keys: dict[int, list[dict[int, list[int]]]] = {n: [defaultdict(list) for _ in range(self.tables)] for n in self.sizes}
+        self.members: dict[int, list[int]] = {n: [] for n in self.sizes}
         for k, (_, words) in enumerate(self.items):
-            for table, key in enumerate(self._keys(words, np.array([0]), len(words))[:, 0].tolist()):
-                self.keys[len(words)][table][key].append(k)
-        self.sorted = {n: [np.array(sorted(t), dtype=np.uint64) for t in tables] for n, tables in self.keys.items()}
+            self.members[len(words)].append(k)
+        self.own_triples = {n: np.searchsorted(self.triples, np.unique(np.concatenate([self._triples(self.items[k][1]) for k in own]))) for n, own in self.members.items()}
+        self.walks = {n: self._walks(n, recall, seed) for n in self.sizes}
+        self.turns = _turns(seed, 2 * max((n for n in self.sizes if self.walks[n]), default=0))
+        self.salt = np.random.default_rng([seed, 3]).integers(1, 2**63, (WALKS * TABLES, SAMPLED), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.steps = {n: _sampled(seed, n, walks).reshape(walks * TABLES, SAMPLED) for n, walks in self.walks.items()}
+        self.keys: dict[int, np.ndarray] = {}
+        self.holders: dict[int, list[list[int]]] = {}  # items of each key
+        for n, own in self.members.items():
+            held: dict[int, set[int]] = defaultdict(set)
+            for k in own if self.walks[n] else ():
+                for key in self._keys(self.items[k][1], np.array([0]), n)[:, 0].tolist():
+                    held[key].add(k)
+            self.keys[n] = np.array(sorted(held), dtype=np.uint64)
+            self.holders[n] = [sorted(held[key]) for key in sorted(held)]
 
     @staticmethod
     def _triples(words: np.ndarray) -> np.ndarray:
@@ -105,28 +187,25 @@ class LeakIndex:
     def allowed(self, n: int) -> int:
         return int(self.share * n)
 
+    def _walks(self, n: int, recall: float, seed: int) -> int:
+        """Measured at the shortest item with as many edits, where they are densest; above ten edits in steps of a fifth."""
+        edits, step = self.allowed(n), 10
+        while step < edits:
+            step += step // 5
+        edits = edits if edits <= 10 else step
+        least = max(1, int(edits / self.share)) if edits else 1
+        while self.allowed(least) < edits:
+            least += 1
+        return walks_for(max(n, least) if n > SIMULATED_WORDS else min(least, SIMULATED_WORDS), edits, recall, seed)
+
     def _keys(self, words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
         """Keys (table, window) of the n-word windows at the starts."""
-        padded = np.concatenate([words, np.full(n + 1, self.pad)]).astype(np.int32)
-        keys = np.zeros((self.tables, len(starts)), dtype=np.uint64)
-        steps = self.steps[n]
-        for walk in range(WALKS):
-            wanted = defaultdict(list)
-            for table in range(walk, self.tables, WALKS):
-                for k, step in enumerate(steps[table].tolist()):
-                    wanted[step].append((table, k))
-            at = starts.astype(np.int64)
-            ends = at + n
-            for step in range(max(wanted, default=-1) + 1):
-                seen = padded[at]
-                if step >= n:  # a walk cannot be through earlier
-                    seen[at >= ends] = self.pad
-                if step in wanted:
-                    mixed = self.mixed[seen]
-                    for table, k in wanted[step]:
-                        keys[table] += mixed * self.salt[table, k]
-                at += self.turns[walk, step][seen & (TURNS - 1)]
-                np.minimum(at, ends, out=at)
+        walks = self.walks[n]
+        met = _walked(words, starts, n, self.turns, np.arange(walks), self.pad)
+        walk = np.repeat(np.arange(walks), TABLES)
+        keys = np.zeros((len(walk), len(starts)), dtype=np.uint64)
+        for k in range(SAMPLED):
+            keys += self.mixed[met[self.steps[n][:, k], walk]] * self.salt[: len(walk), k, None]
         return keys
 
     def leaks(self, texts: Sequence[str | None]) -> list[tuple[int, int, int, int, int]]:
@@ -153,8 +232,10 @@ class LeakIndex:
         begins = np.cumsum([0, *(len(h) + len(gap) for h in held)])
         ids = np.concatenate([x for h in held for x in (h, gap)])
         unknown = np.concatenate([[0], np.cumsum(ids == 0)])
-        shared = np.concatenate([[0], np.cumsum(self._known_triples(ids))])
+        triple = self._known_triples(ids)
+        shared = np.concatenate([[0], np.cumsum(triple >= 0)])
         near: dict[tuple[int, int], set[int]] = defaultdict(set)
+        wanted = np.zeros(len(self.triples) + 1, dtype=bool)  # the last stands for none
         for n in self.sizes:
             edits = self.allowed(n)
             sure = n - edits  # the first words of any stretch within the allowed edits
@@ -163,14 +244,24 @@ class LeakIndex:
             if least > 0:
                 last = np.minimum(starts + n + edits - 2, len(shared) - 1)
                 starts = starts[shared[np.maximum(last, starts)] - shared[starts] >= least]
-            for part in range(0, len(starts), WINDOWS_AT_ONCE):
-                some = starts[part : part + WINDOWS_AT_ONCE]
-                for table, keys in enumerate(self._keys(ids, some, n)):
-                    own = self.sorted[n][table]
-                    hit = own[np.minimum(np.searchsorted(own, keys), len(own) - 1)] == keys
-                    for start, key in zip(some[hit].tolist(), keys[hit].tolist(), strict=True):
-                        for k in self.keys[n][table][key]:
-                            near[k, int(np.searchsorted(begins, start, side="right")) - 1].add(start)
+                wanted[self.own_triples[n]] = True
+                spots = np.arange(n + edits - 2)
+                parts = np.array_split(starts, 1 + len(starts) * len(spots) // STEPS_AT_ONCE)
+                starts = np.concatenate([p[wanted[triple[np.minimum(p[:, None] + spots, len(triple) - 1)]].sum(axis=1) >= least] for p in parts])
+                wanted[self.own_triples[n]] = False
+            walks = self.walks[n]
+            if not walks:
+                for start in starts.tolist():
+                    for k in self.members[n]:
+                        near[k, int(np.searchsorted(begins, start, side="right")) - 1].add(start)
+                continue
+            for some in np.array_split(starts, 1 + 2 * n * walks * len(starts) // STEPS_AT_ONCE):
+                keys, own = self._keys(ids, some, n), self.keys[n]
+                spot = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+                window = np.nonzero(own[spot] == keys)[1]
+                for start, at in set(zip(some[window].tolist(), spot[own[spot] == keys].tolist(), strict=True)):
+                    for k in self.holders[n][at]:
+                        near[k, int(np.searchsorted(begins, start, side="right")) - 1].add(start)
         found = []
         for (k, place), starts in near.items():
             item_id, item = self.items[k]
@@ -193,14 +284,14 @@ class LeakIndex:
         return sorted(found)
 
     def _known_triples(self, ids: np.ndarray) -> np.ndarray:
-        """Whether the three words from each place on stand in a row in some item."""
-        out = np.zeros(len(ids), dtype=bool)
+        """Number of the three words from each place on, -1 where they stand in a row in no item."""
+        out = np.full(len(ids), -1, dtype=np.int64)
         whole = np.flatnonzero((ids[:-2] > 0) & (ids[1:-1] > 0) & (ids[2:] > 0))
         if len(whole) and len(self.triples):
             w = ids.astype(np.uint64)
             keys = mix64(mix64(mix64(w[whole]) + w[whole + 1]) + w[whole + 2])
             spot = np.minimum(np.searchsorted(self.triples, keys), len(self.triples) - 1)
-            out[whole] = self.triples[spot] == keys
+            out[whole] = np.where(self.triples[spot] == keys, spot, -1)
         return out
 
 

@@ -250,6 +250,26 @@ def test_leaks(spark, odd, empty):
     assert decontaminate.find_leaks(empty, benchmark).count() == 0 and decontaminate.find_leaks(odd, benchmark.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [13, 20, 40, 60, 120, 450])
+def test_leaks_with_the_most_edits(size):
+    rng = np.random.default_rng(size)
+    edits = int(0.15 * size)
+    items = [(k, " ".join(f"w{w}" for w in rng.permutation(5 * size)[:size])) for k in range(40 if size > 200 else 100)]
+    texts, truth = [], []
+    for k, item in items:
+        for _ in range(2 if size > 200 else 10):
+            own = [[w] for w in item.split()]
+            for spot in rng.choice(size, edits, replace=False):
+                own[spot] = (["new"], ["new", *own[spot]], [])[rng.integers(0, 3)]
+            own = [w for some in own for w in some]
+            ids = {w: i for i, w in enumerate({*item.split(), "new"})}
+            if decontaminate.edit_distance_within(np.array([ids[w] for w in item.split()]), np.array([ids[w] for w in own]))[0] == edits:
+                texts.append("z " * 30 + " ".join(own) + " z" * 30)
+                truth.append(k)
+    found = {(row, k) for row, k, *_ in decontaminate.LeakIndex(items).leaks(texts)}
+    assert len(truth) > 20 and sum((row, k) in found for row, k in enumerate(truth)) >= 0.99 * len(truth)
+
+
 def test_edit_distance_within():
     a = np.array([1, 2, 3, 4])
     assert decontaminate.edit_distance_within(a, np.array([9, 9, 1, 2, 3, 4, 9])) == (0, 2, 6)
