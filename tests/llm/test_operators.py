@@ -9,7 +9,7 @@ import tiktoken  # noqa: F401
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from landroll.llm import archives, decontaminate, embedding_dups, language, minhash_dups, packing, quality, secret_scan, token_counts, url_trust
+from landroll.llm import archives, decontaminate, embedding_dups, hnsw, language, minhash_dups, packing, quality, secret_scan, token_counts, url_trust
 from landroll.llm.components import connected_components
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -110,6 +110,20 @@ def test_vectors_odd_rows_and_brute_force(spark):
     assert embedding_dups.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("widest", [hnsw.WIDEST, 8])
+def test_rare_neighbours_in_a_clustered_shard(widest):
+    rng = np.random.default_rng(7)
+    rng.normal(size=(6000, 128))
+    unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    nodes = unit(np.repeat(rng.normal(size=(60, 64)), 100, 0) + 0.35 * rng.normal(size=(6000, 64)))
+    near = nodes[rng.choice(6000, 75, replace=False)]
+    away = rng.normal(size=near.shape)
+    away = unit(away - (away * near).sum(axis=1, keepdims=True) * near)
+    queries = np.concatenate([unit(rng.normal(size=(1425, 64))), unit(0.981 * near + np.sqrt(1 - 0.981**2) * away)])[rng.permutation(1500)]
+    found = hnsw.Graph.build(nodes).within(queries, 0.98, 48, **({} if widest == hnsw.WIDEST else {"widest": widest}))
+    assert {*zip(*map(np.ndarray.tolist, found), strict=True)} == {*zip(*map(np.ndarray.tolist, np.nonzero(queries @ nodes.T >= 0.98)), strict=True)}
+
+
 def test_url_rules_and_propagation(spark):
     def link(host):
         return f'<a href="https://{host}/x">'
