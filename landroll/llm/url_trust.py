@@ -3,7 +3,8 @@
 Rules name a host and a path prefix; a rule fits its host and all subdomains, the longest fitting rule
 decides. Hosts of pages that rules allow are trusted seeds, those of blocked pages distrusted seeds, each weighted by its share of
 such pages. Personalised PageRank carries trust along links between hosts; distrust runs against the
-links, from a blocked host to those that link to it. A page without a rule is blocked when its host's distrust
+links, from a blocked host to those that link to it. Rounds go on until no host is newly reached
+and no host's trust or distrust changes by more than a small share of itself. A page without a rule is blocked when its host's distrust
 exceeds its trust by the threshold's odds. Column expressions, joins and sums only.
 
 Defined results: a null url or one without `://` has an empty host and path, fits no rule and is allowed; null html
@@ -29,7 +30,7 @@ RULES = (
     ("block", "com", "/de/"),
 )
 DAMPING = 0.85
-ROUNDS = 10
+TOLERANCE = 1e-6  # largest change of a rank in the last round, as a share of that rank
 THRESHOLD = 0.5  # blocked above this share of distrust
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
@@ -61,8 +62,11 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return rows.groupBy("source", "target").agg(F.count("*").alias("links"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """Seeds (host, trust, distrust) to ranks (host, trust, distrust) after the given rounds."""
+def propagate(links: DataFrame, seeds: DataFrame, rounds: int | None = None, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """Seeds (host, trust, distrust) to ranks (host, trust, distrust) after the given rounds, or else once they stand.
+
+    Once no rank changes by more than a share of itself, none does in any later round, and the rank moved falls by the damping.
+    """
     links = saved(links, "host-links")
     sent = links.groupBy("source").agg(F.sum("links").alias("total"))
     got = links.groupBy("target").agg(F.sum("links").alias("total"))
@@ -71,18 +75,22 @@ def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     edges = saved(forward.union(backward), "host-edges")
     start = seeds.select(F.lit(True).alias("good"), "host", F.col("trust").alias("x")).union(seeds.select(F.lit(False), "host", "distrust"))
     start = saved(start.where("x > 0").withColumn("x", F.col("x") * (1 - damping)), "seeds")
-    ranks = start
-    for _ in range(rounds):
+    ranks, done = start, 0
+    while rounds is None or done < rounds:
         moved = edges.join(ranks, (edges["good"] == ranks["good"]) & (edges["from"] == ranks["host"]))
         moved = moved.select(edges["good"], F.col("to").alias("host"), (F.col("x") * F.col("share") * damping).alias("x"))
-        ranks = saved(start.union(moved).groupBy("good", "host").agg(F.sum("x").alias("x")), "ranks")
+        added = start.union(moved).withColumn("last", F.lit(0.0)).union(ranks.select("good", "host", F.lit(0.0), "x"))
+        ranks = saved(added.groupBy("good", "host").agg(F.sum("x").alias("x"), F.sum("last").alias("last")), "ranks")
+        done += 1
+        if rounds is None and not ranks.agg(F.max(F.abs(F.col("x") - F.col("last")) > tolerance * F.col("x"))).first()[0]:
+            break
     pick = lambda good: F.coalesce(F.sum(F.when(F.col("good") == good, F.col("x"))), F.lit(0.0))
     return ranks.groupBy("host").agg(pick(True).alias("trust"), pick(False).alias("distrust"))
 
 
 def judge_urls(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: Sequence[tuple[str, str, str]] = RULES,
-    rounds: int = ROUNDS, damping: float = DAMPING, threshold: float = THRESHOLD,
+    rounds: int | None = None, damping: float = DAMPING, threshold: float = THRESHOLD,
 ) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict, trust and distrust of its host."""
     rows = host_and_path(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("u")), "u")

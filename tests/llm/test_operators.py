@@ -143,6 +143,21 @@ def test_url_rules_and_propagation(spark):
     assert url_trust.judge_urls(df.limit(0)).count() == 0
 
 
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    rows = [(0, "http://bad.com/de/1", "")] + [(i, f"http://h{i}.net/", f'<a href="http://{"bad.com" if i == 1 else f"h{i - 1}.net"}/">') for i in range(1, 16)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = {r["page_id"]: r for r in url_trust.judge_urls(df).collect()}
+    assert all(r["verdict"] == "block" for r in found.values())
+    assert all(np.isclose(found[i]["distrust"], 0.15 * 0.85**i) for i in range(16))
+
+
+def test_ranks_of_a_cycle_stand(spark):
+    links = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "source string, target string, links bigint")
+    seeds = spark.createDataFrame([("a", 1.0, 0.0)], "host string, trust double, distrust double")
+    found = {r["host"]: r["trust"] for r in url_trust.propagate(links, seeds, tolerance=1e-4).collect()}
+    assert np.isclose(found["a"], 0.15 / (1 - 0.85**2), rtol=1e-3) and np.isclose(found["b"], 0.15 * 0.85 / (1 - 0.85**2), rtol=1e-3)
+
+
 def test_packing_odd_rows(odd, empty):
     found = packing.pack_documents(odd, WORDS).toPandas()
     tokenizer = Tokenizer.from_file(WORDS)
