@@ -141,18 +141,23 @@ def redact_secrets(
 ) -> DataFrame:
     """The documents with base spans and live-looking mixed spans replaced, lengths renewed, all columns kept.
 
-    Texts stay where they are: only documents with mixed candidates meet the verdicts in a join.
+    Texts stay where they are: only documents with mixed candidates meet the verdicts in a join. Rows without an id
+    meet them by the hash of their text.
     """
     own_repository = F.coalesce(F.col(owner_col), F.lit("\0")) if repository is None else repository
-    rows = _candidates(docs, id_col, text_col, owner_col, own_repository)
+    own_key = lambda known: F.struct(F.col(id_col).alias("id"), F.when(F.col(id_col).isNull() & known, F.sha2(text_col, 256)).alias("text"))
+    runs = F.coalesce(F.col(text_col).rlike(MIXED), F.lit(False))
+    keyed = docs.withColumn("__key", own_key(runs))
+    rows = _candidates(keyed, "__key", text_col, owner_col, own_repository)
     values = saved(_live_values(rows, live_owners, live_repositories).where("live").select("value"), "values")
-    live = rows.select("doc_id", F.explode("mixed").alias("s")).where("doc_id IS NOT NULL").select("doc_id", "s.start", "s.kind", "s.stop", "s.value")
+    live = rows.select("doc_id", F.explode("mixed").alias("s")).select("doc_id", "s.start", "s.kind", "s.stop", "s.value")
     live = live.join(values, "value").groupBy("doc_id").agg(F.collect_set(F.struct("start", "kind", "stop")).alias("__live"))
+    live = live.select(F.coalesce(F.col("doc_id.id").cast("string"), F.lit("")).alias("__id"), F.coalesce("doc_id.text", F.lit("")).alias("__text"), "__live")
     plain = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop")))
     text = F.col(text_col)
-    runs = F.coalesce(text.rlike(MIXED), F.lit(False))
     alone = docs.where(~runs).select(*docs.columns, plain(base_spans(text)).alias("__all"))
-    some = docs.where(runs).join(live.withColumnRenamed("doc_id", "__id"), F.col(id_col) == F.col("__id"), "left")
+    same = (F.coalesce(F.col(id_col).cast("string"), F.lit("")) == F.col("__id")) & (F.when(F.col(id_col).isNull(), F.sha2(text_col, 256)).otherwise("") == F.col("__text"))
+    some = docs.where(runs).join(live, same, "left")
     none = F.expr("cast(array() as array<struct<start:int,kind:int,stop:int>>)")
     # rows may repeat an id with another text, so a live span must be a candidate of this text as well
     every = _let(base_spans(text), lambda b: F.sort_array(F.concat(plain(b), F.array_intersect(plain(mixed_spans(text, b)), F.coalesce(F.col("__live"), none)))))

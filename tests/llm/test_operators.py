@@ -248,6 +248,14 @@ def test_ownership_separates_examples_from_live_values(spark):
     assert found[9] == ("mixed:4:31", 1, 0) and all(found[i] == ("", 0, 1) for i in range(5))
 
 
+def test_redaction_of_live_values_without_an_id(spark):
+    live, copied = "Ab3" * 9, "Xy7" * 9
+    rows = [(None, f"see {live} here", "en", "s1"), (None, f"or {live[::-1]}", "en", "s1"), (None, "plain", "en", "s1"), (None, None, "en", "s1"), (7, f"id {live}", "en", "s1")]
+    rows += [(None, f"see {copied} here", "en", f"s{i}") for i in range(5)]
+    found = sorted(r["text"] or "" for r in secret_scan.redact_secrets(table(spark, rows)).collect())
+    assert found == sorted(["see [SECRET] here", "or [SECRET]", "plain", "", "id [SECRET]", *[f"see {copied} here"] * 5])
+
+
 def test_leaks(spark, odd, empty):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(800)]
