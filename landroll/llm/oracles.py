@@ -111,4 +111,109 @@ FROM d LEFT JOIN own ON own.doc_id = d.doc_id LEFT JOIN total ON total.doc_id =
 """
 
 
-ORACLES: dict[str, str] = {"op1_embedding_dups": OP1, "op2_minhash_dups": OP2, "op3_url_trust": _op3(), "op6_archives": OP6, "op7_secrets": _op7()}
+def _op11(rounds: int = 3) -> str:
+    steps = ""
+    for k in range(rounds + 1):
+        steps += f"""
+d{k} AS MATERIALIZED (SELECT r, cl, list_sum(list_transform(list_zip(e, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{k}),
+a{k} AS MATERIALIZED (SELECT r, cl, d FROM d{k} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, cl) = 1),"""
+        if k < rounds:
+            steps += f"""
+s{k} AS (SELECT cl, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT cl, unnest(e) AS x, unnest(range(1, 65)) AS i FROM a{k} JOIN v USING (r)) GROUP BY cl, i),
+m{k} AS (SELECT cl, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{k} GROUP BY cl),
+c{k + 1} AS MATERIALIZED (SELECT cl, coalesce(m.c, o.c) AS c FROM c{k} o LEFT JOIN m{k} m USING (cl)),"""
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cl, e AS c FROM v ORDER BY sha256('1:' || vec_id) LIMIT 16),{steps}
+t AS (SELECT cl, sum(d)::BIGINT AS t FROM a{rounds} GROUP BY cl)
+SELECT vec_id, cl::INTEGER AS cluster, d AS distance, t AS cluster_inertia, (SELECT sum(t)::BIGINT FROM t) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN t USING (cl) JOIN c{rounds} USING (cl)
+"""
+
+
+def _op12() -> str:
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    return f"""
+WITH RECURSIVE run AS (
+  SELECT doc_id, translate(r, '{UPPER}', '{LOWER}') AS r FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS r FROM documents)
+  WHERE length(r) >= 7),
+bytes AS (
+  SELECT r, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || r, ''),
+    lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)::BIGINT] ELSE [192 | (unicode(ch) >> 6), 128 | (unicode(ch) & 63)]::BIGINT[] END)) AS b FROM run),
+hashed AS (
+  SELECT r, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, ({table}::BIGINT[])[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) AS h FROM bytes),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word FROM hashed),
+w AS MATERIALIZED (SELECT word, count(*) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+del AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS MATERIALIZED (
+  SELECT DISTINCT * FROM (
+    SELECT a.word AS x, b.word AS y, b.n AS m FROM del a JOIN del b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+    UNION ALL SELECT a.word, b.word, b.n FROM del a JOIN w b ON a.d = b.word
+    UNION ALL SELECT b.word, a.word, a.n FROM del a JOIN w b ON a.d = b.word)),
+best AS (SELECT x, count(*) OVER (PARTITION BY x) AS n_near, y, m FROM near QUALIFY row_number() OVER (PARTITION BY x ORDER BY m DESC, y) = 1),
+formed AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 10 * n THEN y END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM w LEFT JOIN best ON x = word),
+chain AS (SELECT word, word AS spot, 0 AS steps FROM formed UNION ALL SELECT c.word, f.form, steps + 1 FROM chain c JOIN formed f ON f.word = c.spot WHERE f.form IS NOT NULL),
+root AS (SELECT word, arg_max(spot, steps) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN root USING (word)
+"""
+
+
+def _op13(rounds: int = 30) -> str:
+    rules = {
+        "100.0 * n_symbols / n_words": (None, 20.0),
+        "100.0 * no_letter / n_words": (None, 20.0),
+        "100.0 * n_repeat_words / n_words": (None, 35.0),
+        "100.0 * n_dup_lines / n_lines": (None, 40.0),
+        "100.0 * n_upper / n_letters": (None, 40.0),
+        "abs(word_chars / n_words - 5.5)": (None, 6.0),
+        "100.0 - 100.0 * n_letters / word_chars": (6.0, 30.0),
+        "abs(100.0 * n_stops / n_words - 14)": (9.0, 45.0),
+    }
+    votes = ", ".join(
+        f"CASE WHEN {value} >= {bad} THEN -1 {f'WHEN {value} <= {good} THEN 1' if good else ''} ELSE 0 END" for value, (good, bad) in rules.items()
+    )
+    posterior = "1 / (1 + exp(-(ln(any_value(prior) / (1 - any_value(prior))) + sum(CASE vote WHEN -1 THEN least(ln(g / b), 0) WHEN 1 THEN greatest(ln(g / b), 0) ELSE ln(g / b) END))))"
+    steps = ""
+    for k in range(rounds):
+        steps += f"""
+q{k} AS MATERIALIZED (SELECT votes, any_value(n) AS n, {posterior} AS p FROM each JOIN p{k} USING (rule, vote) GROUP BY votes),
+t{k} AS (SELECT sum(n * p) AS g, sum(n * (1 - p)) AS b FROM q{k}),
+p{k + 1} AS MATERIALIZED (
+  SELECT rule, vote, (coalesce(sum(q.n * p), 0) + 1) / (any_value(t.g) + 3) AS g, (coalesce(sum(q.n * (1 - p)), 0) + 1) / (any_value(t.b) + 3) AS b, any_value((t.g + 1) / (t.g + t.b + 2)) AS prior
+  FROM p0 LEFT JOIN each USING (rule, vote) LEFT JOIN q{k} q USING (votes) CROSS JOIN t{k} t GROUP BY rule, vote),"""
+    return rf"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM documents),
+win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM d)),
+again AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+s AS MATERIALIZED (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines, length(regexp_replace(t, '\P{{L}}', '', 'g')) AS n_letters,
+    length(regexp_replace(t, '\P{{Lu}}', '', 'g')) AS n_upper, len(list_filter(w, lambda x: NOT regexp_matches(x, '\p{{L}}'))) AS no_letter,
+    length(regexp_replace(t, '[^.!?:;,]', '', 'g')) AS n_stops FROM d LEFT JOIN rep ON rep.doc_id = d.doc_id),
+voted AS MATERIALIZED (SELECT *, [{votes}] AS votes FROM s),
+pattern AS MATERIALIZED (SELECT votes, count(*) AS n FROM voted GROUP BY votes),
+each AS MATERIALIZED (SELECT votes, n, unnest(votes) AS vote, unnest(range(0, {len(rules)})) AS rule FROM pattern),
+p0 AS MATERIALIZED (SELECT rule, vote, [0.02, 0.38, 0.6][vote + 2]::DOUBLE AS g, [0.3, 0.5, 0.2][vote + 2]::DOUBLE AS b, 0.5::DOUBLE AS prior
+  FROM (SELECT unnest(range(0, {len(rules)})) AS rule), (SELECT unnest([-1, 0, 1]) AS vote)),{steps}
+last AS (SELECT votes, {posterior} AS p FROM each JOIN p{rounds} USING (rule, vote) GROUP BY votes)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND p >= 0.5 AS kept, array_to_string(votes, ',') AS votes
+FROM voted JOIN last USING (votes)
+"""
+
+
+ORACLES: dict[str, str] = {
+    "op1_embedding_dups": OP1, "op2_minhash_dups": OP2, "op3_url_trust": _op3(), "op6_archives": OP6, "op7_secrets": _op7(),
+    "op11_centroids": _op11(), "op12_spelling": _op12(), "op13_quality_rules": _op13(),
+}

@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import landroll
-from landroll.llm import archives, decontaminate, embedding_dups, language, minhash_dups, packing, quality, secret_scan, token_counts, url_trust
+from landroll.llm import (
+    archives, centroids, decontaminate, embedding_dups, language, minhash_dups, packing, quality, quality_rules, secret_scan, spelling,
+    token_counts, url_trust,
+)
 from landroll.llm.oracles import ORACLES
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -96,7 +99,22 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify_language(docs, language.fit_centroids(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
-_ALL = (op1_embedding_dups, op2_minhash_dups, op3_url_trust, op4_packing, op5_token_counts, op6_archives, op7_secrets, op8_decontaminate, op9_quality, op10_language)
+def op11_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster_vectors(_table(spark, folder, "embeddings"))
+
+
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, folder, "documents"))
+
+
+def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge_quality(_table(spark, folder, "documents")).drop("good")
+
+
+_ALL = (
+    op1_embedding_dups, op2_minhash_dups, op3_url_trust, op4_packing, op5_token_counts, op6_archives, op7_secrets, op8_decontaminate, op9_quality,
+    op10_language, op11_centroids, op12_spelling, op13_quality_rules,
+)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: _query(f) for f in _ALL}
 
 
