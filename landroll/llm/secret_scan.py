@@ -5,7 +5,10 @@ kind, mixed, collects long runs of letters and digits that no base span touches.
 are counted by the distinct owners and repositories that hold them: a value held by few owners looks live, one
 copied widely is an example. Base spans are always kept; mixed ones are added only where they look live.
 
-Positions are code points, ends exclusive. Defined results: a null or empty text has no spans, and the digest of
+Work grows with a text's length and number of matches: running values over a text's spans are taken within blocks of spans and then
+over the blocks, and a text is cut where spans lie by way of its pieces of 1,024 code points.
+
+Positions are code points, ends exclusive. Defined results: a very long text is scanned and redacted whole, however many matches it has; a null or empty text has no spans, and the digest of
 no spans is that of the empty string; null owners count as one owner of their own; equal rows give equal
 rows; a null id is carried along; no documents give no rows; other columns are not read.
 """
@@ -29,6 +32,9 @@ MIXED = r"[A-Za-z0-9+/_-]{24,}"
 LIVE_OWNERS = 2  # a value that more owners hold is an example
 LIVE_REPOSITORIES = 4
 
+BLOCK_ITEMS = 128
+PIECE = 1024
+
 SPAN = "struct<start:int,kind:int,stop:int,value:string>"
 
 
@@ -37,22 +43,45 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _running(items: Column, kind: str, first: Column, out: Callable[[Column, Column], Column], step: Callable[[Column, Column], Column], join: Callable[[Column, Column], Column]) -> Column:
+    """out(value, item) of every item, where value is what `step` has made of the items before it, from `first` on.
+
+    step(value, item) and join(value, value of later items) must agree, and `first` must change nothing. Arrays are grown within
+    blocks of BLOCK_ITEMS items, and over the blocks; so no array is copied once per item.
+    """
+    blocks = F.transform(
+        F.when(F.size(items) > 0, F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK_ITEMS).cast("int"))).otherwise(F.array().cast("array<int>")),
+        lambda b: F.slice(items, b * BLOCK_ITEMS + 1, F.lit(BLOCK_ITEMS)),
+    )
+    totals = lambda all_blocks: F.transform(all_blocks, lambda block: F.aggregate(block, first, step))
+    none = F.expr(f"cast(array() as array<{kind}>)")
+    begin = F.struct(first.alias("now"), none.alias("before"))
+    grow = lambda state, total: F.struct(join(state["now"], total).alias("now"), F.concat(state["before"], F.array(state["now"])).alias("before"))
+    before = lambda all_blocks: F.aggregate(totals(all_blocks), begin, grow, lambda state: state["before"])
+
+    def within(block: Column, start: Column) -> Column:
+        more = lambda state, item: F.struct(step(state["now"], item).alias("now"), F.concat(state["before"], F.array(state["now"])).alias("before"))
+        values = F.aggregate(block, F.struct(start.alias("now"), none.alias("before")), more, lambda state: state["before"])
+        return F.zip_with(values, block, out)
+
+    return _let(blocks, lambda all_blocks: F.flatten(F.zip_with(all_blocks, before(all_blocks), within)))
+
+
 def _spans(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
     """Array of (start, kind, stop, value), where value is the counted group; empty for most texts after one look."""
     none = F.expr(f"cast(array() as array<{SPAN}>)")
-    begin = F.struct(F.lit(0).alias("at"), none.alias("found"))
 
-    def add(state: Column, part: Column) -> Column:
-        start = (state["at"] + F.length(part["gap"])).cast("int")
-        stop = (start + F.length(part["whole"])).cast("int")
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), part["value"].alias("value")).cast(SPAN)
-        found = F.when(F.length(part["value"]) >= least, F.concat(state["found"], F.array(span))).otherwise(state["found"])
-        return F.struct(stop.alias("at"), found.alias("found"))
+    def span(at: Column, part: Column) -> Column:
+        start = at + F.length(part["gap"])
+        found = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(part["whole"])).alias("stop"), part["value"].alias("value"))
+        return found.cast(SPAN)
 
     def located(whole: Column) -> Column:
         value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
         parts = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
-        return F.aggregate(parts, begin, add, lambda state: state["found"])
+        add = lambda at, part: (at + F.length(part["gap"]) + F.length(part["whole"])).cast("int")
+        spans = _let(parts, lambda p: _running(p, "int", F.lit(0), span, add, lambda at, more: at + more))
+        return F.filter(spans, lambda s: F.length(s["value"]) >= least)
 
     return F.when(text.rlike(pattern), _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), located)).otherwise(none)
 
@@ -67,8 +96,26 @@ def mixed_spans(text: Column, base: Column) -> Column:
     """Long runs with a capital, a small letter and a digit that touch no base span."""
     runs = _spans(F.coalesce(text, F.lit("")), MIXED, 0, 24, len(KINDS))
     varied = lambda s: s["value"].rlike("[A-Z]") & s["value"].rlike("[a-z]") & s["value"].rlike("[0-9]")
-    apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    return F.filter(runs, lambda s: varied(s) & apart(s))
+    return F.when(F.size(runs) > 0, _let(F.filter(runs, varied), lambda r: _apart(r, base))).otherwise(runs)
+
+
+def _apart(runs: Column, base: Column) -> Column:
+    """The runs that touch no base span: among all spans by start, no base span before reaches into one, none after starts in it."""
+    is_run = lambda s: s["kind"] == len(KINDS)
+    greatest = lambda a, b: F.greatest(a, b)
+    marked = lambda free: lambda now, s: F.struct(s.alias("s"), (~is_run(s) | free(now, s)).alias("free"))
+    kind = f"struct<s:{SPAN},free:boolean>"
+
+    def clear(spans: Column) -> Column:
+        reach = lambda now, s: F.when(is_run(s), now).otherwise(F.greatest(now, s["stop"]))
+        ahead = _running(spans, "int", F.lit(-1), marked(lambda now, s: now <= s["start"]), reach, greatest)
+        # backwards, with starts negated, the nearest base span to come is the greatest one
+        coming = lambda now, m: F.when(is_run(m["s"]), now).otherwise(F.greatest(now, -m["s"]["start"]))
+        both = lambda now, m: F.struct(m["s"].alias("s"), (m["free"] & (-now >= m["s"]["stop"])).alias("free")).cast(kind)
+        back = _let(F.reverse(ahead), lambda m: _running(m, "int", F.lit(-(2**31) + 1), both, coming, greatest))
+        return F.transform(F.filter(F.reverse(back), lambda m: is_run(m["s"]) & m["free"]), lambda m: m["s"])
+
+    return F.when(F.size(base) > 0, _let(F.sort_array(F.concat(base, runs)), clear)).otherwise(runs)
 
 
 def joined(spans: Column) -> Column:
@@ -122,17 +169,26 @@ def scan_secrets(
     )
 
 
-def _without(text: Column, spans: Column, mark: str) -> Column:
-    """The text with every span replaced; overlapping spans are one."""
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def _cut(pieces: Column, start: Column, stop: Column) -> Column:
+    """The code points from start up to stop of a text given in pieces of PIECE code points."""
+    def part(piece: Column) -> Column:
+        begin = F.greatest(start - piece * PIECE, F.lit(0))
+        return F.substring(F.get(pieces, piece), begin + 1, stop - piece * PIECE - begin)
+
+    numbers = F.sequence(F.floor(start / PIECE).cast("int"), F.floor((stop - 1) / PIECE).cast("int"))
+    return F.when(stop > start, F.array_join(F.transform(numbers, part), "")).otherwise("")
 
-    def cut(state: Column, span: Column) -> Column:
-        before = F.substring(text, state["at"] + 1, F.greatest(F.lit(0), span["start"] - state["at"]))
-        fresh = span["start"] >= state["at"]
-        return F.struct(F.greatest(state["at"], span["stop"]).alias("at"), F.when(fresh, F.concat(state["out"], before, F.lit(mark))).otherwise(state["out"]).alias("out"))
 
-    rest = lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, begin, cut, rest)).otherwise(text)
+def _without(text: Column, spans: Column, mark: str) -> Column:
+    """The text with every span replaced; overlapping spans are one. Spans are in order of their starts."""
+    def cut(pieces: Column) -> Column:
+        reach = lambda now, s: F.greatest(now, s["stop"])
+        kept = lambda now, s: F.when(s["start"] >= now, F.concat(_cut(pieces, now, s["start"]), F.lit(mark))).otherwise("")
+        end = F.array_max(F.transform(spans, lambda s: s["stop"]))
+        return F.concat(F.array_join(_running(spans, "int", F.lit(0), kept, reach, F.greatest), ""), _cut(pieces, end, F.length(text)))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, _let(pieces, cut)).otherwise(text)
 
 
 def redact_secrets(
@@ -160,7 +216,11 @@ def redact_secrets(
     some = docs.where(runs).join(live, same, "left")
     none = F.expr("cast(array() as array<struct<start:int,kind:int,stop:int>>)")
     # rows may repeat an id with another text, so a live span must be a candidate of this text as well
-    every = _let(base_spans(text), lambda b: F.sort_array(F.concat(plain(b), F.array_intersect(plain(mixed_spans(text, b)), F.coalesce(F.col("__live"), none)))))
+    # (compared as numbers, of which an intersection is one pass)
+    packed = lambda c: F.transform(c, lambda s: F.shiftleft(s["start"].cast("bigint"), 32) + s["stop"])
+    unpacked = lambda c: F.transform(c, lambda k: F.struct(F.shiftright(k, 32).cast("int").alias("start"), F.lit(len(KINDS)).alias("kind"), k.bitwiseAND(2**32 - 1).cast("int").alias("stop")))
+    shared = lambda b: unpacked(F.array_intersect(packed(mixed_spans(text, b)), packed(F.coalesce(F.col("__live"), none))))
+    every = _let(base_spans(text), lambda b: F.sort_array(F.concat(plain(b), shared(b))))
     out = alone.union(some.select(*docs.columns, every.alias("__all"))).withColumn(text_col, _without(text, F.col("__all"), mark))
     if length_col and length_col in docs.columns:
         length = F.length(text_col).cast(docs.schema[length_col].dataType)
