@@ -189,6 +189,52 @@ def entity_buckets(
     return merged.select(doc, *[bucket(labels).alias(name) for name, labels in ENTITY_BUCKETS.items()])
 
 
+def document_extraction(
+    pages: DataFrame,
+    spans: DataFrame,
+    *,
+    doc: str = "doc_id",
+    page: str = "page_no",
+    text: str = "text",
+    position: str = "pos",
+    label: str = "label",
+    page_end: str = "\n",
+    positions_per_part: int = POSITIONS_PER_PART,
+) -> DataFrame:
+    """One record per document from its page texts and its entity spans.
+
+    Columns: doc, raw_text, reject_reason, the entity lists, land_area, name, village, district, and `entities`, the lists and
+    areas as the object that a claim stores. A document without spans has empty lists; one without pages, or with blank
+    ones, has no text and says so in reject_reason.
+
+    Pages and spans go through one exchange on the document together: runs of `positions_per_part` positions are sorted in
+    tasks of their own, then the runs of a document are put in order.
+    """
+    own = pages.select(
+        F.col(doc), F.lit(0).alias("_kind"), F.col(page).cast("bigint").alias("_at"), F.col(text).alias("_text"), F.lit(None).cast("string").alias("_label")
+    )
+    found = spans.select(F.col(doc), F.lit(1).alias("_kind"), F.col(position).cast("bigint").alias("_at"), F.col(text).alias("_text"), F.col(label).alias("_label"))
+    item = F.struct(F.col("_kind").alias("kind"), F.col("_at").alias("at"), F.col("_text").alias("text"), F.col("_label").alias("label"))
+    parts = own.union(found).groupBy(doc, "_kind", _part("_at", positions_per_part)).agg(F.sort_array(F.collect_list(item)).alias("_items"))
+    runs = F.sort_array(F.collect_list(F.struct("_kind", "part_no", "_items")))
+    merged = parts.groupBy(doc).agg(F.flatten(F.transform(runs, lambda r: r["_items"])).alias("_items"))
+
+    ended = F.transform(F.filter("_items", lambda i: i["kind"] == 0), lambda i: F.concat(F.coalesce(i["text"], F.lit("")), F.lit(page_end)))
+
+    def bucket(labels: tuple[str, ...]) -> Column:
+        return F.transform(F.filter("_items", lambda i: i["label"].isin(*labels)), lambda i: i["text"])
+
+    whole = F.array_join(ended, "")
+    rows = merged.select(
+        doc, F.when(trim_ws(whole) != "", whole).alias("raw_text"), *[bucket(labels).alias(name) for name, labels in ENTITY_BUCKETS.items()]
+    )
+    rows = resolve_places(land_areas(rows).drop("areas"))
+    rows = rows.withColumn("land_area", F.coalesce("land_area", F.array().cast("array<string>")))
+    return rows.withColumns(
+        {"reject_reason": F.when(F.col("raw_text").isNull(), NO_TEXT), "entities": F.struct(*ENTITY_BUCKETS, "land_area")}
+    )
+
+
 def _is_particular(text: Column) -> Column:
     return ~F.lower(text).isin(*GENERIC_PLACES)
 

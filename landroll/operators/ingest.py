@@ -66,13 +66,15 @@ def screen_claims(
     raw_text: str = "raw_text",
     ledger_text: str = "raw_text",
     ledger_key: str | None = None,
+    ledger_buckets: int | None = None,
 ) -> DataFrame:
     """Add `reject_reason` (null = accepted) to each row of a batch of new claims.
 
     `arrival` is unique and orders the batch. A claim without a name is rejected before its text is
     looked at, so it cannot shadow a later one. Of the named claims with equal non-empty text the
     first is accepted, unless the ledger already holds the text. `ledger_key` names a ledger column
-    with stored text keys, which spares reading the ledger's texts.
+    with stored text keys, which spares reading the ledger's texts. `ledger_buckets` tells that these are
+    bucketed by key: the batch's keys are then dealt into as many parts, and the ledger's stay where they are.
     """
     if ledger_key:
         known = ledger.where(F.col(ledger_key).isNotNull()).select(F.col(ledger_key).alias("text_key"))
@@ -80,10 +82,16 @@ def screen_claims(
         known = ledger.where(has_text(ledger_text)).select(text_key(ledger_text).alias("text_key"))
     named = has_text(name)
     firsts = _first_arrivals(batch.where(named), arrival, raw_text)
-    known = keep_wanted(known, firsts, "text_key", batch.count() * (TEXT_KEY_BYTES + ROW_OVERHEAD))
+    if ledger_buckets:
+        dealt = firsts.repartition(ledger_buckets, "text_key")  # grouped once more, or the join below would move under it
+        firsts = dealt.groupBy("text_key").agg(F.min("first_arrival").alias("first_arrival"))
+    batch_rows = batch.count()
+    known = keep_wanted(known, firsts, "text_key", batch_rows * (TEXT_KEY_BYTES + ROW_OVERHEAD))
     fresh = firsts.join(known.distinct(), "text_key", "left_anti").select(
         F.col("first_arrival").alias("_fresh")
     )
+    if is_small(batch_rows * ROW_OVERHEAD):  # the outcomes then meet the batch where it is, and no text moves
+        fresh = F.broadcast(fresh)
     reason = F.when(~named, NAME_REQUIRED).when(
         has_text(raw_text) & F.col("_fresh").isNull(), ALREADY_SAVED
     )

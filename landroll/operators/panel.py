@@ -127,18 +127,22 @@ def with_focus_flag(df: DataFrame, states: tuple[str, ...] = FOCUS_STATES) -> Da
     return df.withColumn("is_focus", F.coalesce(F.col("state").isin(*states), F.lit(False)))
 
 
+def choose_periods(periods: DataFrame, wanted: tuple[str, ...], *, period: str = "sheet_id") -> DataFrame:
+    """(wanted, period): each wanted period, or the first one where there is no such one. One row per wanted id."""
+    ids = F.explode(F.array(*[F.lit(w) for w in wanted])).alias("wanted")
+    place = F.struct(F.col(period) != F.col("wanted"), "period_order", period)
+    return periods.select(period, "period_order", ids).groupBy("wanted").agg(F.min_by(period, place).alias(period))
+
+
 def pick_periods(
     df: DataFrame, periods: DataFrame, wanted: tuple[str, ...], *, period: str = "sheet_id"
 ) -> DataFrame:
     """Rows of each wanted period, or of the first period where there is no such one.
 
     `periods` is the period list `(period, period_order)`. The choice has one row per wanted id, so
-    its broadcast has a known size.
+    its broadcast has a known size. Where the rows have yet to be parsed, `choose_periods` first tells which to read.
     """
-    ids = F.explode(F.array(*[F.lit(w) for w in wanted])).alias("wanted")
-    place = F.struct(F.col(period) != F.col("wanted"), "period_order", period)
-    choice = periods.select(period, "period_order", ids).groupBy("wanted").agg(F.min_by(period, place).alias(period))
-    return df.join(F.broadcast(choice), period)
+    return df.join(F.broadcast(choose_periods(periods, wanted, period=period)), period)
 
 
 def table_rows(df: DataFrame, *, period: str = "sheet_id") -> DataFrame:

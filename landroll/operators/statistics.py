@@ -1,16 +1,19 @@
 """Statistics workbook jobs: headers, dirty cells, totals, periods, nested form.
 
-Input is a table of sheet rows `(sheet_id, row_pos, cells ARRAY<STRING>)`; row 0 of a sheet is its
-header. `header_rows` and `value_rows` take it apart, and the jobs work on these two tables.
-Everything but the lookup of a sheet's header is local to a row.
+Input is a table of sheet rows `(sheet_id, row_pos, cells)`; row 0 of a sheet is its header. Cells are
+ARRAY<STRING>, or ARRAY<STRUCT<text, number>> where the source tells numbers from text: a number then
+counts as it is, and only text is cleaned. `header_rows` and `value_rows` take the table apart, and the jobs
+work on these two. Everything but the lookup of a sheet's header is local to a row.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from landroll.functions.numbers import parse_number
 from landroll.functions.text import as_column, has_text, squeeze_ws, trim_ws
@@ -59,14 +62,69 @@ def normalize_header(c: Column | str) -> Column:
     return squeeze_ws(F.lower(trim_ws(F.coalesce(as_column(c), F.lit("")))))
 
 
-def header_key(normalized: Column) -> Column:
-    """Stable key of a normalised header, null when nothing matches; one CASE, first match wins."""
-    key = F.when(normalized.isin(*SERIAL_HEADERS), "slNo").when(normalized.isin(*STATE_HEADERS), "state")
-    for phrase, stem, parts in MEASURE_PHRASES:
-        for part in parts:
-            found = F.contains(normalized, F.lit(phrase)) & F.contains(normalized, F.lit(part.lower()))
-            key = key.when(found, stem + part)
-    return key
+class HeaderRule(NamedTuple):
+    """Leads a normalised header to a key: it is one of the needles (`exact`), or it contains all of them."""
+
+    key: str
+    needles: tuple[str, ...]
+    exact: bool = False
+
+
+#: The rules in order; the first that fits a header counts.
+HEADER_RULES = (
+    HeaderRule("slNo", SERIAL_HEADERS, exact=True),
+    HeaderRule("state", STATE_HEADERS, exact=True),
+    *(HeaderRule(key + part, (phrase, part.lower())) for phrase, key, parts in MEASURE_PHRASES for part in parts),
+)
+MOST_RULES = 1_000
+
+
+def rules_from_table(table: DataFrame) -> tuple[HeaderRule, ...]:
+    """Rules kept as data: rows (rule_order, key, needles ARRAY<STRING>, exact). They are constants of a job, so their number is checked."""
+    found = table.orderBy("rule_order").limit(MOST_RULES + 1).collect()
+    if len(found) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} header rules")
+    return tuple(HeaderRule(r["key"], tuple(r["needles"]), bool(r["exact"])) for r in found)
+
+
+def rules_table(spark: SparkSession, rules: tuple[HeaderRule, ...] = HEADER_RULES) -> DataFrame:
+    """The rules as a table that `rules_from_table` reads."""
+    rows = [(i, r.key, list(r.needles), r.exact) for i, r in enumerate(rules)]
+    return spark.createDataFrame(rows, "rule_order INT, key STRING, needles ARRAY<STRING>, exact BOOLEAN")
+
+
+def measures_of(rules: tuple[HeaderRule, ...]) -> tuple[str, ...]:
+    """Keys that stand for numbers, in the order of the rules."""
+    return tuple(dict.fromkeys(r.key for r in rules if r.key not in ("slNo", "state")))
+
+
+def header_key(normalized: Column, rules: tuple[HeaderRule, ...] = HEADER_RULES) -> Column:
+    """Stable key of a normalised header, null when nothing matches: the first rule that fits."""
+    if not rules:
+        return F.lit(None).cast("string")
+    table = F.array(
+        *[F.struct(F.lit(r.key).alias("key"), F.array(*[F.lit(n) for n in r.needles]).alias("needles"), F.lit(r.exact).alias("exact")) for r in rules]
+    )
+
+    def fits(rule: Column) -> Column:
+        inside = F.forall(rule["needles"], lambda needle: F.contains(normalized, needle))
+        return F.when(rule["exact"], F.array_contains(rule["needles"], normalized)).otherwise(inside)
+
+    return F.get(F.filter(table, fits), F.lit(0))["key"]
+
+
+def _typed(sheets: DataFrame) -> bool:
+    return isinstance(sheets.schema["cells"].dataType.elementType, T.StructType)
+
+
+def cell_texts(sheets: DataFrame) -> Column:
+    """The cells as text, also where they are typed."""
+    return F.transform("cells", lambda c: c["text"]) if _typed(sheets) else F.col("cells")
+
+
+def cell_number(cell: Column, typed: bool) -> Column:
+    """The number in a cell: one that is a number already as it is, else what the text says."""
+    return F.coalesce(cell["number"], parse_number(cell["text"])) if typed else parse_number(cell)
 
 
 def header_rows(sheets: DataFrame) -> DataFrame:
@@ -77,22 +135,22 @@ def value_rows(sheets: DataFrame) -> DataFrame:
     return sheets.where(F.col("row_pos") > 0)
 
 
-def header_map(headers: DataFrame) -> DataFrame:
+def header_map(headers: DataFrame, rules: tuple[HeaderRule, ...] = HEADER_RULES) -> DataFrame:
     """(sheet_id, idx, header, normalized, key) of every header cell."""
-    cells = headers.select("sheet_id", F.posexplode("cells").alias("idx", "header"))
+    cells = headers.select("sheet_id", F.posexplode(cell_texts(headers)).alias("idx", "header"))
     normalized = cells.withColumn("normalized", normalize_header("header"))
-    return normalized.withColumn("key", header_key(F.col("normalized")))
+    return normalized.withColumn("key", header_key(F.col("normalized"), rules))
 
 
 def nonblank_rows(values: DataFrame) -> DataFrame:
     """Rows with at least one cell that is more than whitespace."""
-    return values.where(trim_ws(F.concat_ws("", "cells")) != "")
+    return values.where(trim_ws(F.concat_ws("", cell_texts(values))) != "")
 
 
-def sheet_keys(headers: DataFrame) -> DataFrame:
+def sheet_keys(headers: DataFrame, rules: tuple[HeaderRule, ...] = HEADER_RULES) -> DataFrame:
     """(sheet_id, keys): the key of each header cell in column order, empty where there is none."""
-    normalized = F.transform("cells", normalize_header)
-    keys = F.transform(normalized, lambda header: F.coalesce(header_key(header), F.lit("")))
+    normalized = F.transform(cell_texts(headers), normalize_header)
+    keys = F.transform(normalized, lambda header: F.coalesce(header_key(header, rules), F.lit("")))
     return headers.select("sheet_id", keys.alias("keys"))
 
 
@@ -105,32 +163,33 @@ def _places(keys: Column, wanted: list[str]) -> Column:
     return F.transform(F.array(*[F.lit(key) for key in wanted]), place)
 
 
-def keyed_rows(values: DataFrame, headers: DataFrame) -> DataFrame:
+def keyed_rows(values: DataFrame, headers: DataFrame, rules: tuple[HeaderRule, ...] = HEADER_RULES) -> DataFrame:
     """Non-blank rows with one column per key: (sheet_id, row_pos, state, slNo, measures).
 
     Where a key's cell is, is worked out once per sheet. Of two columns with one key the right-hand
     one counts, also when its cell is empty. Cells that a short row does not have are no columns of
     that row, so its places are looked up again among the columns it has. No row is exploded or
     regrouped: the only join attaches the places to the rows of their sheet. A sheet without headers
-    is an error.
+    is an error, also where its rows are only counted.
 
     The cells are parsed inside array expressions, which keeps the generated code of a wide row
     small enough for the JVM to compile.
     """
-    wanted = ["state", "slNo", *MEASURES]
-    sheet = sheet_keys(headers).withColumn("_of_sheet", _places(F.col("keys"), wanted))
+    wanted = ["state", "slNo", *measures_of(rules)]
+    typed = _typed(values)
+    sheet = sheet_keys(headers, rules).withColumn("_of_sheet", _places(F.col("keys"), wanted))
     short = F.size("cells") < F.size("keys")
     of_row = _places(F.slice("keys", F.lit(1), F.size("cells")), wanted)
     known = nonblank_rows(values).join(sheet, "sheet_id", "left")
-    unknown = F.raise_error(F.concat(F.lit("no header row in sheet "), F.col("sheet_id"))).cast("array<int>")
-    rows = known.select(
-        "sheet_id", "row_pos", "cells", F.when(F.col("_of_sheet").isNull(), unknown).when(short, of_row).otherwise(F.col("_of_sheet")).alias("_places")
-    )
+    unknown = F.raise_error(F.concat(F.lit("no header row in sheet "), F.col("sheet_id"))).cast("boolean")
+    known = known.where(F.when(F.col("_of_sheet").isNull(), unknown).otherwise(F.lit(True)))
+    rows = known.select("sheet_id", "row_pos", "cells", F.when(short, of_row).otherwise(F.col("_of_sheet")).alias("_places"))
+    state = F.get("cells", F.get("_places", F.lit(0)))
     found = rows.select(
         "sheet_id",
         "row_pos",
-        F.coalesce(trim_ws(F.get("cells", F.get("_places", F.lit(0)))), F.lit("")).alias("state"),
-        F.transform("_places", lambda i: parse_number(F.get("cells", i))).alias("_numbers"),
+        F.coalesce(trim_ws(state["text"] if typed else state), F.lit("")).alias("state"),
+        F.transform("_places", lambda i: cell_number(F.get("cells", i), typed)).alias("_numbers"),
     )
     numbers = [F.get("_numbers", F.lit(i)).alias(key) for i, key in enumerate(wanted) if key != "state"]
     return found.select("sheet_id", "row_pos", "state", *numbers)
@@ -144,12 +203,12 @@ def state_rows(keyed: DataFrame) -> DataFrame:
 def fill_totals(df: DataFrame) -> DataFrame:
     """Fill a missing claims or titles total from its parts, a missing part counting as 0."""
     filled = {}
-    for stem in SUMMED:
+    for stem in (s for s in SUMMED if {s + "Individual", s + "Community", s + "Total"} <= set(df.columns)):
         parts = [F.col(stem + "Individual"), F.col(stem + "Community")]
         total = reduce(Column.__add__, [F.coalesce(p, F.lit(0.0)) for p in parts])
         any_part = parts[0].isNotNull() | parts[1].isNotNull()
         filled[stem + "Total"] = F.coalesce(F.col(stem + "Total"), F.when(any_part, total))
-    return df.withColumns(filled)
+    return df.withColumns(filled) if filled else df
 
 
 def _by_period(sheet_id: str, values: dict[str, str | int | None], otherwise: Column) -> Column:
@@ -202,11 +261,12 @@ def clean_statistics(
     preferred: tuple[str, ...] | None = None,
     *,
     workbook_position: Column | str,
+    rules: tuple[HeaderRule, ...] = HEADER_RULES,
 ) -> DataFrame:
     """Raw sheets to the long table, one row per period and state."""
     known = KNOWN_PERIODS if known is None else known
     preferred = tuple(known) if preferred is None else preferred
-    rows = with_period_meta(fill_totals(state_rows(keyed_rows(values, headers))), known)
+    rows = with_period_meta(fill_totals(state_rows(keyed_rows(values, headers, rules))), known)
     return with_period_order(rows, workbook_position, preferred)
 
 

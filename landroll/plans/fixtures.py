@@ -125,6 +125,18 @@ SELECT conv_id AS doc_id, turn AS pos,
 FROM {conversations}
 """
 
+# Every turn is also a page, some with land areas; some documents have spans only, some pages only, some blank pages.
+VIEWS["extraction_pages_v"] = """
+SELECT conv_id AS doc_id, turn AS page_no,
+ CASE WHEN conv_id % 13 = 4 THEN concat(' ', chr(10)) WHEN turn % 7 = 3 THEN NULL
+   WHEN turn % 2 = 1 THEN concat(text, ' Area ', CAST(turn AS STRING), '.25 Hectares,', chr(10), CAST(conv_id AS STRING), ' acres') ELSE text END AS text
+FROM {conversations} WHERE conv_id % 17 <> 5
+"""
+
+VIEWS["extraction_spans_v"] = """
+SELECT doc_id, pos, label, text FROM spans_v WHERE doc_id % 19 <> 6
+"""
+
 VIEWS["form_text_v"] = """
 SELECT c_custkey AS doc_id, concat('Forest Rights Act Claim Form', chr(10), 'Name of Claimant: ', c_name, chr(10),
  'Village- V', CAST(c_custkey % 97 AS STRING), '  ', chr(10),

@@ -182,6 +182,7 @@ def counts(column: str, missing: str) -> str:
 ORACLES: dict[str, str] = {}
 
 CLAIM = "id, name, village, district, state, claim_type, status, latitude_in, longitude_in, raw_text"
+CLAIM_BUT_STATUS = CLAIM.replace(" status,", "")
 ORACLES["claims_scan"] = f"SELECT {CLAIM}, created_at FROM claims_v WHERE created_at IS NOT NULL"
 ORACLES["claims_sparse_json"] = f"""SELECT id, CAST(json_merge_patch('{{}}', to_json(struct_pack(id := id, name := name,
  village := village, district := district, state := state, claim_type := claim_type, status := status,
@@ -260,8 +261,17 @@ ORACLES["claims_ingest_accepted"] = f"""WITH {SCREENED} SELECT arrival, name, CA
  CAST(NULL AS DOUBLE) AS latitude, CAST(NULL AS DOUBLE) AS longitude, raw_text, CAST(NULL AS VARCHAR) AS entities,
  TIMESTAMP '2024-01-01 00:00:00' AS created_at FROM screened WHERE outcome = 'accepted'"""
 ORACLES["status_latest"] = f"WITH {LATEST} SELECT claim_id, status FROM latest"
-ORACLES["status_apply"] = f"""WITH {LATEST} SELECT c.id, c.name, coalesce(u.status, c.status) AS status
+ORACLES["status_apply"] = f"""WITH {LATEST} SELECT {CLAIM_BUT_STATUS}, coalesce(u.status, c.status) AS status, created_at
  FROM claims_v c LEFT JOIN latest u ON c.id = u.claim_id"""
+STORED = f"""stored AS (SELECT id, name, village, district, state, claim_type, status, {number('latitude_in')} AS latitude,
+ {number('longitude_in')} AS longitude, raw_text, created_at FROM claims_v)"""
+ORACLES["status_write_back"] = f"""WITH {LATEST}, {STORED} SELECT s.* REPLACE (coalesce(u.status, s.status) AS status)
+ FROM stored s LEFT JOIN latest u ON s.id = u.claim_id"""
+ORACLES["ledger_deep_page"] = f"""WITH {STORED} SELECT * FROM stored WHERE created_at <= TIMESTAMP '1995-06-17 00:00:00'
+ AND (created_at < TIMESTAMP '1995-06-17 00:00:00' OR id < '30000') ORDER BY created_at DESC, id DESC LIMIT 100"""
+ORACLES["ingest_key_table"] = ORACLES["ingest_duplicates"]
+ORACLES["ledger_batch_commit"] = f"""WITH {SCREENED} SELECT CAST(arrival AS VARCHAR) AS id, name, state, raw_text,
+ TIMESTAMP '2024-01-01 00:00:00' AS created_at FROM screened WHERE outcome = 'accepted'"""
 ORACLES["status_update_rejects"] = """SELECT event_id, claim_id, status, CASE WHEN coalesce(status, '') = ''
  THEN 'Status is required' ELSE 'Claim not found' END AS reject_reason FROM status_updates_v u
  WHERE coalesce(status, '') = '' OR NOT EXISTS (SELECT 1 FROM claims_v c WHERE c.id = u.claim_id)"""
@@ -292,15 +302,19 @@ ORACLES["stats_period_meta"] = """SELECT sheet_id, CASE sheet_id WHEN 'N-1' THEN
  count(*) AS n_rows FROM stats_sheet_v WHERE row_pos > 0 GROUP BY 1, 2, 3"""
 ORACLES["stats_period_order"] = f"""SELECT sheet_id, {PERIOD_ORDER}
  AS period_order, count(*) AS n_rows FROM stats_sheet_v WHERE row_pos > 0 GROUP BY 1, 2"""
-ORACLES["stats_union_sheets"] = f"""WITH {STATES} SELECT sheet_id, row_pos, state,
- CASE WHEN left(sheet_id, 1) = 'A' THEN claimsReceivedIndividual END AS claimsReceivedIndividual,
- CASE WHEN left(sheet_id, 1) = 'A' THEN claimsReceivedCommunity END AS claimsReceivedCommunity,
- CASE WHEN left(sheet_id, 1) <> 'A' THEN claimsReceivedTotal END AS claimsReceivedTotal,
- CASE WHEN left(sheet_id, 1) = 'N' THEN forestLandTotal END AS forestLandTotal,
- CASE WHEN left(sheet_id, 1) = 'R' THEN rejectedTotal END AS rejectedTotal FROM states"""
+ORACLES["stats_union_sheets"] = f"""WITH {STATES} SELECT sheet_id, row_pos, state, claimsReceivedIndividual, claimsReceivedCommunity,
+ claimsReceivedTotal, titlesDistributedIndividual, pendingCommunity, rejectedTotal, forestLandTotal FROM states"""
+FIGURES = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in ("slNo", *MEASURES))
 ORACLES["stats_json_nest"] = f"""WITH {STATS} SELECT 'workbook' AS source, sheet_id AS id, label, CAST(as_of AS VARCHAR) AS "asOf",
  period_order AS position, CAST(count(*) AS INTEGER) AS n_rows, arg_min(state, row_pos) AS first_state,
- arg_max(state, row_pos) AS last_state, string_agg(state, '|' ORDER BY row_pos) AS states FROM stats GROUP BY sheet_id, label, as_of, period_order"""
+ arg_max(state, row_pos) AS last_state, string_agg(state, '|' ORDER BY row_pos) AS states,
+ string_agg(concat_ws(',', {FIGURES}), '|' ORDER BY row_pos) AS figures FROM stats GROUP BY sheet_id, label, as_of, period_order"""
+# A row ends at its last cell that is not null; one without the right-hand column of a key keeps the cell of the left-hand one.
+TITLES = "titlesDistributedIndividual"
+SHORT_TITLES = f"""CASE WHEN left(sheet_id, 1) = 'R' AND c8 IS NULL THEN {dirty_number('c5')}
+ ELSE {measure(TITLES).removesuffix(f' AS {TITLES}')} END AS {TITLES}"""
+ORACLES["stats_workbook_files"] = f"""WITH {STATS.replace(measure(TITLES), SHORT_TITLES)}
+ SELECT sheet_id, row_pos, state, slNo, {', '.join(MEASURES)}, label, as_of, period_order FROM stats"""
 ORACLES["stats_json_flatten"] = f"""WITH {STATS} SELECT 'workbook' AS source, * REPLACE (
  row_number() OVER (PARTITION BY sheet_id ORDER BY row_pos) - 1 AS row_pos) FROM stats"""
 
@@ -381,6 +395,23 @@ ORACLES["entity_places"] = f"""WITH {PLACES} SELECT d.doc_id,
  (SELECT arg_min(text, pos) FROM spans_v s WHERE s.doc_id = d.doc_id AND label = 'PERSON') AS name,
  v.text AS village, w.text AS district FROM (SELECT DISTINCT doc_id FROM spans_v) d
  LEFT JOIN places v ON v.doc_id = d.doc_id AND v.rn = 1 LEFT JOIN places w ON w.doc_id = d.doc_id AND w.rn = 2"""
+ORACLES["document_extraction"] = f"""WITH t AS (SELECT doc_id, string_agg(coalesce(text, '') || chr(10), '' ORDER BY page_no, text) AS raw
+  FROM extraction_pages_v GROUP BY 1),
+ e AS (SELECT doc_id, {spans("'PERSON'")} AS persons, {spans("'GPE', 'LOC'")} AS locations, {spans("'DATE'")} AS dates,
+  {spans("'ORG'")} AS organizations, arg_min(text, pos) FILTER (label = 'PERSON') AS name FROM extraction_spans_v GROUP BY 1),
+ p AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY pos, text) AS rn FROM extraction_spans_v
+  WHERE label IN ('GPE', 'LOC') AND lower(text) NOT IN ('india', 'state', 'district', 'village')),
+ d AS (SELECT doc_id FROM t UNION SELECT doc_id FROM e),
+ x AS (SELECT d.doc_id, CASE WHEN {trimmed('t.raw')} <> '' THEN t.raw END AS raw_text, e.*  EXCLUDE (doc_id),
+  v.text AS village, w.text AS district FROM d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN e ON e.doc_id = d.doc_id
+  LEFT JOIN p v ON v.doc_id = d.doc_id AND v.rn = 1 LEFT JOIN p w ON w.doc_id = d.doc_id AND w.rn = 2),
+ m AS (SELECT *, list_transform(regexp_extract_all(coalesce(raw_text, ''), '(?i){AREA}'),
+  lambda y: {area('y', 1)} || ' ' || {area('y', 2)} || ' ' || {area('y', 3)}) AS areas FROM x)
+ SELECT doc_id, raw_text, CASE WHEN raw_text IS NULL THEN 'Failed to extract any text from the document.' END AS reject_reason,
+ name, village, district, coalesce(persons, '') AS persons, coalesce(locations, '') AS locations, coalesce(dates, '') AS dates,
+ coalesce(organizations, '') AS organizations, array_to_string(areas, '|') AS land_area,
+ '[' || array_to_string(list_transform(areas, lambda a: '"' || a || '"'), ',') || ']' AS stored_areas,
+ coalesce(name, '') AS form_name, coalesce(village, '') AS form_village, coalesce(district, '') AS form_district, 'Pending' AS form_status FROM m"""
 ORACLES["review_prefill"] = f"""WITH {FORM} SELECT doc_id, coalesce(name, '') AS name, coalesce(village, '') AS village,
  coalesce(district, '') AS district, coalesce(state, '') AS state, 'Individual' AS claim_type, 'Pending' AS status,
  coalesce(latitude, '') AS latitude, coalesce(longitude, '') AS longitude, raw_text FROM form"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from landroll.functions.numbers import indian_number, parse_number
 from landroll.operators import analytics, documents, ingest, ledger, maplayer, panel, statistics
 from landroll.plans.fixtures import STAT_COLUMNS, base_table, load_view
 from landroll.session import ensure_checkpoint_dir
+from landroll.sources import ledger_store, workbook
 from landroll.sources.workbook import cells_array
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +28,9 @@ PERIODS = {"N-1": ("Period N", "2024-06-30"), "R-2": ("Period R", "2023-10-31")}
 PREFERRED = ("R-2", "N-1")
 PERIOD_ID = "N-1"
 NO_PERIOD = "ZZ"
+PLAIN_CELL = r"^(0|-?[1-9][0-9]*)(\.[0-9]+)?$"
+KEY_BUCKETS = 8
+DEEP_AFTER = ("1995-06-17T00:00:00", "30000")
 SOURCE = "workbook"
 MEASURES = statistics.MEASURES
 
@@ -81,6 +86,19 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see, for queries that write files and read them again."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def stored_ledger(spark: SparkSession, folder: str) -> str:
+    """A ledger store that holds all claims."""
+    root = work_folder(spark, "ledger")
+    ledger_store.import_claims(spark, root, ledger.coerce_coordinates(claims(spark, folder)), buckets=KEY_BUCKETS)
+    return root
+
+
 def workbook_position() -> Column:
     """Sheets are numbered in workbook order."""
     return F.substring_index("sheet_id", "-", -1).cast("int")
@@ -306,10 +324,50 @@ def status_latest(spark, folder):
     return ingest.latest_status(load_view(spark, folder, "status_updates_v"))
 
 
+@query
+def ingest_key_table(spark, folder):
+    """The duplicates of a batch, found by the key table of a ledger store that holds all texts."""
+    root = work_folder(spark, "ledger")
+    texts = load_view(spark, folder, "ledger_texts_v")
+    ledger_store.import_claims(spark, root, texts.withColumn("created_at", F.lit(None).cast("timestamp_ntz")), buckets=KEY_BUCKETS)
+    found = ledger_store.screen_batch(spark, root, load_view(spark, folder, "new_claims_v"))
+    return ingest.duplicates(found).select("arrival", "name", "reject_reason")
+
+
+@query
+def ledger_batch_commit(spark, folder):
+    """A ledger that holds all texts, after a batch was screened and committed: what the batch added."""
+    root = work_folder(spark, "ledger")
+    texts = load_view(spark, folder, "ledger_texts_v").withColumn("created_at", F.lit("1999-01-01").cast("timestamp_ntz"))
+    ledger_store.import_claims(spark, root, texts, buckets=KEY_BUCKETS)
+    stamp = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    batch = load_view(spark, folder, "new_claims_v")
+    version = ledger_store.add_batch(spark, root, batch, created_at=stamp, new_id=F.col("arrival").cast("string"))
+    added = ledger_store.read_claims(spark, root, version).where(F.col("created_at") == stamp)
+    return added.select("id", "name", "state", "raw_text", "created_at")
+
+
+STORED_CLAIM = ("id", "name", "village", "district", "state", "claim_type", "status", "latitude", "longitude", "raw_text", "created_at")
+
+
 @query
 def status_apply(spark, folder):
     updated = ingest.apply_status(claims(spark, folder), load_view(spark, folder, "status_updates_v"))
-    return updated.select("id", "name", "status")
+    return updated.select(*CLAIM_FIELDS)
+
+
+@query
+def status_write_back(spark, folder):
+    """All claims as a ledger store holds them after the status changes were committed."""
+    root = stored_ledger(spark, folder)
+    version = ledger_store.change_statuses(spark, root, load_view(spark, folder, "status_updates_v"))
+    return ledger_store.read_claims(spark, root, version).select(*STORED_CLAIM)
+
+
+@query
+def ledger_deep_page(spark, folder):
+    """A page far down the listing of a ledger store, read from the files that can hold it."""
+    return ledger_store.page_after(spark, stored_ledger(spark, folder), DEEP_AFTER, rows_per_page=100).select(*STORED_CLAIM)
 
 
 @query
@@ -336,7 +394,8 @@ def stats_header_norm(spark, folder):
 
 @query
 def stats_header_map(spark, folder):
-    return statistics.header_map(headers(spark, folder)).select("sheet_id", "idx", "key")
+    rules = statistics.rules_from_table(statistics.rules_table(spark))
+    return statistics.header_map(headers(spark, folder), rules).select("sheet_id", "idx", "key")
 
 
 @query
@@ -380,25 +439,54 @@ def stats_period_order(spark, folder):
     return rows.groupBy("sheet_id", "period_order").agg(F.count("*").alias("n_rows"))
 
 
+LAYOUTS = {
+    "A": ("claimsReceivedIndividual", "claimsReceivedCommunity", "claimsReceivedTotal"),
+    "N": (
+        "claimsReceivedIndividual", "claimsReceivedCommunity", "claimsReceivedTotal", "titlesDistributedIndividual", "pendingCommunity",
+        "rejectedTotal", "forestLandTotal",
+    ),
+    "R": (
+        "claimsReceivedIndividual", "claimsReceivedCommunity", "claimsReceivedTotal", "titlesDistributedIndividual", "pendingCommunity",
+        "rejectedTotal",
+    ),
+}
+
+
 @query
 def stats_union_sheets(spark, folder):
-    rows = saved(statistics.state_rows(keyed(spark, folder)))
-    columns = {
-        "A": ("claimsReceivedIndividual", "claimsReceivedCommunity"),
-        "N": ("claimsReceivedTotal", "forestLandTotal"),
-        "R": ("claimsReceivedTotal", "rejectedTotal"),
-    }
-    frames = [
-        rows.where(F.startswith("sheet_id", F.lit(layout))).select("sheet_id", "row_pos", "state", *measures)
-        for layout, measures in columns.items()
-    ]
+    """The sheets of each layout are parsed by themselves, with the measures they have."""
+    frames = []
+    for layout, measures in LAYOUTS.items():
+        own = F.startswith("sheet_id", F.lit(layout))
+        rows = statistics.keyed_rows(values(spark, folder).where(own), headers(spark, folder).where(own))
+        frames.append(statistics.state_rows(rows).select("sheet_id", "row_pos", "state", *measures))
     return statistics.union_sheets(frames)
 
 
+@query
+def stats_workbook_files(spark, folder):
+    """The long table from a workbook on file: typed cells, rows without trailing empty cells, positions from the manifest."""
+    root = work_folder(spark, "workbook")
+    rows = sheet_rows(spark, folder, "stats_sheet_v")
+    last = F.array_position(F.reverse(F.transform("cells", lambda c: c.isNotNull())), True)
+    quoted = lambda c: F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    typed = lambda c: F.parse_json(F.when(c.rlike(PLAIN_CELL), c).otherwise(quoted(c)))
+    held = F.slice("cells", F.lit(1), F.when(last == 0, 0).otherwise(F.size("cells") - last + 1).cast("int"))
+    sheets = rows.select("sheet_id", "row_pos", F.transform(held, lambda c: F.when(c.isNotNull(), typed(c))).alias("cells"))
+    positions = headers(spark, folder).select("sheet_id", workbook_position().alias("position"))
+    workbook.write_workbook(sheets, positions, root)
+    manifest = workbook.read_manifest(spark, root)
+    read = workbook.with_positions_of(workbook.check_workbook(manifest, workbook.read_workbook(spark, root)), manifest)
+    listed = workbook.workbook_periods(manifest, PERIODS, PREFERRED)
+    long = statistics.fill_totals(statistics.state_rows(statistics.keyed_rows(statistics.value_rows(read), statistics.header_rows(read))))
+    return long.join(listed, "sheet_id").select("sheet_id", "row_pos", "state", "slNo", *MEASURES, "label", "as_of", "period_order")
+
+
 @query
 def stats_json_nest(spark, folder):
     listed = statistics.with_period_meta(periods(spark, folder), PERIODS)
     records = statistics.nest_periods(stats(spark, folder), SOURCE, listed).select("source", F.inline("periods"))
+    figures = F.transform("rows", lambda r: F.concat_ws(",", *[F.coalesce(r[c].cast("string"), F.lit("")) for c in ("slNo", *MEASURES)]))
     return records.select(
         "source",
         "id",
@@ -409,6 +497,7 @@ def stats_json_nest(spark, folder):
         F.col("rows")[0]["state"].alias("first_state"),
         F.element_at("rows", -1)["state"].alias("last_state"),
         F.array_join(F.transform("rows", lambda r: r["state"]), "|").alias("states"),
+        F.array_join(figures, "|").alias("figures"),
     )
 
 
@@ -448,15 +537,26 @@ def stats_load_summary(spark, folder):
 @query
 def stats_sorted(spark, folder):
     """Place of each state in its period, in the default order and by state name."""
-    by_claims = panel.with_rank(saved(stats(spark, folder)))
+    by_claims = panel.with_rank(stats(spark, folder).select("sheet_id", "row_pos", "state", panel.CLAIMS))
     by_state = panel.with_rank(by_claims, "state", rank="state_rank_pos")
     return by_state.select("sheet_id", "state", panel.CLAIMS, "rank_pos", "state_rank_pos")
 
 
+def stats_of(spark: SparkSession, folder: str, wanted: tuple[str, ...]) -> DataFrame:
+    """(wanted, rows of the long table) of the chosen periods; the sheets of others are left out before they are parsed."""
+    choice = panel.choose_periods(periods(spark, folder), wanted).collect()  # one row per wanted id
+    chosen = F.col("sheet_id").isin(*{r["sheet_id"] for r in choice})
+    rows = statistics.clean_statistics(
+        values(spark, folder).where(chosen), headers(spark, folder).where(chosen), PERIODS, PREFERRED, workbook_position=workbook_position()
+    )
+    asked = F.array(*[F.struct(F.lit(r["sheet_id"]).alias("sheet_id"), F.lit(r["wanted"]).alias("wanted")) for r in choice])
+    own = F.transform(F.filter(asked, lambda a: a["sheet_id"] == F.col("sheet_id")), lambda a: a["wanted"])
+    return rows.withColumn("wanted", F.explode(own))
+
+
 @query
 def stats_top10(spark, folder):
-    period = panel.pick_periods(stats(spark, folder), periods(spark, folder), (PERIOD_ID,))
-    return panel.top_states(period).select("state", "claims", "titles")
+    return panel.top_states(stats_of(spark, folder, (PERIOD_ID,))).select("state", "claims", "titles")
 
 
 @query
@@ -466,8 +566,7 @@ def stats_focus_flag(spark, folder):
 
 @query
 def stats_period_pick(spark, folder):
-    picked = panel.pick_periods(stats(spark, folder), periods(spark, folder), (PERIOD_ID, NO_PERIOD))
-    return picked.select("wanted", "sheet_id", "label", "state")
+    return stats_of(spark, folder, (PERIOD_ID, NO_PERIOD)).select("wanted", "sheet_id", "label", "state")
 
 
 @query
@@ -547,6 +646,19 @@ def entity_places(spark, folder):
     return documents.places_from_spans(load_view(spark, folder, "spans_v"))
 
 
+@query
+def document_extraction(spark, folder):
+    """The whole extraction record of each document, and the form that a review starts from."""
+    pages, spans = load_view(spark, folder, "extraction_pages_v"), load_view(spark, folder, "extraction_spans_v")
+    records = documents.document_extraction(pages, spans)
+    review = documents.review_prefill(records.select("doc_id", "name", "village", "district", "raw_text"))
+    form = review.select("doc_id", F.col("name").alias("form_name"), F.col("village").alias("form_village"), F.col("district").alias("form_district"), F.col("status").alias("form_status"))
+    lists = [F.array_join(c, "|").alias(c) for c in (*documents.ENTITY_BUCKETS, "land_area")]
+    stored = F.get_json_object(F.to_json("entities"), "$.land_area").alias("stored_areas")
+    out = records.select("doc_id", "raw_text", "reject_reason", "name", "village", "district", *lists, stored)
+    return out.join(form, "doc_id")
+
+
 @query
 def review_prefill(spark, folder):
     found = documents.form_coordinates(documents.form_fields(forms(spark, folder)))

@@ -14,6 +14,9 @@ def read_statistics(spark: SparkSession, path: str, *, single_document: bool = F
     return flatten_periods(spark.read.schema(PAYLOAD_TYPE).json(path, multiLine=single_document))
 
 
-def write_statistics(df: DataFrame, path: str, source: str) -> None:
-    """One payload record per period and line; null measures are left out."""
-    nest_periods(df, source).write.json(path)
+def write_statistics(df: DataFrame, path: str, source: str, periods: DataFrame | None = None) -> None:
+    """One payload record per period and line; null measures are left out.
+
+    `periods` (sheet_id, label, as_of, period_order) lists the periods to write, those without rows with an empty list.
+    """
+    nest_periods(df, source, periods).write.json(path)

@@ -1,6 +1,14 @@
-"""Statistics workbooks that arrive as one CSV table per sheet: `folder/sheet_id=NAME/*.csv`.
+"""Statistics workbooks as files, one folder per sheet.
 
-Each line is the row number in the sheet (header = 0) followed by the cells, all of them text.
+As CSV, `folder/sheet_id=NAME/*.csv`: each line is the row number in the sheet (header = 0) followed by the cells,
+all of them text.
+
+As typed rows, with a manifest of the sheets:
+
+    root/manifest.json                    {"sheet_id": NAME, "position": place in the workbook}, one line per sheet
+    root/sheets/sheet_id=NAME/*.json      {"row_pos": 0, "cells": ["State", 13000000.0, null]}, one line per row
+
+There a number stays a number, and a row has the cells it has.
 """
 
 from __future__ import annotations
@@ -9,6 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from landroll.operators.statistics import KNOWN_PERIODS, with_period_meta, with_period_order
+
+MANIFEST_TYPE = "sheet_id STRING, position INT"
+
 
 def cells_array(columns: list[str]) -> Column:
     return F.array(*[F.col(c).cast("string") for c in columns])
@@ -40,3 +52,62 @@ def check_sheets(sheets: DataFrame) -> DataFrame:
     if bad:
         raise ValueError(f"sheet {bad[0]['sheet_id']} is empty")
     return sheets
+
+
+# ---- typed rows and their manifest ---------------------------------------------------------------
+
+
+def typed_cells(cells: Column | str) -> Column:
+    """VARIANT cells as (text, number): numbers and truth values have a number, everything but null has a text."""
+    def cell(value: Column) -> Column:
+        kind = F.schema_of_variant(value)
+        number = F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.try_variant_get(value, "$", "double"))
+        number = number.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("double"))
+        return F.struct(F.variant_get(value, "$", "string").alias("text"), number.alias("number"))
+
+    return F.transform(cells, cell)
+
+
+def write_workbook(sheets: DataFrame, manifest: DataFrame, root: str) -> None:
+    """Write `(sheet_id, row_pos, cells ARRAY<VARIANT>)` and `(sheet_id, position)`, the latter one line per sheet."""
+    sheets.select("sheet_id", "row_pos", "cells").write.partitionBy("sheet_id").json(f"{root}/sheets")
+    manifest.select("sheet_id", "position").write.json(f"{root}/manifest.json")
+
+
+def read_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """(sheet_id, position) of every sheet of the workbook, also of those without rows."""
+    return spark.read.schema(MANIFEST_TYPE).json(f"{root}/manifest.json")
+
+
+def read_workbook(spark: SparkSession, root: str, sheets: tuple[str, ...] | None = None) -> DataFrame:
+    """Typed rows `(sheet_id, row_pos, cells ARRAY<STRUCT<text, number>>)` of all sheets, or only of those named.
+
+    Only the folders of named sheets are listed and read.
+    """
+    folders = [f"{root}/sheets"] if sheets is None else [f"{root}/sheets/sheet_id={name}" for name in sheets]
+    fields = "row_pos INT, cells ARRAY<VARIANT>, sheet_id STRING"
+    lines = spark.read.schema(fields).option("basePath", f"{root}/sheets").json(folders, mode="FAILFAST")
+    return lines.select("sheet_id", "row_pos", typed_cells("cells").alias("cells"))
+
+
+def check_workbook(manifest: DataFrame, sheets: DataFrame) -> DataFrame:
+    """The sheets, or an error naming one of the manifest that has no header row, be it that it has no rows at all."""
+    headed = sheets.where("row_pos = 0").select("sheet_id").distinct()
+    bad = manifest.join(headed, "sheet_id", "left_anti").orderBy("position").limit(1).collect()
+    if bad:
+        raise ValueError(f"sheet {bad[0]['sheet_id']} is empty")
+    return sheets
+
+
+def workbook_periods(
+    manifest: DataFrame, known: dict[str, tuple[str, str]] | None = None, preferred: tuple[str, ...] | None = None
+) -> DataFrame:
+    """The period list (sheet_id, label, as_of, period_order) of a workbook, whether or not a sheet has rows."""
+    known = KNOWN_PERIODS if known is None else known
+    listed = with_period_order(with_period_meta(manifest, known), "position", tuple(known) if preferred is None else preferred)
+    return listed.select("sheet_id", "label", "as_of", "period_order")
+
+
+def with_positions_of(sheets: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Add the workbook `position` of each row's sheet."""
+    return sheets.join(manifest.select("sheet_id", "position"), "sheet_id")

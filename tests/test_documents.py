@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -170,3 +171,61 @@ def test_csv_export(spark, tmp_path):
         "1,plain,,,S,Pending,IFR,2024-01-03T03:04:05.000000+00:00",
         "",
     ]
+
+
+def extraction(spark, pages, spans, **more):
+    pages = spark.createDataFrame(pages, "doc_id INT, page_no INT, text STRING")
+    spans = spark.createDataFrame(spans, "doc_id INT, pos INT, label STRING, text STRING")
+    return {r["doc_id"]: r for r in documents.document_extraction(pages, spans, **more).collect()}
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_extraction_record(spark, size):
+    pages = [(1, 2, "then 3 acres"), (1, 0, "first 2.5 Hectares"), (1, 1, None), (2, 0, " \n"), (4, 0, "plain")]
+    spans = [
+        (1, 9, "GPE", "Bhimapur"), (1, 1, "PERSON", "Asha"), (1, 5, "LOC", "India"), (1, 3, "GPE", "District"), (1, 12, "LOC", "Gadchiroli"), (1, 4, "PERSON", "Ravi"),
+        (1, 2, "DATE", "1999"), (1, 2, "ORG", "Board"), (1, 0, "CARDINAL", "three"), (3, 0, "ORG", "Office"), (3, 1, "GPE", None),
+    ]
+    found = extraction(spark, pages, spans, positions_per_part=size)
+    assert sorted(found) == [1, 2, 3, 4]
+    one = found[1]
+    assert one["raw_text"] == "first 2.5 Hectares\n\nthen 3 acres\n" and one["reject_reason"] is None
+    assert (one["name"], one["village"], one["district"]) == ("Asha", "Bhimapur", "Gadchiroli")
+    assert (one["persons"], one["locations"]) == (["Asha", "Ravi"], ["District", "India", "Bhimapur", "Gadchiroli"])
+    assert (one["dates"], one["organizations"], one["land_area"]) == (["1999"], ["Board"], ["2.5 .5 Hectares", "3  acres"])
+    assert one["entities"].asDict() == {c: one[c] for c in ("persons", "locations", "dates", "organizations", "land_area")}
+    assert found[2]["raw_text"] is found[3]["raw_text"] is None and found[2]["reject_reason"] == found[3]["reject_reason"] == documents.NO_TEXT
+    assert found[2]["persons"] == [] and found[2]["land_area"] == [] and found[3]["organizations"] == ["Office"]
+    assert found[4]["name"] is None and found[4]["raw_text"] == "plain\n"
+
+
+def test_extraction_equals_the_jobs_by_themselves(spark):
+    pages = [(i % 7, i, f"page {i} has {i}.5 acres") for i in range(60)]
+    spans = [(i % 5, i, ("PERSON", "GPE", "LOC", "DATE", "ORG")[i * i % 5], f"t{i}" if i % 4 else "India") for i in range(80)]
+    found = extraction(spark, pages, spans, positions_per_part=4)
+    texts = documents.assemble_text(spark.createDataFrame(pages, "doc_id INT, page_no INT, text STRING"))
+    assert {r["doc_id"]: r["raw_text"] for r in texts.collect()} == {i: r["raw_text"] for i, r in found.items()}
+    frame = spark.createDataFrame(spans, "doc_id INT, pos INT, label STRING, text STRING")
+    for r in documents.entity_buckets(frame).collect():
+        assert all(found[r["doc_id"]][c] == r[c] for c in documents.ENTITY_BUCKETS)
+    for r in documents.places_from_spans(frame).collect():
+        assert all(found[r["doc_id"]][c] == r[c] for c in ("name", "village", "district"))
+
+
+def test_extraction_has_one_exchange_on_the_document(spark):
+    pages = spark.createDataFrame([], "doc_id INT, page_no INT, text STRING")
+    spans = spark.createDataFrame([], "doc_id INT, pos INT, label STRING, text STRING")
+    plan = documents.document_extraction(pages, spans)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 2  # the runs, then the documents
+    assert "Join" not in plan and documents.document_extraction(pages, spans).count() == 0
+
+
+def test_extraction_feeds_review_and_intake(spark):
+    from landroll.operators import ingest
+
+    pages = spark.createDataFrame([(1, 0, "text of 3 acres")], "doc_id INT, page_no INT, text STRING")
+    spans = spark.createDataFrame([(1, 0, "PERSON", "Asha")], "doc_id INT, pos INT, label STRING, text STRING")
+    record = documents.document_extraction(pages, spans)
+    assert documents.review_prefill(record.select("doc_id", "name", "village", "raw_text")).first()["name"] == "Asha"
+    stored = ingest.stored_rows(record, keep=("doc_id",)).first()
+    assert stored["entities"] == '{"persons":["Asha"],"locations":[],"dates":[],"organizations":[],"land_area":["3  acres"]}'
