@@ -1,15 +1,16 @@
-"""Embedding near duplicates: every shard queried, exhaustively or by a navigable small-world graph, cosines verified, links united.
+"""Embedding near duplicates: a navigable small-world graph per shard, every shard queried, cosines verified, links united.
 
 Vectors that are equal within a label become one class first, so copies cost a count. The classes of a label
-are dealt into shards of bounded size; all classes of the label then query every shard in bounded chunks. A shard of
-at most 1,024 times the beam, and so each of the default size, is compared exhaustively, which costs less than a search
-there and finds each link from both its ends. Larger shards have a graph: a query with links widens its beam until
-it finds no more, a whole chunk until audited queries and moved copies of nodes miss nothing. Cosines of links are taken again in double
+are dealt into shards of bounded size with a graph each; all classes of the label then query every shard in chunks of bounded size. A query
+with links widens its beam until it finds no more, a whole chunk until audited queries, and moved copies of nodes, miss
+nothing; only where the beam has grown to an eighth of the graph (or the shard is as small from the start) is it compared
+exhaustively. Links are found from both their ends, so each end's search may find one that the other's has missed. Cosines of links are taken again in double
 precision. A task returns per query a number of links and one row into its local group, never its pairs.
 
 Defined results: null labels, null and zero vectors, and vectors with null or non-finite components link with
 nothing; vectors of different lengths don't link; a null id links with nothing, has no component and is kept; rows
-that repeat an id are one vector for components, and each row counts as a copy; extra columns are not read.
+that repeat an id are one vector for components, and each row counts as a copy; equal cosines are all links, so ties need no rule;
+an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from landroll.llm.hnsw import WIDEST, Graph
 
 LEAST_COSINE = 0.98
 SHARD_ROWS = 6_000
-CHUNK_ROWS = 1_500
+CHUNK_ROWS = 24_000  # queries that share one copy of a shard
 BEAM = 48
 SLACK = 1e-4  # single-precision candidates below the threshold that are still verified
 

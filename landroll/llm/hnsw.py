@@ -8,7 +8,7 @@ LINKS = 12  # links a new node chooses; the bottom layer keeps twice as many
 BUILD_BEAM = 48
 BATCH = 256
 WIDEN = 4
-WIDEST = 1024  # a beam of this part of the graph is compared exhaustively: below that, a comparison of all costs less than the search
+WIDEST = 8  # a beam of this part of the graph is as wide as the graph itself
 PROBES = 256  # moved copies of nodes that a beam must find the neighbours of
 STRIDE = 3  # beam entries expanded at once
 
@@ -148,7 +148,7 @@ class Graph:
     def within(self, queries: np.ndarray, least: float, beam: int, audits: int = 32, recall: float = 1.0, widest: int = WIDEST) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, node) with a cosine of at least `least`.
 
-        A graph of at most `widest` times the beam is compared exhaustively. In a larger one, all queries are searched
+        A graph of at most `widest` times the beam, which only a very small shard or a much widened beam has, is compared exhaustively. In a larger one, all queries are searched
         again with a wider beam as long as audited queries, or copies of nodes moved almost as far as `least` allows, miss
         more neighbours than the recall allows. After that a query that finds any is searched again until it finds no more.
         """
