@@ -1,14 +1,16 @@
 """Language identification by nearest centroids of character n-gram vectors.
 
 A text is the bag of its letter n-grams of one to three characters (lower case, words padded by a space),
-hashed into buckets, weighted by the log count times the inverse document frequency, at unit length. Each
-language has several centroids, found by spherical k-means on a bounded sample of labelled texts. The
+hashed into buckets, weighted by the log count times the inverse document frequency, at unit length. Document
+frequencies are counted over all texts that may be learned from. Each language has several centroids, found by spherical
+k-means on a bounded sample of its texts, one group of a grouped job per language, however many languages there are. The
 language of the centroid with the largest cosine wins; a text whose best cosine is below what nearly all of
 that centroid's own texts reach is marked as rejected, which changes no prediction.
 
 Defined results: a null text and one without letters is `und` with score 0 and is rejected; null languages and
-held-out documents teach nothing; with no usable row every text is `und`; ties go to the first language
-in order; a null id is never held out; rows are judged one by one, so repeats and extra columns change nothing.
+held-out documents teach nothing, nor do rows without an id; rows that repeat an id and language are one row of the sample, the smallest
+text; with no usable row every text is `und`; ties go to the first language in order; a null id is never held out; a very long text
+is added up in parts; rows are judged one by one, so repeats and extra columns change nothing.
 """
 
 from __future__ import annotations
@@ -17,17 +19,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from landroll.llm.common import held_out
+from landroll.llm.common import held_out, saved
 from landroll.llm.shingles import mix64
 
 BUCKETS = 1 << 13
 CENTROIDS = 4
 SAMPLE = 500  # documents per language that the centroids are fitted on
-LANGUAGES = 400  # languages that the bounded fit has room for, the most frequent first
 STEPS = 8
 REJECT_SHARE = 0.005  # share of a centroid's own texts that lie beyond its distance
 BLOCK = 1 << 18  # characters hashed at once
@@ -100,59 +102,68 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-12)
 
 
-def fit_centroids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, centroids: int = CENTROIDS) -> Centroids:
-    """Fit on at most `sample` texts per language that aren't held out: those with the smallest id hashes."""
-    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    names = [r[0] for r in usable.groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()]
-    names.sort()
-    empty = Centroids([], np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(0))
-    if not names:
-        return empty
-    ids = usable.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"))
-    chosen = None
-    for name in names:
-        part = ids.where(F.col("l") == name).orderBy(F.xxhash64("i"), "i").limit(sample)
-        chosen = part if chosen is None else chosen.union(part)
-    chosen = chosen.where("i IS NOT NULL").distinct()  # sample * languages rows at most
+def _frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of texts with letters, and per bucket of those that hold it. A task sends one row per bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held = 0, np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            for first, counts in _count_rows(batch.column(2)):
-                rows = [np.flatnonzero(c) for c in counts]
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).slice(first, len(counts)) for k in (0, 1)), pa.array(rows, pa.list_(pa.int32())), pa.array([c[r] for c, r in zip(counts, rows, strict=True)], pa.list_(pa.float32()))],
-                    names=["i", "l", "bucket", "n"],
-                )
-
-    rows = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("text")).join(F.broadcast(chosen), ["i", "l"])
-    kind = dict(docs.dtypes)[id_col]
-    table = rows.select("i", "l", "text").mapInArrow(run, f"i {kind}, l string, bucket array<int>, n array<float>").toArrow().sort_by([("i", "ascending"), ("l", "ascending")])
-    counts = np.zeros((table.num_rows, BUCKETS), dtype=np.float32)
-    for r, (b, n) in enumerate(zip(table["bucket"], table["n"], strict=True)):
-        counts[r, b.values.to_numpy()] = n.values.to_numpy()
-    language = np.array([names.index(x) for x in table["l"].to_pylist()], dtype=int)
-    some = counts.any(axis=1)
-    counts, language = counts[some], language[some]
-    if not len(counts):
-        return empty
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    vectors = _unit(np.log1p(counts) * idf)
-    centres, owner, least = [], [], []
-    for k in range(len(names)):
-        own = vectors[language == k]
-        if not len(own):
-            continue
-        centre = own[np.linspace(0, len(own) - 1, min(centroids, len(own))).astype(int)]
-        for _ in range(STEPS):
-            nearest = (own @ centre.T).argmax(axis=1)
-            centre = _unit(np.array([own[nearest == c].mean(axis=0) if (nearest == c).any() else centre[c] for c in range(len(centre))]))
-        best = own @ centre.T
-        nearest = best.argmax(axis=1)
-        for c in range(len(centre)):
-            centres.append(centre[c])
-            owner.append(k)
-            least.append(np.quantile(best[nearest == c, c], REJECT_SHARE) if (nearest == c).any() else 0.0)
-    return Centroids(names, idf, np.array(centres, np.float32), np.array(owner), np.array(least))
+            for _, counts in _count_rows(batch.column(0)):
+                total += int(counts.any(axis=1).sum())
+                held += (counts > 0).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, BUCKETS)), pa.array(np.append(total, held))], names=["bucket", "n"])
+
+    found = texts.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # buckets + 1 rows
+    n = np.zeros(BUCKETS + 1, dtype=np.int64)
+    for r in found:
+        n[r["bucket"] + 1] = r["n"]
+    return int(n[0]), n[1:]
+
+
+def _language_centroids(idf: np.ndarray, centroids: int):
+    """Spherical k-means on the sample of one language: a row per centroid."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["i", "text"])
+        counts = np.concatenate([c for _, c in _count_rows(pa.array(pdf["text"], pa.string()))])
+        own = _unit(np.log1p(counts[counts.any(axis=1)]) * idf)
+        rows = []
+        if len(own):
+            centre = own[np.linspace(0, len(own) - 1, min(centroids, len(own))).astype(int)]
+            for _ in range(STEPS):
+                nearest = (own @ centre.T).argmax(axis=1)
+                centre = _unit(np.array([own[nearest == c].mean(axis=0) if (nearest == c).any() else centre[c] for c in range(len(centre))]))
+            best = own @ centre.T
+            nearest = best.argmax(axis=1)
+            for c in range(len(centre)):
+                least = float(np.quantile(best[nearest == c, c], REJECT_SHARE)) if (nearest == c).any() else 0.0
+                rows.append((pdf["l"].iloc[0], c, centre[c].astype(np.float32).tobytes(), least))
+        return pd.DataFrame(rows, columns=["l", "place", "centre", "least"])
+
+    return run
+
+
+def fit_centroids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, centroids: int = CENTROIDS) -> Centroids:
+    """Fit on at most `sample` ids per language that aren't held out: those with the smallest id hashes.
+
+    The driver holds the centroids, 32 KB each, and the document frequencies.
+    """
+    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
+    usable = usable.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"))
+    total, held = _frequencies(usable.select("text"))
+    idf = (np.log((1 + total) / (1 + held)) + 1).astype(np.float32)
+    # the hash of the last id that belongs to a language's sample; ranks are cut on the map side
+    keys = usable.where("i IS NOT NULL").select("l", "h").distinct()
+    ranked = keys.withColumn("rank", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("rank") <= sample)
+    last = saved(ranked.groupBy("l").agg(F.max("h").alias("last")), "last")
+    chosen = usable.where("i IS NOT NULL").join(last, "l").where("h <= last").groupBy("l", "i").agg(F.min("text").alias("text"))
+    table = chosen.groupBy("l").applyInPandas(_language_centroids(idf, centroids), "l string, place int, centre binary, least double")
+    table = table.toArrow().sort_by([("l", "ascending"), ("place", "ascending")])
+    names = sorted(set(table["l"].to_pylist()))
+    number = {name: k for k, name in enumerate(names)}
+    centres = np.frombuffer(b"".join(table["centre"].to_pylist()), dtype=np.float32).reshape(-1, BUCKETS)
+    owner = np.array([number[x] for x in table["l"].to_pylist()], dtype=int)
+    return Centroids(names, idf, centres, owner, np.array(table["least"].to_pylist(), dtype=float))
 
 
 def identify_language(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -96,7 +96,7 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
-    return language.identify_language(docs, language.fit_centroids(docs)).select("doc_id", "held_out", "lang_pred", "score")
+    return language.identify_language(docs, language.fit_centroids(docs))
 
 
 def op11_centroids(spark: SparkSession, folder: str) -> DataFrame:
