@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landroll.llm import decontaminate, minhash_dups, packing, quality, secret_scan
-from landroll.llm.common import new_folder
+from landroll.llm.common import new_folder, saved
 from landroll.llm.queries import WORD_TOKENIZER, ship_package
 
 
@@ -30,8 +30,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id."""
     ship_package(spark)
-    gone = minhash_dups.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    stays = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    gone = saved(minhash_dups.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    stays = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return stays
