@@ -191,6 +191,7 @@ ORACLES["claims_sparse_json"] = f"""SELECT id, CAST(json_merge_patch('{{}}', to_
 ORACLES["claims_serialized"] = f"WITH {LISTED} SELECT {CLAIM}, latitude, longitude, {iso('created_at')} AS created_at FROM listed"
 ORACLES["claims_default_status"] = f"WITH {SHOWN} SELECT id, status FROM shown"
 ORACLES["claims_search"] = f"WITH {SHOWN} SELECT {CLAIM}, created_at, latitude, longitude FROM shown WHERE {FOUND}"
+ORACLES["claims_search_indexed"] = ORACLES["claims_search"]
 ORACLES["claims_facet_filter"] = (
     f"WITH {SHOWN} SELECT {CLAIM}, created_at, latitude, longitude FROM shown WHERE state = 'ASIA' AND status = 'Approved'"
 )
@@ -317,6 +318,9 @@ ORACLES["stats_workbook_files"] = f"""WITH {STATS.replace(measure(TITLES), SHORT
  SELECT sheet_id, row_pos, state, slNo, {', '.join(MEASURES)}, label, as_of, period_order FROM stats"""
 ORACLES["stats_json_flatten"] = f"""WITH {STATS} SELECT 'workbook' AS source, * REPLACE (
  row_number() OVER (PARTITION BY sheet_id ORDER BY row_pos) - 1 AS row_pos) FROM stats"""
+# In one document a period's place is its place in the list.
+ORACLES["stats_json_document"] = f"""WITH {STATS} SELECT 'workbook' AS source, CAST(dense_rank() OVER (ORDER BY period_order) - 1 AS INTEGER) AS period_order,
+ sheet_id, label, as_of, row_number() OVER (PARTITION BY sheet_id ORDER BY row_pos) - 1 AS row_pos, slNo, state, {', '.join(MEASURES)} FROM stats"""
 
 ORACLES["stats_sum_field"] = f"""WITH {STATS} SELECT sheet_id, coalesce(sum(claimsReceivedIndividual), 0) AS total
  FROM stats GROUP BY sheet_id"""

@@ -12,7 +12,7 @@ from landroll.functions.numbers import indian_number, parse_number
 from landroll.operators import analytics, documents, ingest, ledger, maplayer, panel, statistics
 from landroll.plans.fixtures import STAT_COLUMNS, base_table, load_view
 from landroll.session import ensure_checkpoint_dir
-from landroll.sources import ledger_store, workbook
+from landroll.sources import ledger_store, search_index, statistics_json, workbook
 from landroll.sources.workbook import cells_array
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,6 +157,14 @@ def claims_search(spark, folder):
     return ledger.search(shown(spark, folder), TERM).select(*LISTED_FIELDS)
 
 
+@query
+def claims_search_indexed(spark, folder):
+    """The same search by way of an index of all claims on file."""
+    root = work_folder(spark, "search")
+    search_index.write_index(shown(spark, folder), root)
+    return search_index.indexed_search(shown(spark, folder), root, TERM).select(*LISTED_FIELDS)
+
+
 @query
 def claims_facet_filter(spark, folder):
     found = ledger.facet_filter(listed(spark, folder), district="", **FACETS)
@@ -511,6 +519,16 @@ def stats_json_flatten(spark, folder):
     return statistics.flatten_periods(payload.select("payload.*"))
 
 
+@query
+def stats_json_document(spark, folder):
+    """The long table after all periods went through one JSON document."""
+    path = work_folder(spark, "statistics") + ".json"
+    listed = statistics.with_period_meta(periods(spark, folder), PERIODS)
+    statistics_json.write_document(saved(stats(spark, folder)), path, SOURCE, listed)
+    back = statistics_json.read_statistics(spark, path, single_document=True)
+    return back.select("source", "period_order", "sheet_id", "label", "as_of", "row_pos", "slNo", "state", *MEASURES)
+
+
 # ---- statistics panel ---------------------------------------------------------------------------
 
 

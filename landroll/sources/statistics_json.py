@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from landroll.operators.statistics import PERIODS_TYPE, flatten_periods, nest_periods
+from landroll.operators.statistics import MEASURES, PERIODS_TYPE, flatten_periods, nest_periods
+from landroll.sources.single_file import one_task, save_as_file
 
 PAYLOAD_TYPE = f"source STRING, periods {PERIODS_TYPE}"
 
@@ -20,3 +24,34 @@ def write_statistics(df: DataFrame, path: str, source: str, periods: DataFrame |
     `periods` (sheet_id, label, as_of, period_order) lists the periods to write, those without rows with an empty list.
     """
     nest_periods(df, source, periods).write.json(path)
+
+
+def document_lines(df: DataFrame, source: str, periods: DataFrame) -> DataFrame:
+    """One JSON document with all periods, line by line: (period_order, place, row_pos, line), a line per row.
+
+    `periods` (sheet_id, label, as_of, period_order) lists the periods of the document, also those without rows.
+    """
+    listed = periods.select("sheet_id", "label", "as_of", "period_order")
+    ends = listed.agg(F.min("period_order").alias("first"), F.max("period_order").alias("last")).first()
+    last_row = df.groupBy("sheet_id").agg(F.max("row_pos").alias("_last_row"))
+    head = F.to_json(F.struct(F.col("sheet_id").alias("id"), "label", F.col("as_of").cast("string").alias("asOf")), {"ignoreNullFields": "false"})
+    opening = F.when(F.col("period_order") == F.lit(ends["first"]), F.lit(f'{{"source": {json.dumps(source)}, "periods": [\n')).otherwise("")
+    start = F.concat(opening, F.substring(head, F.lit(1), F.length(head) - 1), F.lit(', "rows": ['))
+    stop = F.concat(F.lit("]}"), F.when(F.col("period_order") == F.lit(ends["last"]), "\n]}").otherwise(","))
+    order = lambda place: (F.col("period_order"), F.lit(place).alias("place"), F.lit(0).cast("bigint").alias("row_pos"))
+    row = F.to_json(F.struct("slNo", "state", *MEASURES))
+    comma = F.when(F.col("row_pos") < F.col("_last_row"), ",").otherwise("")
+    rows = df.drop("period_order", "label", "as_of").join(listed.select("sheet_id", "period_order"), "sheet_id").join(last_row, "sheet_id")
+    lines = rows.select("period_order", F.lit(1).alias("place"), F.col("row_pos").cast("bigint").alias("row_pos"), F.concat(row, comma).alias("line"))
+    return listed.select(*order(0), start.alias("line")).union(lines).union(listed.select(*order(2), stop.alias("line")))
+
+
+def write_document(df: DataFrame, path: str, source: str, periods: DataFrame) -> None:
+    """One JSON file `{source, periods: [{id, label, asOf, rows}]}` with the listed periods in their order, those without rows too.
+
+    Rows are sorted in tasks of their own and written by one that holds none of them. Without any period the list is empty.
+    """
+    lines = document_lines(df, source, periods).orderBy("period_order", "place", "row_pos").select("line")
+    if periods.isEmpty():
+        lines = df.sparkSession.createDataFrame([(f'{{"source": {json.dumps(source)}, "periods": []}}',)], "line STRING")
+    save_as_file(one_task(lines).write.format("text"), lines, path)
