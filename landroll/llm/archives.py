@@ -4,7 +4,7 @@ An ARC archive starts with a filedesc record whose version block names the versi
 header lines: `URL IP-address Archive-date Content-type Archive-length` in version 1, with `Result-code
 Checksum Location Offset Filename` between type and length in version 2. Every record is a header line
 of these fields, exactly the declared number of bytes, and a line end. A record becomes a WARC record with an
-identifier derived from its address, time and content, the time in WARC form, type and digest. A payload that
+identifier derived from its address, time, content and place (archive and number in it), the time in WARC form, type and digest. A payload that
 occurs again is stored once; the others revisit it.
 
 Archives are rows of `content` bytes, as the binaryFile reader gives them, of bounded size unless one record
@@ -107,23 +107,29 @@ def parse_arc(content: bytes) -> Iterator[dict[str, object]]:
         yield {"url": fields[b"URL"].decode("utf-8", "replace"), "ip": fields[b"IP-address"].decode(), "date": fields[b"Archive-date"].decode(), "mime": fields[b"Content-type"].decode(), "payload": payload, "version": version}
 
 
-def convert_arc(archives: DataFrame) -> DataFrame:
-    """ARC archives to WARC fields: record_id, page_id, url, ip, date, mime, digest, bytes, payload."""
+def convert_arc(archives: DataFrame, name_col: str | None = None) -> DataFrame:
+    """ARC archives to WARC fields: record_id, page_id, url, ip, date, mime, digest, bytes, payload.
+
+    name_col names what tells archives apart, such as the path of their files; without it equal archives have equal identifiers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
+            for content, name in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 rows = []
-                for r in parse_arc(content.as_py()):
+                content = content.as_py()
+                name = digest(content) if name is None else name
+                for place, r in enumerate(parse_arc(content)):
                     url, _, page = r["url"].rpartition("#page=")
                     d = r["date"]
                     date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
                     sha = digest(r["payload"])
-                    record_id = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{r["url"]} {date} {sha}')}>"
+                    record_id = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{r["url"]} {date} {sha} {name} {place}')}>"
                     rows.append({"record_id": record_id, "page_id": int(page) if page else None, "url": url, "ip": r["ip"], "date": date, "mime": r["mime"], "digest": sha, "bytes": len(r["payload"]), "payload": r["payload"]})
                 yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
 
-    return archives.mapInArrow(run, "record_id string, page_id bigint, url string, ip string, date string, mime string, digest string, bytes bigint, payload binary")
+    named = archives.select("content", (F.col(name_col).cast("string") if name_col else F.lit(None).cast("string")).alias("name"))
+    return named.mapInArrow(run, "record_id string, page_id bigint, url string, ip string, date string, mime string, digest string, bytes bigint, payload binary")
 
 
 _RECORD = pa.schema([(n, pa.string()) for n in ("record_id",)] + [("page_id", pa.int64())] + [(n, pa.string()) for n in ("url", "ip", "date", "mime", "digest")] + [("bytes", pa.int64()), ("payload", pa.binary())])
@@ -135,7 +141,7 @@ def revisits(records: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES) -> Data
     keys = saved(keys, "digests")
     top = keys.groupBy("digest", "bytes").agg(F.max(F.struct("page_id", "record_id")).alias("top"), F.count("*").alias("n")).where("n > 1").select("digest", "bytes", "top")
     both = keys.join(saved(top, "payloads"), ["digest", "bytes"])
-    other = ~(F.col("page_id").eqNullSafe(F.col("top.page_id")) & (F.col("record_id") == F.col("top.record_id")))
+    other = ~F.col("page_id").eqNullSafe(F.col("top.page_id"))  # rows that repeat the page are responses as well
     return both.where(other).select("record_id", F.col("top.page_id").alias("refers_to"), F.col("top.record_id").alias("refers_record")).distinct()
 
 
@@ -239,6 +245,7 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """Pages to ARC to WARC files in the folder (a new one in the shared folder when None), read back."""
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")
-    records = convert_arc(arc_archives(pages, id_col, url_col, payload_col))
+    archives = arc_archives(pages, id_col, url_col, payload_col).withColumn("archive", F.monotonically_increasing_id())
+    records = convert_arc(saved(archives, "arc"), "archive")  # written once, so that identifiers stand
     write_warc(records, revisits(records, least_bytes), folder)
     return read_warc(spark, folder)

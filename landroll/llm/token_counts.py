@@ -24,6 +24,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from landroll.llm.common import text_slices
+
 LEAF = 48  # pre-tokens of a leaf
 CONTEXT = 3  # characters before an edit whose pre-tokens may look ahead into it
 #: Fixed value: the pre-token pattern of the vocabulary.
@@ -182,7 +184,7 @@ def build_trees(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoding(vocabulary)
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, 1)):
             trees = [grow(coder, t or "") for t in batch.column(1).to_pylist()]
             added = [pa.array([t.sums.ravel() for t in trees], pa.list_(pa.int64())), pa.array([t.leaves for t in trees], pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *added, *batch.columns[2:]], names=["doc_id", "text", "sums", "leaves", *batch.schema.names[2:]])
@@ -199,9 +201,11 @@ def recount(trees: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoding(vocabulary)
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, 1)):
             rows = []
-            for text, sums, leaves, edits in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
+            at, flat = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
+            own_sums = [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            for text, sums, leaves, edits in zip(batch.column(1).to_pylist(), own_sums, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 tree = SegmentTree(np.array(sums, dtype=np.int64).reshape(2, -1), leaves)
                 before, text = tree.tokens, text or ""
                 own = [(e["start"], e["stop"], e["replacement"] or "") for e in edits or [] if e and e["start"] is not None and e["stop"] is not None]
