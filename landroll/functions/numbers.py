@@ -39,7 +39,8 @@ def number_text(c: Column | str) -> Column:
 def indian_number(c: Column | str) -> Column:
     """Text with Indian digit groups and at most three decimals: `67,56,280`."""
     value = as_column(c).cast("double")
-    fixed = value.try_cast("decimal(38,3)").cast("string")
+    whole = F.concat(F.regexp_replace(F.format_number(value, 0), ",", ""), F.lit(".000"))  # beyond 35 digits there is no fraction
+    fixed = F.coalesce(value.try_cast("decimal(38,3)").cast("string"), whole)
     grouped = F.regexp_replace(fixed, r"(?<=\d)(?=(\d\d)+\d\.)", ",")
     return (
         F.when(value.isNull() | F.isnan(value), DASH)

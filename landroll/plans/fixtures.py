@@ -17,6 +17,7 @@ from landroll.sources.tables import read_table
 TABLES = {
     "region": "r_regionkey INT, r_name STRING",
     "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "supplier": "s_suppkey BIGINT",
     "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_mktsegment STRING",
     "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE,"
     " o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
@@ -59,9 +60,9 @@ SELECT CASE WHEN event_id % 47 = 0 THEN concat('gone-', CAST(user_id AS STRING))
 """
 
 # Raw workbook: one sheet per supplier, so that the workbook grows with the tables. Per sheet a header
-# row, one row per state, one blank row. There are three layouts, told by the first letter of the id:
-# N has all columns, R ends in a header that leads to a key for the second time, A in a remark and
-# empty headers.
+# row, one row per state, one blank row; in some sheets every row is a sum, so they have no state at all. There are four
+# layouts, told by the first letter of the id: N has one header per group, F the measures that N has not, R ends in a header
+# that leads to a key for the second time, A in a remark and empty headers.
 VIEWS["stats_counts_v"] = """
 SELECT t.sheet_no, n.n_nationkey AS k, n.n_name AS state, t.ind, t.com, t.tind, t.pend, t.rej, t.land
 FROM (SELECT l_suppkey AS sheet_no, CAST(l_partkey % 25 AS INT) AS k,
@@ -75,32 +76,34 @@ FROM (SELECT l_suppkey AS sheet_no, CAST(l_partkey % 25 AS INT) AS k,
 JOIN {nation} n ON t.k = n.n_nationkey
 """
 
-VIEWS["stats_names_v"] = """
-SELECT CASE l_suppkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS layout,
- concat(CASE l_suppkey % 3 WHEN 0 THEN 'A-' WHEN 1 THEN 'N-' ELSE 'R-' END, CAST(l_suppkey AS STRING)) AS sheet_id
-FROM {lineitem} GROUP BY l_suppkey
+LAYOUT = "substr('ANRF', CAST({} % 4 + 1 AS INT), 1)"
+
+VIEWS["stats_names_v"] = f"""
+SELECT {LAYOUT.format("s_suppkey")} AS layout, concat({LAYOUT.format("s_suppkey")}, '-', CAST(s_suppkey AS STRING)) AS sheet_id
+FROM {{supplier}}
 """
 
 VIEWS["stats_header_v"] = """
 SELECT sheet_id, CAST(0 AS INT) AS row_pos, 'Sl. No.' AS c0, 'States/UT' AS c1,
- concat('No. of  Claims Received', chr(10), ' Individual') AS c2,
- 'Number of claims received - Community' AS c3, 'Claims Received (Total)' AS c4,
- CASE WHEN layout = 'A' THEN 'Remarks' ELSE 'Titles Distributed Individual' END AS c5,
- CASE WHEN layout = 'A' THEN NULL ELSE 'Pending Claims (Community)' END AS c6,
- CASE WHEN layout = 'A' THEN '  ' ELSE ' Total Claims Rejected ' END AS c7,
- CASE WHEN layout = 'N' THEN 'Forest Land (in acres) - Total'
-   WHEN layout = 'R' THEN 'Extent of forest land for which titles distributed (Individual)' END AS c8
+ CASE WHEN layout = 'F' THEN 'TITLES DISTRIBUTED, community' ELSE concat('No. of  Claims Received', chr(10), ' Individual') END AS c2,
+ CASE WHEN layout = 'F' THEN 'Total  titles distributed' ELSE 'Number of claims received - Community' END AS c3,
+ CASE WHEN layout = 'F' THEN 'Pending claims: individual' ELSE 'Claims Received (Total)' END AS c4,
+ CASE layout WHEN 'A' THEN 'Remarks' WHEN 'F' THEN 'Individual claims rejected' ELSE 'Titles Distributed Individual' END AS c5,
+ CASE layout WHEN 'A' THEN NULL WHEN 'F' THEN concat('claims rejected', chr(10), 'community') ELSE 'Pending Claims (Community)' END AS c6,
+ CASE layout WHEN 'A' THEN '  ' WHEN 'F' THEN 'forest land Individual' ELSE ' Total Claims Rejected ' END AS c7,
+ CASE layout WHEN 'N' THEN 'Forest Land (in acres) - Total' WHEN 'F' THEN 'Forest Land (community)'
+   WHEN 'R' THEN 'Extent of forest land for which titles distributed (Individual)' END AS c8
 FROM stats_names_v
 """
 
-VIEWS["stats_rows_v"] = """
+VIEWS["stats_rows_v"] = f"""
 SELECT sheet_id, CAST(1000 AS INT) AS row_pos, NULL AS c0, '' AS c1, '  ' AS c2, NULL AS c3, chr(9) AS c4,
  NULL AS c5, '' AS c6, NULL AS c7, NULL AS c8
 FROM stats_names_v
 UNION ALL
-SELECT concat(CASE sheet_no % 3 WHEN 0 THEN 'A-' WHEN 1 THEN 'N-' ELSE 'R-' END, CAST(sheet_no AS STRING)) AS sheet_id,
+SELECT concat({LAYOUT.format("sheet_no")}, '-', CAST(sheet_no AS STRING)) AS sheet_id,
  CAST(k + 1 AS INT) AS row_pos, CAST(k AS STRING) AS c0,
- CASE WHEN k % 9 = 8 THEN 'TOTAL' WHEN k % 9 = 7 THEN '  ' WHEN k % 9 = 5 THEN 'Grand Total'
+ CASE WHEN sheet_no % 9 = 4 THEN 'Total' WHEN k % 9 = 8 THEN 'TOTAL' WHEN k % 9 = 7 THEN '  ' WHEN k % 9 = 5 THEN 'Grand Total'
    ELSE concat(' ', state, chr(10)) END AS c1,
  CASE WHEN k % 6 = 1 THEN 'NA/NR' WHEN k % 6 = 2 THEN concat('-', CAST(ind AS STRING), '*')
    WHEN k % 6 = 3 THEN concat('1,', CAST(ind AS STRING)) ELSE CAST(ind AS STRING) END AS c2,
@@ -137,16 +140,18 @@ VIEWS["extraction_spans_v"] = """
 SELECT doc_id, pos, label, text FROM spans_v WHERE doc_id % 19 <> 6
 """
 
+# A form has the text of a document between its fields, where there is one of its number.
 VIEWS["form_text_v"] = """
 SELECT c_custkey AS doc_id, concat('Forest Rights Act Claim Form', chr(10), 'Name of Claimant: ', c_name, chr(10),
  'Village- V', CAST(c_custkey % 97 AS STRING), '  ', chr(10),
  CASE WHEN c_custkey % 5 = 0 THEN '' ELSE concat('District: ', n_name, chr(10)) END,
- 'STATE: ', r_name, chr(10), 'Claim Type: ', c_mktsegment, chr(10), 'Status: Approved', chr(10),
+ 'STATE: ', r_name, chr(10), coalesce(body, ''), chr(10), 'Claim Type: ', c_mktsegment, chr(10), 'Status: Approved', chr(10),
  CASE WHEN c_custkey % 7 = 0 THEN '' ELSE concat('Coordinates: ', CAST(8 + c_custkey % 29 AS STRING), '.1234, ',
    CAST(68 + c_custkey % 29 AS STRING), '.5', chr(10)) END,
  CASE WHEN c_custkey % 11 = 0 THEN 'no land' ELSE concat('Area ', CAST(c_custkey % 13 AS STRING), '.5 hectares and 3 ACRES') END)
  AS raw_text
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
+LEFT JOIN (SELECT doc_id AS body_id, text AS body FROM {documents}) ON body_id = c_custkey
 """
 
 # The ledger holds all document texts; a batch of the same size sends some again and others revised.

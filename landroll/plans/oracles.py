@@ -68,6 +68,10 @@ SHEET_CELLS = {
         "claimsReceivedIndividual": "c2", "claimsReceivedCommunity": "c3", "claimsReceivedTotal": "c4",
         "titlesDistributedIndividual": "c8", "pendingCommunity": "c6", "rejectedTotal": "c7",
     },
+    "F": {
+        "titlesDistributedCommunity": "c2", "titlesDistributedTotal": "c3", "pendingIndividual": "c4", "rejectedIndividual": "c5",
+        "rejectedCommunity": "c6", "forestLandIndividual": "c7", "forestLandCommunity": "c8",
+    },
 }
 
 
@@ -303,13 +307,17 @@ ORACLES["stats_period_meta"] = """SELECT sheet_id, CASE sheet_id WHEN 'N-1' THEN
  count(*) AS n_rows FROM stats_sheet_v WHERE row_pos > 0 GROUP BY 1, 2, 3"""
 ORACLES["stats_period_order"] = f"""SELECT sheet_id, {PERIOD_ORDER}
  AS period_order, count(*) AS n_rows FROM stats_sheet_v WHERE row_pos > 0 GROUP BY 1, 2"""
-ORACLES["stats_union_sheets"] = f"""WITH {STATES} SELECT sheet_id, row_pos, state, claimsReceivedIndividual, claimsReceivedCommunity,
- claimsReceivedTotal, titlesDistributedIndividual, pendingCommunity, rejectedTotal, forestLandTotal FROM states"""
+ORACLES["stats_union_sheets"] = f"""WITH {STATES} SELECT sheet_id, row_pos, state, {', '.join(MEASURES)} FROM states"""
 FIGURES = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in ("slNo", *MEASURES))
-ORACLES["stats_json_nest"] = f"""WITH {STATS} SELECT 'workbook' AS source, sheet_id AS id, label, CAST(as_of AS VARCHAR) AS "asOf",
- period_order AS position, CAST(count(*) AS INTEGER) AS n_rows, arg_min(state, row_pos) AS first_state,
- arg_max(state, row_pos) AS last_state, string_agg(state, '|' ORDER BY row_pos) AS states,
- string_agg(concat_ws(',', {FIGURES}), '|' ORDER BY row_pos) AS figures FROM stats GROUP BY sheet_id, label, as_of, period_order"""
+# Every sheet is a period, also one without states.
+PERIODS = STATS + f""",
+periods AS (SELECT sheet_id, CASE sheet_id WHEN 'N-1' THEN 'Period N' WHEN 'R-2' THEN 'Period R' ELSE sheet_id END AS label,
+ CASE sheet_id WHEN 'N-1' THEN DATE '2024-06-30' WHEN 'R-2' THEN DATE '2023-10-31' END AS as_of, {PERIOD_ORDER} AS period_order FROM stats_names_v)"""
+ORACLES["stats_json_nest"] = f"""WITH {PERIODS} SELECT 'workbook' AS source, p.sheet_id AS id, p.label, CAST(p.as_of AS VARCHAR) AS "asOf",
+ p.period_order AS position, CAST(count(s.sheet_id) AS INTEGER) AS n_rows, arg_min(state, row_pos) AS first_state,
+ arg_max(state, row_pos) AS last_state, coalesce(string_agg(state, '|' ORDER BY row_pos), '') AS states,
+ coalesce(string_agg(concat_ws(',', {FIGURES}), '|' ORDER BY row_pos) FILTER (s.sheet_id IS NOT NULL), '') AS figures
+ FROM periods p LEFT JOIN stats s ON s.sheet_id = p.sheet_id GROUP BY p.sheet_id, p.label, p.as_of, p.period_order"""
 # A row ends at its last cell that is not null; one without the right-hand column of a key keeps the cell of the left-hand one.
 TITLES = "titlesDistributedIndividual"
 SHORT_TITLES = f"""CASE WHEN left(sheet_id, 1) = 'R' AND c8 IS NULL THEN {dirty_number('c5')}
@@ -319,20 +327,22 @@ ORACLES["stats_workbook_files"] = f"""WITH {STATS.replace(measure(TITLES), SHORT
 ORACLES["stats_json_flatten"] = f"""WITH {STATS} SELECT 'workbook' AS source, * REPLACE (
  row_number() OVER (PARTITION BY sheet_id ORDER BY row_pos) - 1 AS row_pos) FROM stats"""
 # In one document a period's place is its place in the list.
-ORACLES["stats_json_document"] = f"""WITH {STATS} SELECT 'workbook' AS source, CAST(dense_rank() OVER (ORDER BY period_order) - 1 AS INTEGER) AS period_order,
- sheet_id, label, as_of, row_number() OVER (PARTITION BY sheet_id ORDER BY row_pos) - 1 AS row_pos, slNo, state, {', '.join(MEASURES)} FROM stats"""
-
-ORACLES["stats_sum_field"] = f"""WITH {STATS} SELECT sheet_id, coalesce(sum(claimsReceivedIndividual), 0) AS total
- FROM stats GROUP BY sheet_id"""
-ORACLES["stats_kpis"] = f"""WITH {STATS}, k AS (SELECT sheet_id, coalesce(sum(claimsReceivedTotal), 0) AS claims,
- coalesce(sum(titlesDistributedTotal), 0) AS titles, count(*) AS states FROM stats GROUP BY sheet_id),
+ORACLES["stats_json_document"] = f"""WITH {PERIODS}, places AS (SELECT sheet_id, CAST(row_number() OVER (ORDER BY period_order) - 1 AS INTEGER) AS place FROM periods)
+ SELECT 'workbook' AS source, place AS period_order,
+ s.sheet_id, label, as_of, row_number() OVER (PARTITION BY s.sheet_id ORDER BY row_pos) - 1 AS row_pos, slNo, state, {', '.join(MEASURES)}
+ FROM stats s JOIN places p ON p.sheet_id = s.sheet_id"""
+
+ORACLES["stats_sum_field"] = f"""WITH {PERIODS} SELECT p.sheet_id, coalesce(sum(claimsReceivedIndividual), 0) AS total
+ FROM periods p LEFT JOIN stats s ON s.sheet_id = p.sheet_id GROUP BY p.sheet_id"""
+ORACLES["stats_kpis"] = f"""WITH {PERIODS}, k AS (SELECT p.sheet_id, coalesce(sum(claimsReceivedTotal), 0) AS claims,
+ coalesce(sum(titlesDistributedTotal), 0) AS titles, count(s.sheet_id) AS states FROM periods p LEFT JOIN stats s ON s.sheet_id = p.sheet_id GROUP BY p.sheet_id),
  r AS (SELECT *, CASE WHEN claims > 0 THEN titles / claims * 100 END AS x FROM k)
  SELECT sheet_id, claims, titles, states, round(x, 6) AS rate, {indian('claims')} AS claims_text, {indian('titles')} AS titles_text,
  {indian('states')} AS states_text, CASE WHEN x IS NULL THEN '—' ELSE printf('%.1f', round(x, 1)) || '%' END AS rate_text FROM r"""
-ORACLES["stats_available_measures"] = f"""WITH {STATS} SELECT sheet_id, bool_or(rejectedTotal IS NOT NULL) AS has_rejected,
+ORACLES["stats_available_measures"] = f"""WITH {PERIODS} SELECT p.sheet_id, bool_or(rejectedTotal IS NOT NULL) AS has_rejected,
  bool_or(pendingIndividual IS NOT NULL OR pendingCommunity IS NOT NULL) AS has_pending,
- bool_or(forestLandTotal IS NOT NULL) AS has_forest_land FROM stats GROUP BY sheet_id"""
-ORACLES["stats_load_summary"] = f"""WITH {STATS} SELECT count(*) AS state_rows, count(DISTINCT sheet_id) AS periods FROM stats"""
+ bool_or(forestLandTotal IS NOT NULL) AS has_forest_land FROM periods p LEFT JOIN stats s ON s.sheet_id = p.sheet_id GROUP BY p.sheet_id"""
+ORACLES["stats_load_summary"] = f"""WITH {PERIODS} SELECT (SELECT count(*) FROM stats) AS state_rows, count(*) AS periods FROM periods"""
 ORACLES["stats_sorted"] = f"""WITH {STATS} SELECT sheet_id, state, claimsReceivedTotal,
  row_number() OVER (PARTITION BY sheet_id ORDER BY claimsReceivedTotal DESC NULLS LAST, row_pos) AS rank_pos,
  row_number() OVER (PARTITION BY sheet_id ORDER BY lower(state), row_pos) AS state_rank_pos FROM stats"""

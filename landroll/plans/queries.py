@@ -447,17 +447,16 @@ def stats_period_order(spark, folder):
     return rows.groupBy("sheet_id", "period_order").agg(F.count("*").alias("n_rows"))
 
 
+CLAIM_PARTS = ("claimsReceivedIndividual", "claimsReceivedCommunity", "claimsReceivedTotal")
 LAYOUTS = {
-    "A": ("claimsReceivedIndividual", "claimsReceivedCommunity", "claimsReceivedTotal"),
-    "N": (
-        "claimsReceivedIndividual", "claimsReceivedCommunity", "claimsReceivedTotal", "titlesDistributedIndividual", "pendingCommunity",
-        "rejectedTotal", "forestLandTotal",
+    "A": CLAIM_PARTS,
+    "N": (*CLAIM_PARTS, "titlesDistributedIndividual", "pendingCommunity", "rejectedTotal", "forestLandTotal"),
+    "R": (*CLAIM_PARTS, "titlesDistributedIndividual", "pendingCommunity", "rejectedTotal"),
+    "F": (
+        "titlesDistributedCommunity", "titlesDistributedTotal", "pendingIndividual", "rejectedIndividual", "rejectedCommunity", "forestLandIndividual",
+        "forestLandCommunity",
     ),
-    "R": (
-        "claimsReceivedIndividual", "claimsReceivedCommunity", "claimsReceivedTotal", "titlesDistributedIndividual", "pendingCommunity",
-        "rejectedTotal",
-    ),
-}
+}
 
 
 @query
@@ -502,8 +501,8 @@ def stats_json_nest(spark, folder):
         "asOf",
         "position",
         F.size("rows").alias("n_rows"),
-        F.col("rows")[0]["state"].alias("first_state"),
-        F.element_at("rows", -1)["state"].alias("last_state"),
+        F.get("rows", F.lit(0))["state"].alias("first_state"),
+        F.try_element_at("rows", F.lit(-1))["state"].alias("last_state"),
         F.array_join(F.transform("rows", lambda r: r["state"]), "|").alias("states"),
         F.array_join(figures, "|").alias("figures"),
     )
