@@ -128,7 +128,7 @@ def test_variants_equal_brute_force(spark, chunk_pairs):
             words.append(w.upper() if rng.random() < 0.1 and w.isascii() else w)
         docs.append((i, " ".join(words) + ". tiny words12here, don't"))
     docs += [(3, docs[3][1]), (None, docs[4][1]), (100, None), (101, ""), (102, "y" * 5000 + " " + "y" * 5000 + " " + "y" * 4999 + "z " + "y" * 4999 + "z"), (103, " \n\t")]
-    docs += [(200 + i, " ".join(["chained"] * 50 + ["chaimed"] * (5 if i < 8 else 0) + ["chaimmd"] * (2 if i < 2 else 0))) for i in range(10)]
+    docs += [(200 + i, " ".join(["chained"] * 200 + ["chaimed"] * (9 if i < 9 else 0) + ["chaimmd"] * (2 if i < 2 else 0))) for i in range(10)]
     table = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in docs], "doc_id bigint, text string, word string, n int, form int")
     out = spelling.spelling_variants(table, chunk_pairs=chunk_pairs).collect()
     wanted = variants_by_hand(docs)
