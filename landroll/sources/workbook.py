@@ -1,18 +1,24 @@
-"""Statistics workbooks as files, one folder per sheet.
+"""Statistics workbooks as files.
 
-As CSV, `folder/sheet_id=NAME/*.csv`: each line is the row number in the sheet (header = 0) followed by the cells,
-all of them text.
+As CSV, one folder per sheet, `folder/sheet_id=NAME/*.csv`: each line is the row number in the sheet (header = 0) followed by
+the cells, all of them text.
 
-As typed rows, with a manifest of the sheets:
+As typed rows, with a manifest of the sheets, in one of two layouts:
 
     root/manifest.json                    {"sheet_id": NAME, "position": place in the workbook}, one line per sheet
     root/sheets/sheet_id=NAME/*.json      {"row_pos": 0, "cells": ["State", 13000000.0, null]}, one line per row
 
-There a number stays a number, and a row has the cells it has.
+    root/manifest.json                    {"sheet_id": NAME, "position": place, "folder": K}
+    root/sheets/folder=K/*.json           {"sheet_id": NAME, "row_pos": 0, "cells": [...]}
+
+There a number stays a number, and a row has the cells it has. The second one, which `write_workbook` writes, holds many sheets
+in a folder, so that the number of files follows the size of the workbook and not its number of sheets.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +27,10 @@ from landroll.operators.statistics import KNOWN_PERIODS, with_period_meta, with_
 
 MANIFEST_TYPE = "sheet_id STRING, position INT"
 
+# Folders of a written workbook: as many as sheets up to the first number, and more only where they would hold more sheets than the second.
+LEAST_FOLDERS = 64
+SHEETS_PER_FOLDER = 256
+
 
 def cells_array(columns: list[str]) -> Column:
     return F.array(*[F.col(c).cast("string") for c in columns])
@@ -68,10 +78,19 @@ def typed_cells(cells: Column | str) -> Column:
     return F.transform(cells, cell)
 
 
+def folders_for(sheets: int) -> int:
+    return max(1, min(sheets, LEAST_FOLDERS), math.ceil(sheets / SHEETS_PER_FOLDER))
+
+
 def write_workbook(sheets: DataFrame, manifest: DataFrame, root: str) -> None:
-    """Write `(sheet_id, row_pos, cells ARRAY<VARIANT>)` and `(sheet_id, position)`, the latter one line per sheet."""
-    sheets.select("sheet_id", "row_pos", "cells").write.partitionBy("sheet_id").json(f"{root}/sheets")
-    manifest.select("sheet_id", "position").write.json(f"{root}/manifest.json")
+    """Write `(sheet_id, row_pos, cells ARRAY<VARIANT>)` and `(sheet_id, position)`, the latter one line per sheet.
+
+    The rows of a folder are brought together before they are written; a large folder gets several files.
+    """
+    folder = F.pmod(F.xxhash64("sheet_id"), F.lit(folders_for(manifest.count()))).alias("folder")
+    dealt = sheets.select("sheet_id", "row_pos", "cells", folder).hint("rebalance", "folder")
+    dealt.write.partitionBy("folder").json(f"{root}/sheets")
+    manifest.select("sheet_id", "position", folder).write.json(f"{root}/manifest.json")
 
 
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -79,15 +98,24 @@ def read_manifest(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(MANIFEST_TYPE).json(f"{root}/manifest.json")
 
 
+def _folders_of(spark: SparkSession, root: str, sheets: tuple[str, ...]) -> list[str]:
+    """Folders that hold the named sheets; a sheet has one of its own where the manifest gives none."""
+    listed = spark.read.schema("sheet_id STRING, folder BIGINT").json(f"{root}/manifest.json")
+    shared = listed.where(F.col("sheet_id").isin(*sheets) & F.col("folder").isNotNull()).distinct()
+    known = {r["sheet_id"]: f"folder={r['folder']}" for r in shared.collect()}
+    return [f"{root}/sheets/{f}" for f in dict.fromkeys(known.get(name, f"sheet_id={name}") for name in sheets)]
+
+
 def read_workbook(spark: SparkSession, root: str, sheets: tuple[str, ...] | None = None) -> DataFrame:
     """Typed rows `(sheet_id, row_pos, cells ARRAY<STRUCT<text, number>>)` of all sheets, or only of those named.
 
     Only the folders of named sheets are listed and read.
     """
-    folders = [f"{root}/sheets"] if sheets is None else [f"{root}/sheets/sheet_id={name}" for name in sheets]
+    folders = [f"{root}/sheets"] if sheets is None else _folders_of(spark, root, sheets)
     fields = "row_pos INT, cells ARRAY<VARIANT>, sheet_id STRING"
     lines = spark.read.schema(fields).option("basePath", f"{root}/sheets").json(folders, mode="FAILFAST")
-    return lines.select("sheet_id", "row_pos", typed_cells("cells").alias("cells"))
+    wanted = lines if sheets is None else lines.where(F.col("sheet_id").isin(*sheets))
+    return wanted.select("sheet_id", "row_pos", typed_cells("cells").alias("cells"))
 
 
 def check_workbook(manifest: DataFrame, sheets: DataFrame) -> DataFrame:

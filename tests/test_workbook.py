@@ -102,6 +102,22 @@ def test_write_and_read_back(spark, tmp_path):
     assert sorted(back) == [(f"s{i}", [("State", None), ("1.5", 1.5), (None, None)]) for i in range(3)]
 
 
+def test_files_do_not_grow_with_the_number_of_sheets(spark, tmp_path):
+    sheets, parts = 300, 6
+    cells = F.array(F.parse_json(F.col("id").cast("string")))
+    table = spark.range(sheets * 2).repartition(parts).select(F.concat(F.lit("s/"), F.col("id") % sheets).alias("sheet_id"), F.floor(F.col("id") / sheets).cast("int").alias("row_pos"), cells.alias("cells"))
+    manifest = spark.range(sheets).select(F.concat(F.lit("s/"), "id").alias("sheet_id"), F.col("id").cast("int").alias("position"))
+    root = str(tmp_path / "book")
+    workbook.write_workbook(table, manifest, root)
+    assert len(list((tmp_path / "book" / "sheets").glob("*/*.json"))) <= workbook.LEAST_FOLDERS
+    back = workbook.read_workbook(spark, root).select("sheet_id", "row_pos", F.col("cells")[0]["number"])
+    assert rows(back, "sheet_id", "row_pos") == sorted((f"s/{i}", k, float(i + k * sheets)) for i in range(sheets) for k in range(2))
+    one = workbook.read_workbook(spark, root, ("s/7",))
+    assert len({f.split("/")[-2] for f in one.inputFiles()}) == 1
+    assert rows(one.select("sheet_id", "row_pos"), "row_pos") == [("s/7", 0), ("s/7", 1)]
+    assert [workbook.folders_for(n) for n in (0, 1, 64, 65, 16_384, 16_385, 360_000)] == [1, 1, 64, 64, 64, 65, 1_407]
+
+
 # ---- header rules --------------------------------------------------------------------------------
 
 
