@@ -1,10 +1,10 @@
 """Embedding near duplicates: a navigable small-world graph per shard, every shard queried, cosines verified, links united.
 
 Vectors that are equal within a label become one class first, so copies cost a count. The classes of a label
-are dealt into shards of bounded size with a graph each; all classes of the label then query every shard in chunks of bounded size. A query
-with links widens its beam until it finds no more, a whole chunk until audited queries, and moved copies of nodes, miss
-nothing; only where the beam has grown to an eighth of the graph (or the shard is as small from the start) is it compared
-exhaustively. Links are found from both their ends, so each end's search may find one that the other's has missed. Cosines of links are taken again in double
+are dealt into shards of bounded size with a graph each; all classes of the label then query every shard in chunks of bounded size. A chunk's
+beam is widened until audited queries, and moved copies of nodes, miss nothing. A query with a link, found from either end, is then
+compared with its whole shard, so it misses none; all queries are only where the beam has grown to an eighth of the graph (or
+the shard is as small from the start). Cosines of links are taken again in double
 precision. A task returns per query a number of links and one row into its local group, never its pairs.
 
 Defined results: null labels, null and zero vectors, and vectors with null or non-finite components link with
@@ -69,7 +69,8 @@ def _query(least: float, beam: int) -> Callable:
         graph = Graph(_unit(raw), layers, np.frombuffer(g["levels"], dtype=np.int32))
         own = _matrix(queries["v"])
         query_id = queries["id"].to_numpy()
-        q, n = graph.within(_unit(own), least - SLACK, beam)
+        place = pd.Series(np.arange(len(node_id)), index=node_id).reindex(query_id, fill_value=-1).to_numpy()
+        q, n = graph.within(_unit(own), least - SLACK, beam, own=place)
         exact = np.zeros(len(q), dtype=bool)
         for part in range(0, len(q), 100_000):
             a, b = own[q[part : part + 100_000]], raw[n[part : part + 100_000]]

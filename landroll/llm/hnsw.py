@@ -7,7 +7,7 @@ import numpy as np
 LINKS = 12  # links a new node chooses; the bottom layer keeps twice as many
 BUILD_BEAM = 48
 BATCH = 256
-WIDEN = 4
+WIDEN = 2
 WIDEST = 8  # a beam of this part of the graph is as wide as the graph itself
 PROBES = 256  # moved copies of nodes that a beam must find the neighbours of
 STRIDE = 3  # beam entries expanded at once
@@ -145,53 +145,46 @@ class Graph:
             entry = self._search(queries, entry, 1, level, len(self.vectors))[0][:, 0]
         return self._search(queries, entry, min(beam, len(self.vectors)), 0, len(self.vectors))
 
-    def within(self, queries: np.ndarray, least: float, beam: int, audits: int = 32, recall: float = 1.0, widest: int = WIDEST) -> tuple[np.ndarray, np.ndarray]:
+    def within(self, queries: np.ndarray, least: float, beam: int, audits: int = 32, recall: float = 1.0, widest: int = WIDEST, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, node) with a cosine of at least `least`.
 
-        A graph of at most `widest` times the beam, which only a very small shard or a much widened beam has, is compared exhaustively. In a larger one, all queries are searched
-        again with a wider beam as long as audited queries, or copies of nodes moved almost as far as `least` allows, miss
-        more neighbours than the recall allows. After that a query that finds any is searched again until it finds no more.
+        A graph of at most `widest` times the beam, which only a very small shard or a much widened beam has, is compared exhaustively. In a larger one, the beam is
+        first widened until audited queries, and copies of nodes moved almost as far as `least` allows, miss no more neighbours
+        than the recall allows. Only then are all queries searched, and those that find any node but their `own` (-1: none), or
+        whose own node another query finds or they themselves do not, are compared with all nodes, so that they miss none.
         """
-        sample = np.unique(np.linspace(0, len(queries) - 1, min(audits, len(queries))).astype(int))
-        truth = (queries[sample] @ self.vectors.T >= least).sum(axis=1)
-        probes, probed = self.vectors[:0], np.zeros(0, dtype=np.int64)
+        rest = np.arange(len(queries))
+        pairs = [(rest[:0], rest[:0])]
         if widest * beam < len(self.vectors):
-            probes = self._probes(least)
-            probed = (probes @ self.vectors.T >= least).sum(axis=1)
-        pairs: list[tuple[np.ndarray, np.ndarray]] = []
-        waiting, known = np.arange(len(queries)), np.zeros(len(queries), dtype=np.int64)
-        while len(waiting):
-            exhaustive = widest * beam >= len(self.vectors)
-            got = []
-            for part in range(0, len(waiting), BATCH):
-                own = waiting[part : part + BATCH]
-                if exhaustive:
-                    row, node = np.nonzero(queries[own] @ self.vectors.T >= least)
-                else:
-                    ids, sims = self.search(queries[own], beam)
-                    row, column = np.nonzero((sims >= least) & (ids >= 0))
-                    node = ids[row, column]
-                got.append((own[row], node))
-            query, node = (np.concatenate(x) for x in zip(*got, strict=True))
-            if exhaustive:
-                pairs.append((query, node))
+            sample = queries[np.unique(np.linspace(0, len(queries) - 1, min(audits, len(queries))).astype(int))]
+            tried = [(v, (v @ self.vectors.T >= least).sum(axis=1)) for v in (sample, self._probes(least))]
+            while widest * beam < len(self.vectors) and any((self.search(v, beam)[1] >= least).sum() < recall * np.minimum(known, beam).sum() for v, known in tried):
+                beam *= WIDEN
+        if widest * beam < len(self.vectors):
+            own = np.full(len(queries), -1) if own is None else own
+            for part in range(0, len(queries), BATCH):
+                ids, sims = self.search(queries[part : part + BATCH], beam)
+                row, column = np.nonzero((sims >= least) & (ids >= 0))
+                pairs.append((row + part, ids[row, column]))
+            query, node = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            other = node != own[query]
+            linked = np.zeros(len(queries), dtype=bool)
+            linked[query[other]] = True
+            linked |= (own >= 0) & (np.isin(own, node[other]) | ~np.isin(np.arange(len(queries)), query[~other]))
+            pairs = [(query[~linked[query]], node[~linked[query]])]
+            rest = np.flatnonzero(linked)
+        while len(rest):
+            found = []
+            for part in range(0, len(rest), BATCH):
+                some = rest[part : part + BATCH]
+                row, node = np.nonzero(queries[some] @ self.vectors.T >= least)
+                found.append((some[row], node))
+            pairs += found
+            if widest * beam >= len(self.vectors):
                 break
-            count = np.bincount(query, minlength=len(queries))
-            missed = len(probed) and (self.search(probes, beam)[1] >= least).sum() < recall * np.minimum(probed, beam).sum()
-            beam *= WIDEN
-            if missed:
-                continue
-            probed = probed[:0]  # a wider beam finds them as well
-            audited = np.isin(sample, waiting)
-            if count[sample[audited]].sum() < recall * truth[audited].sum():
-                continue
-            settled = waiting[count[waiting] == known[waiting]]
-            stays = np.isin(query, settled)
-            pairs.append((query[stays], node[stays]))
-            known = count
-            waiting = np.setdiff1d(waiting, settled)
-        if not pairs:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            rest = np.flatnonzero(~linked & (own >= 0) & np.isin(own, np.concatenate([node for _, node in found])))
+            linked[rest] = True
+            pairs[0] = tuple(x[~linked[pairs[0][0]]] for x in pairs[0])
         return np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
 
     def _probes(self, least: float, seed: int = 1) -> np.ndarray:

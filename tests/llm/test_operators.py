@@ -124,6 +124,19 @@ def test_rare_neighbours_in_a_clustered_shard(widest):
     assert {*zip(*map(np.ndarray.tolist, found), strict=True)} == {*zip(*map(np.ndarray.tolist, np.nonzero(queries @ nodes.T >= 0.98)), strict=True)}
 
 
+def test_a_node_is_not_searched_again_for_itself(monkeypatch):
+    rng = np.random.default_rng(8)
+    nodes = rng.normal(size=(3000, 64))
+    nodes[2000:2300] = nodes[1] + 0.08 * rng.normal(size=(300, 64))  # one dense cluster, half of its pairs linked
+    nodes = (nodes / np.linalg.norm(nodes, axis=1, keepdims=True)).astype(np.float32)
+    graph, searched, search = hnsw.Graph.build(nodes), [], hnsw.Graph.search
+    monkeypatch.setattr(hnsw.Graph, "search", lambda self, queries, beam: searched.append(len(queries)) or search(self, queries, beam))
+    found = graph.within(nodes, 0.98, 48, own=np.arange(3000))
+    truth = np.nonzero(nodes @ nodes.T >= 0.98)
+    assert {*zip(*map(np.ndarray.tolist, found), strict=True)} == {*zip(*map(np.ndarray.tolist, truth), strict=True)} and len(found[0]) == len(truth[0])
+    assert 50_000 < len(truth[0]) and sum(searched) < 2 * 3000
+
+
 def test_url_rules_and_propagation(spark):
     def link(host):
         return f'<a href="https://{host}/x">'
