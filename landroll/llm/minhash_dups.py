@@ -3,13 +3,15 @@
 A text's set is its distinct shingles of five words. Each distinct set gets a signature of minwise values. In every tree a document
 follows the branches of a few coordinates, chosen by the tree or node, to the nodes named by its own minwise values
 there. Documents of a node are compared exhaustively in blocks; a small node is one block. Every block of a larger node also
-holds the node's pivot, and the node is branched again, without the members that a block has shown to be almost equal to
-another one that goes on. The number of independent trees follows from the recall that is asked for. A document has
+holds the node's pivot, and the node is branched again with all its members. A larger node of the last depth, or one that is
+mostly tied to its pivot, is not left at that: as a whole it becomes part of one candidate group, whose members meet each other
+on their full sets. The number of independent trees follows from the recall that is asked for. A document has
 at most as many rows at a depth as there are trees x first branches x branches of the nodes above.
 
 Links on signatures only make candidate groups: their full shingle sets are compared in blocks with a pivot, and only exact
 links count. Members of a group of several blocks that this leaves apart from the pivot are compared once more, with full sets, in the
-nodes where the trees put them beside members of the same group; so no document is copied to all blocks of a group.
+nodes where the trees put them beside members of the same group. Where these are members of whole larger nodes, which their trees compare in
+blocks only, those apart are compared with all such members of their group: in runs of bounded size, and quadratic only in the number left apart.
 
 Defined results: a null text and a text without words have an empty set and link with nothing; a null
 id links with nothing, has no component and is kept; rows that repeat an id are one document with the
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landroll.llm.common import saved, small_or_not
+from landroll.llm.common import SMALL_ROWS, saved, small_or_not
 from landroll.llm.components import connected_components
 from landroll.llm.shingles import mix64, shingle_sets
 
@@ -40,7 +42,8 @@ NODE_BRANCHES = 2  # coordinates a larger node chooses
 DEPTHS = 3
 NODE_ROWS = 512  # rows of a block of a node
 CLUSTER_ROWS = 256  # rows of a block of a candidate group
-SAME_SHARE = 0.9  # equal part of two signatures from which one of the documents need not be branched any more
+REST_ROWS = 512  # rows of either side of a run of members apart and members of whole larger nodes
+TIED_SHARE = 0.5  # part of a larger node tied to its pivot from which it goes whole to the full sets
 
 
 def trees_for(recall: float, share: float = SHARE) -> int:
@@ -141,9 +144,9 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _signature_links(group: np.ndarray, sig: np.ndarray, sizes: np.ndarray, least: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row pairs inside runs of equal group whose signatures agree often enough and whose sizes allow a link, and how often they agree."""
-    left, right, agree = [], [], []
+def _signature_links(group: np.ndarray, sig: np.ndarray, sizes: np.ndarray, least: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs inside runs of equal group whose signatures agree often enough and whose sizes allow a link."""
+    left, right = [], []
     shift = 1
     rows = np.arange(len(group))
     while True:
@@ -154,14 +157,12 @@ def _signature_links(group: np.ndarray, sig: np.ndarray, sizes: np.ndarray, leas
         a, b = rows, rows + shift
         near = 100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])
         a, b = a[near], b[near]
-        equal = (sig[a] == sig[b]).sum(axis=1)
-        same = equal >= least
+        same = (sig[a] == sig[b]).sum(axis=1) >= least
         left.append(a[same])
         right.append(b[same])
-        agree.append(equal[same])
         shift += 1
     none = [np.zeros(0, np.int64)]
-    return np.concatenate(left or none), np.concatenate(right or none), np.concatenate(agree or none)
+    return np.concatenate(left or none), np.concatenate(right or none)
 
 
 def _set_links(group: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,9 +190,9 @@ def _set_links(group: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple
 
 
 _SIGNED = pa.schema(
-    [("grp", pa.int64()), ("block", pa.int64()), ("doc_id", pa.int64()), ("root", pa.int64()), ("near", pa.bool_()), ("size", pa.int64()), ("payload", pa.binary())]
+    [("grp", pa.int64()), ("block", pa.int64()), ("doc_id", pa.int64()), ("root", pa.int64()), ("near", pa.bool_()), ("tied", pa.bool_()), ("size", pa.int64()), ("payload", pa.binary())]
 )
-_SIGNED_SQL = "grp bigint, block bigint, doc_id bigint, root bigint, near boolean, size bigint, payload binary"
+_SIGNED_SQL = "grp bigint, block bigint, doc_id bigint, root bigint, near boolean, tied boolean, size bigint, payload binary"
 
 
 def _roots(group: np.ndarray, doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,11 +203,11 @@ def _roots(group: np.ndarray, doc: np.ndarray, a: np.ndarray, b: np.ndarray) ->
     return label, smallest[label]
 
 
-def _compare_signatures(least: int, same: int, percent: int) -> Callable:
-    """Rows of blocks (grp, block, blocks, doc_id, pivot, size, payload), sorted by (grp, block), to those that matter, with root and `near`.
+def _compare_signatures(least: int, percent: int) -> Callable:
+    """Rows of blocks (grp, block, blocks, doc_id, pivot, size, payload), sorted by (grp, block), to those that matter, with root, `near` and `tied`.
 
-    near: the row has a candidate link in its block. The payload comes back for rows that a larger node branches on: its pivot, and
-    all but those almost equal to the pivot or to an earlier row of the block that goes on itself.
+    near: the row has a candidate link in its block. tied: candidate links lead from it to the pivot. The payload comes back, once,
+    for the rows of a larger node.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,22 +217,17 @@ def _compare_signatures(least: int, same: int, percent: int) -> Callable:
             doc, sizes, blocks = (table[c].to_numpy() for c in ("doc_id", "size", "blocks"))
             payload = table["payload"].to_pylist()
             sig = np.frombuffer(b"".join(payload), dtype=np.uint16).reshape(len(doc), COORDINATES)
-            a, b, agree = _signature_links(group, sig, sizes, least, percent)
-            _, root = _roots(group, doc, a, b)
+            a, b = _signature_links(group, sig, sizes, least, percent)
+            label, root = _roots(group, doc, a, b)
             near = np.zeros(len(doc), dtype=bool)
             near[a] = near[b] = True
-            goes_on = blocks > 1
-            if goes_on.any():
-                pivot = table["pivot"].fill_null(0).to_numpy() == doc
-                close = agree >= same
-                first, second = a[close], b[close]  # first comes before second in the block
-                goes_on[first[pivot[second] & ~pivot[first]]] = False
-                for row, other in sorted(zip(second.tolist(), first.tolist(), strict=True)):
-                    if goes_on[other] and not pivot[row]:
-                        goes_on[row] = False
-                goes_on &= ~pivot | (key[:, 1] == 0)
+            pivot = (table["pivot"].fill_null(0).to_numpy() == doc) & (blocks > 1)
+            goes_on = (blocks > 1) & (~pivot | (key[:, 1] == 0))
+            at_pivot = np.full(int(group[-1]) + 1, -1)
+            at_pivot[group[pivot]] = label[pivot]
+            tied = label == at_pivot[group]
             kept = np.flatnonzero(near | goes_on)
-            columns = [c[kept] for c in (key[:, 0], key[:, 1], doc, root, near, sizes)]
+            columns = [c[kept] for c in (key[:, 0], key[:, 1], doc, root, near, tied, sizes)]
             sent = [payload[i] if goes_on[i] else None for i in kept.tolist()]
             yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(sent, pa.binary())], schema=_SIGNED)
 
@@ -258,6 +254,37 @@ def _compare_sets(percent: int) -> Callable:
     return run
 
 
+def _compare_rest(percent: int) -> Callable:
+    """Rows (grp, block, doc_id, asks, payload), sorted by (grp, block), to (grp, doc_id, root): exact links of the rows that ask with all of their run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, 2):
+            key = np.column_stack([table["grp"].to_numpy(), table["block"].to_numpy()])
+            edges = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
+            doc, asks = table["doc_id"].to_numpy(), table["asks"].to_numpy()
+            payload = table["payload"]
+            for start, stop in zip(edges.tolist(), [*edges[1:].tolist(), len(doc)], strict=True):
+                sets = [np.frombuffer(x, dtype=np.uint64) for x in payload.slice(start, stop - start).to_pylist()]
+                sizes = np.array([len(s) for s in sets])
+                at = np.concatenate([[0], np.cumsum(sizes)])
+                names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+                left, right = [], []
+                mine = np.zeros(len(names), dtype=np.int64)
+                for i in np.flatnonzero(asks[start:stop]).tolist():
+                    own = flat[at[i] : at[i + 1]]
+                    mine[own] = 1
+                    both = np.add.reduceat(mine[flat], at[:-1])
+                    mine[own] = 0
+                    hit = np.flatnonzero(100 * both >= percent * (sizes + sizes[i] - both))
+                    left.append(np.full(len(hit), i))
+                    right.append(hit)
+                none = [np.zeros(0, np.int64)]
+                _, root = _roots(at, doc[start:stop], np.concatenate(left or none), np.concatenate(right or none))
+                yield pa.RecordBatch.from_arrays([pa.array(key[start:stop, 0]), pa.array(doc[start:stop]), pa.array(root)], names=["grp", "doc_id", "root"])
+
+    return run
+
+
 def _blocks(members: DataFrame, rows: int) -> DataFrame:
     """Members (grp, doc_id, ...) with blocks, block and pivot: groups of more than `rows` in several blocks, the pivot in each."""
     least = F.min(F.struct(F.xxhash64("grp", "doc_id").alias("h"), "doc_id"))["doc_id"].alias("pivot")
@@ -292,25 +319,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     share = percent / 100
     least = max(1, math.floor(COORDINATES * share - MARGIN * math.sqrt(COORDINATES * share * (1 - share))))
-    by_signature = _compare_signatures(least, math.ceil(COORDINATES * SAME_SHARE), percent)
+    by_signature = _compare_signatures(least, percent)
     level = reps.select(F.explode("nodes").alias("grp"), "doc_id", "size", "payload")
-    met = []
+    met, whole = [], []
     for depth in range(1, DEPTHS + 1):
         blocks = _blocks(level, NODE_ROWS).select("grp", "block", "blocks", "doc_id", "pivot", "size", "payload")
         met.append(saved(_in_blocks(blocks, by_signature, _SIGNED_SQL), "nodes"))
         going = met[-1].where("payload IS NOT NULL")
-        if depth == DEPTHS or going.isEmpty():
+        if going.isEmpty():
+            break
+        tied = F.sum(F.col("tied").cast("int")) >= F.lit(TIED_SHARE) * F.count("*")
+        ends = going.groupBy("grp").agg(F.min("doc_id").alias("least"), (tied | F.lit(depth == DEPTHS)).alias("ends"))
+        ends = small_or_not(saved(ends.where("ends").select("grp", "least"), "ends"))
+        whole.append(going.join(ends, "grp").select("doc_id", F.col("least").alias("root")))
+        if depth == DEPTHS:
             break
         branch = F.explode(F.sequence(F.lit(0), F.lit(NODE_BRANCHES - 1)))
         chosen = F.pmod(F.xxhash64("grp", "branch"), F.lit(COORDINATES)).cast("int")
-        going = going.select("grp", "doc_id", "size", "payload", branch.alias("branch"))
+        going = going.join(ends, "grp", "left_anti").select("grp", "doc_id", "size", "payload", branch.alias("branch"))
         child = F.xxhash64("grp", "branch", F.substring("payload", chosen * 2 + 1, F.lit(2)))
         level = going.select(child.alias("grp"), "doc_id", "size", "payload")
     places = reduce(DataFrame.union, [rows.select("grp", "block", "doc_id", "root", "near") for rows in met])
-    groups = connected_components(_links(places)).select(F.col("component").alias("grp"), F.col("node").alias("doc_id"))
+    whole = saved(reduce(DataFrame.union, whole), "whole") if whole else None
+    links = _links(places) if whole is None else _links(places).union(_links(whole))
+    groups = connected_components(links).select(F.col("component").alias("grp"), F.col("node").alias("doc_id"))
     groups = saved(groups, "groups")
 
-    exact = _exact_links(docs, id_col, text_col, reps, groups, places, percent)
+    exact = _exact_links(docs, id_col, text_col, reps, groups, places, whole, percent)
     names = reps.select("doc_id", "id")
     links = small_or_not(saved(exact, "exact")).join(names.select(F.col("doc_id").alias("x"), F.col("id").alias("a")), "x").join(names.select(F.col("doc_id").alias("y"), F.col("id").alias("b")), "y")
     united = connected_components(equal.union(links.select("a", "b")))
@@ -338,7 +373,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _exact_links(docs: DataFrame, id_col: str, text_col: str, reps: DataFrame, groups: DataFrame, places: DataFrame, percent: int) -> DataFrame:
+def _exact_links(docs: DataFrame, id_col: str, text_col: str, reps: DataFrame, groups: DataFrame, places: DataFrame, whole: DataFrame | None, percent: int) -> DataFrame:
     """Links (x, y) between set classes of one candidate group, confirmed on the full sets. The texts stay where they are while candidates are few."""
     wanted = small_or_not(saved(reps.select("doc_id", "id", "k1", "k2").join(small_or_not(groups), "doc_id"), "wanted"))
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
@@ -356,6 +391,9 @@ def _exact_links(docs: DataFrame, id_col: str, text_col: str, reps: DataFrame, g
     if not apart.isEmpty():
         again = _beside(places, apart, members)
         links = links.union(_links(saved(_in_blocks(again, by_set, schema, parts), "beside")))
+        if whole is not None:
+            rest = _in_blocks(_rest(whole, apart, members), _compare_rest(percent), "grp bigint, doc_id bigint, root bigint", parts)
+            links = links.union(_links(saved(rest, "rest")))
     return links.select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
 
 
@@ -371,3 +409,22 @@ def _beside(places: DataFrame, apart: DataFrame, members: DataFrame) -> DataFram
     rows = there.join(own, "doc_id").join(small_or_not(asked), ["grp", "block", "own"], "left_semi")
     key = F.xxhash64("grp", "block", "own").alias("grp")
     return rows.select(key, F.lit(0).cast("bigint").alias("block"), "doc_id", F.col("doc_id").alias("pivot"), "payload")
+
+
+def _rest(whole: DataFrame, apart: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows (grp, block, doc_id, asks, payload): members apart of whole larger nodes beside all members of such nodes in their group.
+
+    The members of a group are dealt into blocks, those apart into parts; each part meets each block in a run of its own.
+    """
+    asks = F.broadcast(apart) if apart.count() <= SMALL_ROWS else apart
+    known = members.join(whole.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = saved(known.join(asks.select("doc_id", F.lit(True).alias("asks")), "doc_id", "left").select("grp", "doc_id", "payload", F.coalesce("asks", F.lit(False)).alias("asks")), "known")
+    need = lambda n: F.ceil(n / F.lit(REST_ROWS)).cast("bigint")
+    counts = known.groupBy("grp").agg(need(F.count("*")).alias("blocks"), need(F.sum(F.col("asks").cast("int"))).alias("parts"))
+    counts = small_or_not(saved(counts.where("parts > 0"), "rest-groups"))
+    rows = known.join(counts, "grp").withColumn("h", F.xxhash64("doc_id", "grp", F.lit(11)))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    key = F.xxhash64("grp", "part").alias("grp")
+    others = rows.withColumn("part", each("parts")).withColumn("block", F.pmod("h", "blocks")).where("NOT (asks AND part = pmod(h, parts))")
+    asking = rows.where("asks").withColumn("part", F.pmod("h", "parts")).withColumn("block", each("blocks"))
+    return others.select(key, "block", "doc_id", F.lit(False).alias("asks"), "payload").union(asking.select(key, "block", "doc_id", "asks", "payload"))

@@ -88,6 +88,22 @@ def test_minhash_blocks_equal_brute_force(spark, monkeypatch):
     assert found == {i: top(i) for i in sets}
 
 
+def test_minhash_links_across_blocks_of_large_nodes(spark, monkeypatch):
+    """Texts on one template: pairs are linked, but hardly any text with its node's pivot."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for pair in range(300):
+        own = [f"p{pair}w{k}" for k in range(18)]
+        for half in range(2):
+            words = [f"t{k}" for k in range(66)] + own + [f"p{pair}h{half}w{k}" for k in range(2 + pair % 5)]
+            rows.append((2 * pair + half, " ".join(words)))
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    for name in ("NODE_ROWS", "CLUSTER_ROWS", "REST_ROWS"):
+        monkeypatch.setattr(minhash_dups, name, 8, raising=False)
+    found = {r["doc_id"]: r["component_id"] for r in minhash_dups.near_duplicates(table(spark, rows)).collect()}
+    assert found == {i: i - i % 2 for i, _ in rows}
+
+
 def test_vectors_odd_rows_and_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = []
