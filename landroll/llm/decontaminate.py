@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from landroll.llm.common import text_slices
 from landroll.llm.shingles import mix64
 
 EDIT_SHARE = 0.15  # edits allowed per word of an item
@@ -40,7 +41,8 @@ SIMULATED = 600  # edited passages that the number of walks is measured on
 SIMULATED_WORDS = 400  # longer items are compared with all windows that the bounds allow
 TURNS = 4096  # classes of words that turn a walk alike
 WORDS_AT_ONCE = 1_000_000  # a pass has a fixed cost for each item size
-STEPS_AT_ONCE = 1 << 21  # of all walks in all windows
+TEXT_AT_ONCE = 6_000_000  # bytes of texts that are Python strings, and of a batch of documents returned
+STEPS_AT_ONCE = 1 << 19  # of all walks in all windows
 SLICE_BYTES = 8_000_000  # benchmark text that one pass over the documents holds
 
 _PLAIN = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -315,7 +317,7 @@ def find_leaks(
     for index in _indexes(benchmark, item_col, item_text, share, recall, slice_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], index: LeakIndex = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in text_slices(whole, 1, TEXT_AT_ONCE)):
                 cells = np.array(index.leaks(batch.column(1).to_pylist()), dtype=np.int64).reshape(-1, 5)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(cells[:, 0])), *(pa.array(cells[:, k]) for k in range(1, 5))],
@@ -336,7 +338,7 @@ def drop_leaks(
     for index in _indexes(benchmark, item_col, item_text, share, recall, slice_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], index: LeakIndex = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in text_slices(whole, at, TEXT_AT_ONCE)):
                 stays = np.ones(batch.num_rows, dtype=bool)
                 stays[np.array([row for row, *_ in index.leaks(batch.column(at).to_pylist())], dtype=np.int64)] = False
                 yield batch.filter(pa.array(stays))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landroll.llm.common import saved
+from landroll.llm.common import saved, text_slices
 from landroll.llm.tokens import word_tokens
 
 CAPACITY = 2048
@@ -38,7 +38,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, en
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_tokens(tokenizer_path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, 1)):
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             ends = np.cumsum([len(t) for t in texts]) // BATCH_CHARS
             for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends)) + 1):

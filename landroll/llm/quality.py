@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landroll.llm.common import held_out
+from landroll.llm.common import held_out, text_slices
 from landroll.llm.shingles import word_hashes
 
 BUCKETS = 1 << 15
@@ -202,7 +202,7 @@ def keep_quality(docs: DataFrame, model: Model, text_col: str = "text", meta_col
     text_at, meta_at = names.index(text_col), [names.index(c) for c in meta_cols]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, text_at)):
             stays = np.zeros(batch.num_rows, dtype=bool)
             for first, count, rows, index, value in _vectors(batch.column(text_at), [batch.column(k) for k in meta_at]):
                 stays[first : first + count] = model.score(rows, index, value, count) >= threshold

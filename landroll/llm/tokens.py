@@ -8,7 +8,8 @@ from collections.abc import Sequence
 
 import numpy as np
 
-CACHE_WORDS = 800_000  # distinct words a worker remembers before it starts afresh
+CACHE_WORDS = 200_000  # distinct words after which a worker forgets those that it has not met since as many words ago
+WORDS_AT_ONCE = 4_000  # the tokenizer's own result of a word is much larger than its ids
 LONG_WORD = 64  # longer pieces are not remembered
 
 #: The word pattern of the tokenizer, for texts of the characters below.
@@ -28,6 +29,7 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # the words remembered earlier
         # words are normal and split already, so their byte letters go straight to the merges
         self.merges = Tokenizer(self.tokenizer.model)
         self.letters = {b: self._letter(b) for b in range(256)}
@@ -40,7 +42,7 @@ class WordTokens:
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         if len(self.words) > CACHE_WORDS:
-            self.words.clear()
+            self.before, self.words = self.words, {}
         pieces: list[list[str] | None] = []
         unknown: set[str] = set()
         for text in texts:
@@ -48,11 +50,16 @@ class WordTokens:
             pieces.append(WORD.findall(text.lower()) if plain else None)
             if plain:
                 unknown.update(pieces[-1])
-        new = [w for w in unknown if w not in self.words]
+        unknown.difference_update(self.words)
+        met = unknown.intersection(self.before)
+        self.words.update((w, self.before[w]) for w in met)
+        new = list(unknown - met)
         extra: dict[str, bytes] = {}
-        spelt = [w.encode().decode("latin-1").translate(self.letters) for w in new]
-        for word, found in zip(new, self.merges.encode_batch_fast(spelt, add_special_tokens=False), strict=True):
-            (self.words if len(word) <= LONG_WORD else extra)[word] = np.array(found.ids, dtype="<u4").tobytes()
+        for first in range(0, len(new), WORDS_AT_ONCE):
+            some = new[first : first + WORDS_AT_ONCE]
+            spelt = [w.encode().decode("latin-1").translate(self.letters) for w in some]
+            for word, found in zip(some, self.merges.encode_batch_fast(spelt, add_special_tokens=False), strict=True):
+                (self.words if len(word) <= LONG_WORD else extra)[word] = np.array(found.ids, dtype="<u4").tobytes()
         known = self.words if not extra else self.words | extra
         out = []
         for text, words in zip(texts, pieces, strict=True):

@@ -1,13 +1,15 @@
-"""Very many secrets in one text, equal rows in archives, sliced batches."""
+"""Very many secrets in one text, equal rows in archives, sliced batches, bounded memory of words."""
 
 import re
 import time
 
+import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from landroll.llm import archives, common, secret_scan
+from landroll.llm import archives, common, decontaminate, quality, secret_scan, tokens
 
 MIXED = re.compile(secret_scan.MIXED)
 
@@ -86,3 +88,47 @@ def test_batches_are_sliced_by_bytes():
     parts = list(common.text_slices(batch, 1, 5))
     assert [p.num_rows for p in parts] == [2, 1, 3] and [x for p in parts for x in p.column(0).to_pylist()] == list(range(6))
     assert [p.num_rows for p in common.text_slices(batch.slice(0, 0), 1, 5)] == [0]
+
+
+class Columns:
+    """Stands for a table whose step is run by hand."""
+
+    columns, schema = ("doc_id", "text"), "doc_id bigint, text string"
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_filters_return_long_batches_in_parts(monkeypatch):
+    texts = ["quiet river road " * 2_000 + str(i) if i % 7 else None for i in range(700)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(700)), pa.array(texts)], names=["doc_id", "text"])
+    size = quality.BUCKETS + quality.STATISTICS
+    model = quality.Model(1.0, np.zeros(size, np.float32), np.zeros((size, quality.FACTORS), np.float32), 0)
+    index = decontaminate.LeakIndex([(1, "one two three four five six seven eight nine ten")])
+    monkeypatch.setattr(decontaminate, "_indexes", lambda *_: [index])
+    for run, most in ((quality.keep_quality(Columns(), model), 3e6), (decontaminate.drop_leaks(Columns(), None), 7e6)):
+        parts = list(run(iter([batch])))
+        assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(700))
+        assert [x for p in parts for x in p.column(1).to_pylist()] == texts
+        assert max(p.get_total_buffer_size() for p in parts) < most
+
+
+def test_remembered_words_are_few_and_common_ones_stay(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 500)
+    coder = tokens.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    asked = []
+
+    class Merges:
+        def encode_batch_fast(self, words, add_special_tokens):
+            asked.append(list(words))
+            return own.encode_batch_fast(words, add_special_tokens=add_special_tokens)
+
+    own, coder.merges = coder.merges, Merges()
+    name = lambda i: "x" + "".join("abcdefghij"[int(c)] for c in str(i))
+    for k in range(0, 6_000, 300):
+        text = " ".join(["river", *map(name, range(k, k + 300))])
+        assert coder.encode([text])[0].tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert sum(words.count("river") for words in asked) == 1  # forgotten with all others before
+    many = " ".join(map(name, range(10_000, 20_000)))
+    assert coder.encode([many])[0].tolist() == coder.tokenizer.encode(many, add_special_tokens=False).ids
+    assert max(map(len, asked)) <= 4_000
