@@ -111,7 +111,7 @@ def read_document(spark: SparkSession, path: str, *, lines_per_run: int = LINES_
         F.min("line").alias("first"),
         F.count("*").alias("lines"),
         F.count("head").alias("heads"),
-        F.max("source").alias("source"),
+        F.get(F.collect_list("source"), F.lit(0)).alias("source"),  # one line of the document names it
         F.max(F.when(F.col("head").isNotNull(), F.col("line"))).alias("head_line"),
         F.max_by("head", F.when(F.col("head").isNotNull(), F.col("line"))).alias("last_head"),
     )
